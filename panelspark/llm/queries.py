@@ -5,20 +5,48 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.decontam import contamination
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("items")
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelspark.llm.tokens import token_output
 
     return token_output(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.common import materialize
+    from panelspark.llm.mixing import mix_sources, word_count
+
+    sized = materialize(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    return mix_sources(sized).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.maxscore import topk_search
+
+    return topk_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_output,)}
+    return {f.__name__: f for f in (op1_decontamination, op3_simhash, op4_token_output, op6_mixing, op9_maxscore)}
 
 
 def oracle_sql() -> dict[str, str]:
