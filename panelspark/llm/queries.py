@@ -45,8 +45,14 @@ def op9_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.substr import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_simhash, op4_token_output, op6_mixing, op9_maxscore)}
+    return {f.__name__: f for f in (op1_decontamination, op3_simhash, op4_token_output, op6_mixing, op9_maxscore, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
