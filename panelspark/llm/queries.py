@@ -31,6 +31,12 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.pii import pii_spans
+
+    return pii_spans(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelspark.llm.common import materialize
     from panelspark.llm.mixing import mix_sources, word_count
@@ -52,7 +58,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_simhash, op4_token_output, op6_mixing, op9_maxscore, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op3_simhash, op4_token_output, op5_pii, op6_mixing, op9_maxscore, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
