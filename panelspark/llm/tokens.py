@@ -24,9 +24,11 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,8 +42,10 @@ HEADER = struct.Struct("<8sIIIIQQQ")
 #: Ids after which a block is closed; the block then holds at most this many and one document more.
 BLOCK_IDS = 4 << 20
 #: Words kept by an encoder's cache before the older half is dropped.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 200_000
 MASK = (1 << 64) - 1
+#: Fixed value: how a byte-level tokenizer splits a text.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def default_tokenizer() -> str:
@@ -50,12 +54,30 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Cache(dict):
+    """Values by key, made when missing; the older half goes when the newer is full."""
+
+    def __init__(self, make):
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        if len(key) <= 64:
+            self[key] = value
+        return value
+
+
 class Encoder:
     """Byte-level BPE through the ``tokenizers`` library with a bounded cache of words.
 
     A byte-level tokenizer never merges across its own word split, and that split always falls before a
     single space that follows a non-space. Texts are therefore cut at such spaces and every distinct piece
-    is encoded once. Texts where the cut is unsafe (white space before a space, or the text of an added
+    is encoded once, split further by the tokenizer's own pattern. Texts where the cut is unsafe (white space before a space, or the text of an added
     token) go to the library whole.
     """
 
@@ -71,23 +93,17 @@ class Encoder:
         self.width = "<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         self.end = np.array([end_id], self.width).tobytes()
         self.unsafe = re.compile(r"\s ")
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        outer = self
-
-        class Words(dict):
-            def __missing__(self, piece: str) -> bytes:
-                ids = outer.old.get(piece)
-                if ids is None:
-                    ids = outer.whole(" " + piece)
-                if len(self) >= CACHE_WORDS:
-                    outer.old = dict(self)
-                    self.clear()
-                if len(piece) <= 64:
-                    self[piece] = ids
-                return ids
-
-        self.words = Words()
+        self.splitter = regex.compile(SPLIT)
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.words = _Cache(lambda piece: b"".join(map(self.parts.__getitem__, self.splitter.findall(" " + piece))))
+        self.parts = _Cache(self.part)
+
+    def part(self, piece: str) -> bytes:
+        """Ids of one piece of the byte-level split, from the library's model."""
+        shown = piece.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], self.width).tobytes()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width).tobytes()
@@ -103,6 +119,12 @@ class Encoder:
         return head + b"".join(map(self.words.__getitem__, rest)) + self.end
 
 
+@lru_cache(maxsize=1)
+def encoder_for(path: str, end_id: int) -> Encoder:
+    """The encoder of this worker process, which tasks share one after another."""
+    return Encoder(path, end_id)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit mixing hash."""
     x = x.astype(np.uint64)
@@ -241,7 +263,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str | None = None, en
     rows = wanted.withColumn("h", F.xxhash64("t")).repartitionByRange(text_partitions(wanted, "t"), "k", "h").sortWithinPartitions("k", "h", "t")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer or default_tokenizer(), end_id)
+        encoder = encoder_for(tokenizer or default_tokenizer(), end_id)
         size, part, seq = len(encoder.end), TaskContext.get().partitionId(), 0
         ids: list = []
         ords: list[int] = []
