@@ -45,6 +45,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.langid import language_of
+
+    return language_of(table(spark, sf_dir, "documents"))
+
+
 def op9_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelspark.llm.maxscore import topk_search
 
@@ -58,7 +64,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_simhash, op4_token_output, op5_pii, op6_mixing, op9_maxscore, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op3_simhash, op4_token_output, op5_pii, op6_mixing, op8_language_id, op9_maxscore, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
