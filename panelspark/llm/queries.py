@@ -19,6 +19,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("items")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.secrets import secret_spans
+
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelspark.llm.simhash import near_duplicates
 
@@ -64,7 +70,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_simhash, op4_token_output, op5_pii, op6_mixing, op8_language_id, op9_maxscore, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_simhash, op4_token_output, op5_pii, op6_mixing, op8_language_id, op9_maxscore, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
