@@ -11,15 +11,18 @@ are given up. Only distinct fingerprints are compared, and a bucket reports a sp
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from panelspark.llm.common import materialize
 from panelspark.llm.components import connected_components
@@ -29,23 +32,36 @@ PAIRED = 64
 #: Fingerprints in a bucket beyond which it is dealt out in blocks to many tasks.
 BUCKET_ROWS = 1 << 16
 CHUNK = 1 << 16
+#: Odd multipliers that turn a shingle's hash into those of further lanes.
+STEPS = np.array([1, *[pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, 64)]], np.uint64)
 
 
-def fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
-    """64-bit SimHash of the shingles of ``words`` words; 0 if there is no word."""
+def fingerprint(text: bytes | None, words: int = 4, seed: int = 42, lanes: int = 1) -> bytes:
+    """SimHash of the shingles of ``words`` words, big-endian; zero if there is no word.
+
+    The first 64-bit lane is of the shingles' hashes; further lanes are of mixes of them.
+    """
     tokens = text.lower().split() if text else []
     if not tokens:
-        return 0
+        return bytes(8 * lanes)
     joined = b" ".join(tokens)
     width = min(words, len(tokens))
     ends = list(accumulate((len(t) + 1 for t in tokens), initial=0))
     digest = xxhash.xxh64_digest
-    n, ones = len(tokens) - width + 1, np.zeros(64, np.int64)
+    n, ones = len(tokens) - width + 1, np.zeros(64 * lanes, np.int64)
     for lo in range(0, n, CHUNK):
         hi = min(n, lo + CHUNK)
         raw = b"".join([digest(joined[s : e - 1], seed) for s, e in zip(ends[lo:hi], ends[lo + width : hi + width])])
-        ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+        if lanes == 1:
+            rows = np.frombuffer(raw, np.uint8).reshape(-1, 8)
+        else:
+            h = np.frombuffer(raw, ">u8").astype(np.uint64)[:, None] * STEPS[:lanes]
+            h[:, 1:] ^= h[:, 1:] >> np.uint64(31)
+            h[:, 1:] *= np.uint64(0x94D049BB133111EB)
+            rows = h.astype(">u8").view(np.uint8).reshape(len(h), 8 * lanes)
+        for row in range(0, len(rows), 2048):
+            ones += np.unpackbits(rows[row : row + 2048], axis=1).sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * ones > n).tobytes()
 
 
 def fingerprints(docs: DataFrame, words: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -53,30 +69,31 @@ def fingerprints(docs: DataFrame, words: int = 4, doc_id: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            raw = b"".join([fingerprint(t.as_py(), words) for t in batch.column(1)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(raw, ">i8").astype(np.int64))], ["doc_id", "fp"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInArrow(run, "doc_id long, fp long")
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
-    """(64, words) bit planes: bit i of plane p is bit p of fingerprint i."""
-    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    bits = np.pad(bits, ((0, -len(fps) % 64), (0, 0)))
+    """(64 x lanes, words) bit planes of an (n, lanes) array: bit i of plane p is bit p of fingerprint i."""
+    n, lanes = fps.shape
+    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(n, 8 * lanes), axis=1, bitorder="little")
+    bits = np.pad(bits, ((0, -n % 64), (0, 0)))
     return np.ascontiguousarray(np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")).view(np.uint64)
 
 
 def within(differ: np.ndarray, lanes: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes of ``lanes`` in which at most ``radius`` of the 64 rows of ``differ`` are set.
+    """Pairs of ``lanes`` for which at most ``radius`` of the rows of ``differ`` are set.
 
-    Counters are kept as bit planes too; a word is abandoned once all its lanes are beyond the radius.
+    Counters are kept as bit planes too; a word is abandoned once all its pairs are beyond the radius.
     """
     out = np.zeros_like(lanes)
     live = np.flatnonzero(lanes)
     width = max(1, radius.bit_length())
     counters = [np.zeros(len(live), np.uint64) for _ in range(width)]
     beyond = ~lanes[live]
-    for start in range(0, 64, 8):
+    for start in range(0, len(differ), 8):
         if not len(live):
             return out
         for plane in differ[start : start + 8]:
@@ -105,11 +122,13 @@ def _lanes(mask: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(mask.view(np.uint8), bitorder="little"))
 
 
-def _pairs(fps: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside groups that lie end to end in ``fps``, largest first: each shift compares all groups at once."""
+Pairs = tuple[np.ndarray, np.ndarray]
+
+
+def _pairs(fps: np.ndarray, sizes: np.ndarray, radius: int) -> Pairs:
+    """Links, as rows, inside groups that lie end to end in ``fps``, largest first: each shift compares all groups at once."""
     planes, left, right = planes_of(fps), [], []
-    size_of = np.repeat(sizes, sizes)
-    rest = size_of - (np.arange(len(fps)) - np.repeat(np.cumsum(sizes) - sizes, sizes))
+    rest = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(fps))
     for shift in range(1, int(sizes[0])):
         valid = rest > shift
         rows = int(np.flatnonzero(valid)[-1]) + 1
@@ -122,38 +141,38 @@ def _pairs(fps: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndarray,
             b = planes[:, whole + 1 : whole + 1 + words]
             a = (a >> bit) | (np.pad(b, ((0, 0), (0, words - b.shape[1]))) << (np.uint64(64) - bit))
         hit = _lanes(within(planes[:, :words] ^ a, lanes, radius))
-        left.append(fps[hit])
-        right.append(fps[hit + shift])
-    return (np.concatenate(left), np.concatenate(right)) if left else (fps[:0], fps[:0])
+        left.append(hit)
+        right.append(hit + shift)
+    return (np.concatenate(left), np.concatenate(right)) if left else (sizes[:0], sizes[:0])
 
 
-def _search(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of one large group: breadth first, each found fingerprint against those not yet found."""
-    left, right, todo = [], [], fps
-    ones = np.uint64(0xFFFFFFFFFFFFFFFF)
+def _search(fps: np.ndarray, radius: int) -> Pairs:
+    """Spanning forest, as rows, of one large group: breadth first, each found row against those not yet found."""
+    left, right, todo = [], [], np.arange(len(fps))
+    ones, bits = np.uint64(0xFFFFFFFFFFFFFFFF), np.arange(64 * fps.shape[1])
     while len(todo) > 1:
-        frontier, todo = [todo[0]], todo[1:]
-        planes = planes_of(todo)
+        frontier, todo = [int(todo[0])], todo[1:]
+        planes = planes_of(fps[todo]) if len(todo) >= 256 else None
         while frontier and len(todo):
             f = frontier.pop()
             if len(todo) < 256:
-                near = np.flatnonzero(np.bitwise_count(todo ^ f) <= radius)
+                near = np.flatnonzero(np.bitwise_count(fps[todo] ^ fps[f]).sum(axis=1) <= radius)
             else:
-                flip = np.array([ones if int(f) >> p & 1 else np.uint64(0) for p in range(64)], np.uint64)
+                set_bits = (fps[f][bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1)
                 lanes = np.packbits(np.pad(np.ones(len(todo), np.uint8), (0, -len(todo) % 64)), bitorder="little").view(np.uint64)
-                near = _lanes(within(planes ^ flip[:, None], lanes, radius))
+                near = _lanes(within(planes ^ (set_bits * ones)[:, None], lanes, radius))
             if len(near):
                 found = todo[near]
-                left.append(np.full(len(found), f, np.uint64))
+                left.append(np.full(len(found), f))
                 right.append(found)
-                frontier.extend(found)
+                frontier.extend(found.tolist())
                 todo = np.delete(todo, near)
-                planes = planes_of(todo) if len(todo) >= 256 else planes
-    return (np.concatenate(left), np.concatenate(right)) if left else (fps[:0], fps[:0])
+                planes = planes_of(fps[todo]) if len(todo) >= 256 else None
+    return (np.concatenate(left), np.concatenate(right)) if left else (todo[:0], todo[:0])
 
 
-def bucket_links(fps: np.ndarray, keys: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among fingerprints of equal key; ``keys`` is sorted."""
+def bucket_links(fps: np.ndarray, keys: np.ndarray, radius: int) -> Pairs:
+    """Links, as rows, among fingerprints (n, lanes) of equal key; ``keys`` is sorted."""
     cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
     starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
     sizes = ends - starts
@@ -163,9 +182,35 @@ def bucket_links(fps: np.ndarray, keys: np.ndarray, radius: int) -> tuple[np.nda
         small = small[np.argsort(-sizes[small], kind="stable")]
         n = sizes[small]
         rows = np.repeat(starts[small] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        out.append(_pairs(fps[rows], n, radius))
-    out += [_search(fps[starts[g] : ends[g]], radius) for g in np.flatnonzero(sizes > PAIRED)]
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (fps[:0], fps[:0])
+        a, b = _pairs(fps[rows], n, radius)
+        out.append((rows[a], rows[b]))
+    for g in np.flatnonzero(sizes > PAIRED):
+        a, b = _search(fps[starts[g] : ends[g]], radius)
+        out.append((a + starts[g], b + starts[g]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (starts[:0], starts[:0])
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch], columns_of: Callable, links: Callable, keys: int = 1) -> Iterator[pa.RecordBatch]:
+    """Feed ``links`` whole buckets of a stream sorted by bucket; one that goes on into the next batch waits for it.
+
+    ``columns_of`` gives a batch's arrays, ``keys`` of which, after the first, change where a bucket begins;
+    ``links`` turns the arrays of whole buckets into a batch of links.
+    """
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        columns = columns_of(batch)
+        if not len(columns[0]):
+            continue
+        other = np.zeros(len(columns[0]), bool)
+        for c in columns[1 : 1 + keys]:
+            other |= c != c[-1]
+        cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+        if cut:
+            yield links(*(np.concatenate(x) for x in zip(*held, tuple(c[:cut] for c in columns))))
+            held = []
+        held.append(tuple(c[cut:] for c in columns))
+    if held:
+        yield links(*(np.concatenate(x) for x in zip(*held)))
 
 
 def tables(n: int, radius: int) -> list[int]:
@@ -194,37 +239,25 @@ def radius_links(distinct: DataFrame, n: int, radius: int = 4, bucket_rows: int
     filed = distinct.select("fp", F.explode(F.array(*[F.lit(i) for i in range(len(masks))])).alias("t"))
     key = F.col("fp").bitwiseAND(mask)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Buckets in sorted order; one that goes on into the next batch waits for it."""
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def links(fp: np.ndarray, t: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
-            group = np.cumsum(np.concatenate([[0], (t[1:] != t[:-1]) | (k[1:] != k[:-1])]))
-            count = np.bincount(group)
-            over = count > bucket_rows
-            first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))[over]
-            keep = ~over[group]
-            a, b = bucket_links(fp[keep], group[keep], radius) if keep.any() else (fp[:0], fp[:0])
-            pad, none = len(first), [None] * len(a)
-            return pa.RecordBatch.from_arrays([pa.array([*a.view(np.int64).tolist(), *[None] * pad], pa.int64()), pa.array([*b.view(np.int64).tolist(), *[None] * pad], pa.int64()), pa.array([*none, *t[first].tolist()], pa.int32()), pa.array([*none, *k[first].view(np.int64).tolist()], pa.int64()), pa.array([*none, *count[over].tolist()], pa.int64())], LINKS.names)
-
-        for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            t = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            if not len(fp):
-                continue
-            k = fp & wide[t]
-            cut = int(np.flatnonzero((t != t[-1]) | (k != k[-1]))[-1]) + 1 if ((t != t[-1]) | (k != k[-1])).any() else 0
-            if cut:
-                parts = [*held, (fp[:cut], t[:cut], k[:cut])]
-                yield links(*(np.concatenate(x) for x in zip(*parts)))
-                held = []
-            held.append((fp[cut:], t[cut:], k[cut:]))
-        if held:
-            yield links(*(np.concatenate(x) for x in zip(*held)))
+    def links(fp: np.ndarray, t: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+        group = np.cumsum(np.concatenate([[0], (t[1:] != t[:-1]) | (k[1:] != k[:-1])]))
+        count = np.bincount(group)
+        over = count > bucket_rows
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))[over]
+        keep = ~over[group]
+        some = fp[keep]
+        a, b = bucket_links(some[:, None], group[keep], radius) if len(some) else (group[:0], group[:0])
+        pad, none = [None] * len(first), [None] * len(a)
+        signed = some.view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array([*signed[a].tolist(), *pad], pa.int64()), pa.array([*signed[b].tolist(), *pad], pa.int64()), pa.array([*none, *t[first].tolist()], pa.int32()), pa.array([*none, *k[first].view(np.int64).tolist()], pa.int64()), pa.array([*none, *count[over].tolist()], pa.int64())], LINKS.names)
+
+    def filed_by(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        fp, t = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        fp = fp.view(np.uint64)
+        return fp, t, fp & wide[t]
 
     dealt = filed.repartition("t", key).sortWithinPartitions("t", key)
-    found = materialize(dealt.mapInArrow(search, LINKS), "simhash-links")
+    found = materialize(dealt.mapInArrow(lambda batches: by_bucket(batches, filed_by, links, keys=2), LINKS), "simhash-links")
     edges = found.where("t is null").select("a", "b")
     over = found.where("t is not null").select("t", "key", "n")
     if over.isEmpty():
@@ -237,28 +270,14 @@ def radius_links(distinct: DataFrame, n: int, radius: int = 4, bucket_rows: int
     each = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     tiles = each.select("fp", F.xxhash64("t", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+    def tile_links(fp: np.ndarray, tile: np.ndarray) -> pa.RecordBatch:
+        a, b = bucket_links(fp.view(np.uint64)[:, None], tile, radius)
+        return pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], ["a", "b"])
 
-        def links(fp: np.ndarray, tile: np.ndarray) -> pa.RecordBatch:
-            a, b = bucket_links(fp, tile, radius)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+    def tiled(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        return tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
 
-        for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            tile = batch.column(1).to_numpy(zero_copy_only=False)
-            if not len(fp):
-                continue
-            cut = int(np.flatnonzero(tile != tile[-1])[-1]) + 1 if (tile != tile[-1]).any() else 0
-            if cut:
-                parts = [*held, (fp[:cut], tile[:cut])]
-                yield links(*(np.concatenate(x) for x in zip(*parts)))
-                held = []
-            held.append((fp[cut:], tile[cut:]))
-        if held:
-            yield links(*(np.concatenate(x) for x in zip(*held)))
-
-    more = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(compare, "a long, b long")
+    more = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda batches: by_bucket(batches, tiled, tile_links), "a long, b long")
     return edges.union(materialize(more, "simhash-hot-links"))
 
 
@@ -279,3 +298,62 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, doc_id: st
     of_all = reps.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     hex16 = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(of_all, "fp").select("doc_id", hex16.alias("fingerprint"), "component_id")
+
+
+#: Lanes of a wide fingerprint; bits of a bucket key; recall of the search at the similarity asked for.
+LANES, KEY_BITS, RECALL = 8, 16, 0.985
+
+
+def angle(similarity: float) -> float:
+    """Share of differing bits expected of two shingle sets of this Jaccard similarity and like size."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = LANES, key_bits: int = KEY_BITS) -> DataFrame:
+    """(doc_id, th, group) per row, ``th`` a hash of the text: near copies of one another share a group.
+
+    Fingerprints of ``64 x lanes`` bits estimate the similarity of shingle sets. Pairs are sought in tables
+    keyed by disjoint runs of bits, as many tables as find a pair at ``similarity`` with probability
+    ``RECALL``, and linked if their distance is what that similarity leads to or less, with a margin of one
+    and a half standard deviations. Groups are components of links. Null and wordless texts form one group.
+    """
+    width = 64 * lanes
+    p = angle(similarity)
+    radius = int(width * p + 1.5 * math.sqrt(width * p * (1 - p)))
+    count = min(width // key_bits, math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - p) ** key_bits)))
+
+    @F.pandas_udf("binary")
+    def wide_print(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: fingerprint(t, words, lanes=lanes))
+
+    tagged = docs.select("doc_id", F.xxhash64("text").alias("th"), wide_print(F.col("text").cast("binary")).alias("fp"))
+    prints = materialize(tagged.withColumn("node", F.xxhash64("fp")), "wide-fingerprints")
+    distinct = prints.groupBy("node").agg(F.min("fp").alias("fp"))
+    filed = distinct.select("node", "fp", F.explode(F.array(*[F.lit(i) for i in range(count)])).alias("t"))
+    bucket = F.xxhash64("t", F.substring("fp", F.col("t") * (key_bits // 8) + 1, F.lit(key_bits // 8)))
+
+    def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        raw = b"".join(batch.column(2).to_pylist())
+        return batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), np.frombuffer(raw, np.uint64).reshape(-1, lanes)
+
+    def links(node: np.ndarray, k: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        a, b = bucket_links(fps, k, radius)
+        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+
+    dealt = filed.select("node", bucket.alias("k"), "fp").repartition("k").sortWithinPartitions("k")
+    edges = dealt.mapInArrow(lambda batches: by_bucket(batches, columns, links), "a long, b long")
+    roots = connected_components(edges)
+    return prints.join(roots, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("group"))
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` (with doc_id and text) less near copies: of each group the row with the smallest id stays.
+
+    Null ids stand last. Of rows equal in id and text one stays. ``docs`` is read twice.
+    """
+    groups = materialize(similar_documents(docs, **options), "similar-groups")
+    stays = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("s")).select("s.doc_id", "s.th")
+    tagged = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_null": F.col("doc_id").isNull(), "_th": F.xxhash64("text")})
+    wanted = stays.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null"), F.col("th").alias("_th")).distinct()
+    first = F.row_number().over(Window.partitionBy("_id", "_null", "_th").orderBy("_id"))
+    return tagged.join(wanted, ["_id", "_null", "_th"]).withColumn("_first", first).where("_first = 1").select(*docs.columns)
