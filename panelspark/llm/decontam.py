@@ -15,6 +15,7 @@ import hashlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,6 +69,48 @@ def _frequencies(docs: DataFrame, vocabulary: dict) -> Counter:
     return out
 
 
+def blocks_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
+    size = benchmark.agg(F.sum(F.octet_length(F.col("text").cast("binary")))).first()[0] or 0
+    return max(1, -(-size // block_bytes))
+
+
+def prefix_indexes(docs: DataFrame, benchmark: DataFrame, window: int, least: int, text: str, block_bytes: int) -> Iterator[dict]:
+    """For each block of the benchmark: rarest shingle -> (its offset, window, items) of the windows it stands for."""
+    n_blocks = blocks_of(benchmark, block_bytes)
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("b")).where("b is not null")
+    place = F.pmod(F.xxhash64("b"), F.lit(n_blocks))
+    for at in range(n_blocks):
+        owners: dict[tuple, set] = defaultdict(set)
+        for row in items.where(place == at).collect():  # one block of about block_bytes
+            for w in windows_of(words_of(bytes(row.b)), window, least):
+                owners[w].add(row.item)
+        vocabulary = {x: i for i, x in enumerate(dict.fromkeys(s for w in owners for s in shingles(w)))}
+        common = _frequencies(docs.select(F.col(text).cast("binary").alias("b")), vocabulary) if vocabulary else Counter()
+        prefix: dict = defaultdict(list)
+        for w, who in owners.items():
+            offset = min((common[s], vocabulary[s], i) for i, s in enumerate(shingles(w)))[2]
+            prefix[shingles(w)[offset]].append((offset, w, sorted(x for x in who if x is not None)))
+        yield dict(prefix)
+
+
+def has_words(index: dict) -> bool:
+    """Whether some window of the index has one word, and so a shingle that is a word."""
+    return any(isinstance(x, bytes) for x in index)
+
+
+def occurrences(words: list[bytes], index: dict, single: bool) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, items) of windows in a document: its shingles probe the index, words decide."""
+    n = len(words)
+    at = [(i, p) for i, p in enumerate(zip(words, words[1:])) if p in index]
+    if single:
+        at += [(i, w) for i, w in enumerate(words) if w in index]
+    for i, shingle in at:
+        for offset, w, who in index[shingle]:
+            start = i - offset
+            if 0 <= start <= n - len(w) and tuple(words[start : start + len(w)]) == w:
+                yield start, start + len(w), who
+
+
 STATE = T.StructType([T.StructField("k", T.LongType()), T.StructField("b", T.BinaryType()), T.StructField("hit", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType()))])
 RESULT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()), T.StructField("items", T.ArrayType(T.StringType()))])
 
@@ -83,24 +126,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, least
     Repeated item ids count once; an item without an id hits words but is not listed. Without items, or
     without documents, no row is contaminated and no row comes, respectively. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("b")).where("b is not null")
-    size = items.agg(F.sum(F.octet_length("b"))).first()[0] or 0
-    n_blocks = max(1, -(-size // block_bytes))
-    place = F.pmod(F.xxhash64("b"), F.lit(n_blocks))
     state = docs.select(F.col(doc_id).cast("long").alias("k"), F.col(text).cast("binary").alias("b"), F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items"))
-    for at in range(n_blocks):
-        owners: dict[tuple, set] = defaultdict(set)
-        for row in items.where(place == at).collect():  # one block of about block_bytes
-            for w in windows_of(words_of(bytes(row.b)), window, least):
-                owners[w].add(row.item)
-        vocabulary = {x: i for i, x in enumerate(dict.fromkeys(s for w in owners for s in shingles(w)))}
-        common = _frequencies(docs.select(F.col(text).cast("binary").alias("b")), vocabulary) if vocabulary else Counter()
-        prefix: dict = defaultdict(list)
-        for w, who in owners.items():
-            rare, offset = min((common[s], vocabulary[s], i) for i, s in enumerate(shingles(w)))[1:]
-            prefix[shingles(w)[offset]].append((offset, w, sorted(x for x in who if x is not None)))
-        state = _match(state, dict(prefix), last=at == n_blocks - 1)
+    n_blocks = blocks_of(benchmark, block_bytes)
+    for at, prefix in enumerate(prefix_indexes(docs, benchmark, window, least, text, block_bytes)):
+        state = _match(state, prefix, last=at == n_blocks - 1)
         if at % 4 == 3 and at < n_blocks - 1:
             state = materialize(state, "decontamination")
     return state
@@ -110,24 +139,17 @@ def _match(state: DataFrame, prefix: dict, last: bool) -> DataFrame:
     sent = state.sparkSession.sparkContext.broadcast(prefix)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value
-        single = any(isinstance(x, bytes) for x in index)
+        index, single = sent.value, has_words(sent.value)
         for batch in batches:
             rows = []
             for k, b, hit, items in zip(*(batch.column(i) for i in range(4))):
                 b, hit, found = b.as_py(), hit.as_py(), set(items.as_py() or ())
                 words = words_of(b)
-                n = len(words)
-                at = [(i, p) for i, p in enumerate(zip(words, words[1:])) if p in index]
-                if single:
-                    at += [(i, w) for i, w in enumerate(words) if w in index]
-                cover = bytearray(hit) if hit else bytearray(n) if at else b""
-                for i, shingle in at:
-                    for offset, w, who in index[shingle]:
-                        start = i - offset
-                        if 0 <= start <= n - len(w) and tuple(words[start : start + len(w)]) == w:
-                            cover[start : start + len(w)] = b"\x01" * len(w)
-                            found.update(who)
+                n, cover = len(words), bytearray(hit or b"")
+                for start, end, who in occurrences(words, index, single):
+                    cover = cover or bytearray(n)
+                    cover[start:end] = b"\x01" * (end - start)
+                    found.update(who)
                 rows.append((k.as_py(), n, bytes(cover), sorted(found), b))
             if not rows:
                 continue
@@ -140,3 +162,24 @@ def _match(state: DataFrame, prefix: dict, last: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(b, pa.binary()), pa.array(cover, pa.binary()), pa.array(found, pa.list_(pa.string()))], STATE.names)
 
     return state.mapInArrow(match, RESULT if last else STATE)
+
+
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, least: int = 5, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` less the rows whose text holds a window of the benchmark; all columns stay.
+
+    Windows are found as in ``contamination``. Items of fewer than ``least`` words are passed over: a
+    document may hold such a phrase without having seen the item.
+    """
+    out = docs
+    for prefix in prefix_indexes(docs, benchmark, window, least, text, block_bytes):
+        out = out.where(~_holder(docs.sparkSession.sparkContext.broadcast(prefix))(F.col(text).cast("binary")))
+    return out
+
+
+def _holder(sent):
+    @F.pandas_udf("boolean")
+    def holds(texts: pd.Series) -> pd.Series:
+        index, single = sent.value, has_words(sent.value)
+        return texts.map(lambda b: next(occurrences(words_of(b), index, single), None) is not None)
+
+    return holds

@@ -98,7 +98,6 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     ``taken`` counts words with repeats: full passes over the source and, from the documents that the
     shard's quota reaches, the rest; the last one reached gives part of its words. Together a source's
     rows take its target rounded to a whole number, and no row takes more than ``cap`` times its size.
-    ``docs`` is read several times, so it should be a stored table.
 
     Null sources form one source; repeated rows are rows of their own; a row of no words takes none; an
     empty table stays empty; ids may be null or repeat. Reruns agree: order and draws depend only on the
@@ -140,5 +139,5 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
     reached = (F.col("_before") + F.col("size") / 2 <= F.col("_quota")) & (F.col("_quota") > 0)
     copies = mixed.withColumn("_copies", F.col("_passes") + reached.cast("int")).where("_copies > 0")
     each = copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    mixed_up = each.repartition("shard").sortWithinPartitions("shard", F.xxhash64("_draw", "_copy"))
-    return mixed_up.select(*docs.columns, *([] if "shard" in docs.columns else ["shard"]))
+    shuffled = each.sortWithinPartitions("shard", F.xxhash64("_draw", "_copy"))
+    return shuffled.select(*[c for c in docs.columns if c != "shard"], "shard")

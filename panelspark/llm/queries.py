@@ -69,8 +69,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_simhash, op4_token_output, op5_pii, op6_mixing, op8_language_id, op9_maxscore, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_simhash, op4_token_output, op5_pii, op6_mixing, op8_language_id, op9_maxscore, op10_substring_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
