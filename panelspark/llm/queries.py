@@ -51,6 +51,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm.linededup import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelspark.llm.langid import language_of
 
@@ -76,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_simhash, op4_token_output, op5_pii, op6_mixing, op8_language_id, op9_maxscore, op10_substring_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_simhash, op4_token_output, op5_pii, op6_mixing, op7_line_dedup, op8_language_id, op9_maxscore, op10_substring_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
