@@ -421,7 +421,7 @@ RESIDUAL = f"{BARS}, {MARKET}, src AS (SELECT r.* EXCLUDE (r0), r.r0 - m.market_
 formula_query("feat_residual_dynamics", features.residual_dynamics(), with_residual, RESIDUAL, "src")
 formula_query("feat_seasonality", features.same_bucket_seasonality(), with_residual, RESIDUAL, "src")
 formula_query("feat_ou_process", features.mean_reversion_process(x="lc"), lambda s, d: event_bars(s, d).withColumn("lc", F.log("close")), f"{BARS}, src AS (SELECT *, ln(close) AS lc FROM bars)", "src")
-formula_query("feat_funding", features.funding(), lambda s, d: event_bars(s, d).withColumn("funding_rate", (F.col("close") - F.col("open")) / 10000), f"{BARS}, src AS (SELECT *, (close - open) / 10000 AS funding_rate FROM bars)", "src")
+formula_query("feat_funding", features.funding(), lambda s, d: event_bars(s, d).withColumn("funding_rate", (F.col("close") - F.col("open")) / 9973), f"{BARS}, src AS (SELECT *, (close - open) / 9973 AS funding_rate FROM bars)", "src")
 formula_query("feat_open_interest", features.open_interest(), lambda s, d: event_bars(s, d).withColumn("open_interest", F.col("quote_asset_volume") + 1), f"{BARS}, src AS (SELECT *, quote_asset_volume + 1 AS open_interest FROM bars)", "src")
 formula_query("feat_positioning", features.positioning(), lambda s, d: event_bars(s, d).withColumns({"retail_ls_ratio": F.col("high") / F.col("low"), "toptrader_ls_positions": F.col("open") / F.col("close"), "taker_buy_sell_ratio": F.col("taker_buy_base_asset_volume") / F.col("volume")}), f"{BARS}, src AS (SELECT *, high / low AS retail_ls_ratio, open / close AS toptrader_ls_positions, taker_buy_base_asset_volume / volume AS taker_buy_sell_ratio FROM bars)", "src")
 
