@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelspark.operators import discovery, evaluation, events, factors, features, joins, portfolio, reports
+from panelspark.operators import discovery, evaluation, events, factors, features, joins, portfolio, reports, slow_features
 from panelspark.operators.panels import DAYS_SQL, bars_sql, calendar, carried, densify, event_bars, event_trades, last_in_bucket, ohlcv, strided, table, user_days
 from panelspark.plans import dsl
 from panelspark.plans.formula import Formula, across, average_rank, beta, change, corr, cross_z, forward_sum, lag, mean, most, percent_rank, running, std, total
@@ -432,6 +432,63 @@ def feature_coverage(spark, d):
     return f.agg(*[F.round(F.avg(F.col(c).isNull().cast("double")), 6).alias(c) for c in ("px_ret_1d", "px_ret_3d")])
 
 
+# ---- features of daily and event data ------------------------------------------------------------
+
+MACRO_COLUMNS = {"rates2y": "click", "rates10y": "view", "dollar": "signup", "vix": "error", "breakeven10": "purchase"}
+MACRO_SQL = f"daily AS (SELECT date_trunc('day', ts)::TIMESTAMP AS timestamp, 'all' AS symbol, {', '.join(f"avg(value) FILTER (event_type = '{e}') AS {c}" for c, e in MACRO_COLUMNS.items())}, sum(value) AS fed_bs, CAST(count(*) AS DOUBLE) AS rrp, sum(value) + 1 AS stables_mcap, max(value) AS fear_greed, avg(value) / 100 AS dominance, CASE WHEN max(value) > 300 THEN 1 ELSE 0 END AS is_event, avg(value) / 50 - 1 AS res FROM events GROUP BY 1)"
+
+
+def macro_days(spark, d):
+    day = F.date_trunc("day", F.col("ts").cast("timestamp")).cast("timestamp_ntz")
+    v = F.col("value")
+    means = [F.avg(F.when(F.col("event_type") == e, v)).alias(c) for c, e in MACRO_COLUMNS.items()]
+    g = table(spark, d, "events").groupBy(day.alias("timestamp")).agg(*means, F.sum(v).alias("fed_bs"), F.count("*").cast("double").alias("rrp"), (F.sum(v) + 1).alias("stables_mcap"), F.max(v).alias("fear_greed"), (F.avg(v) / 100).alias("dominance"), F.when(F.max(v) > 300, 1).otherwise(0).alias("is_event"), (F.avg(v) / 50 - 1).alias("res"))
+    return g.withColumn("symbol", F.lit("all"))
+
+
+formula_query("feat_macro_state", slow_features.macro_state(20, 5), macro_days, MACRO_SQL, "daily")
+formula_query("feat_macro_betas", slow_features.macro_betas(w=15, least=8), macro_days, MACRO_SQL, "daily")
+formula_query("feat_stablecoins", slow_features.stablecoins(), lambda s, d: macro_days(s, d).select("timestamp", "symbol", *[F.col(a).alias(b) for a, b in (("fed_bs", "usdt"), ("rates2y", "usdc"), ("vix", "dai"), ("dollar", "eth"), ("breakeven10", "sol"), ("rates10y", "tron"))]), f"{MACRO_SQL}, src AS (SELECT timestamp, symbol, fed_bs AS usdt, rates2y AS usdc, vix AS dai, dollar AS eth, breakeven10 AS sol, rates10y AS tron FROM daily)", "src")
+formula_query("feat_unlocks", slow_features.unlocks(0.02), lambda s, d: user_days(s, d).select("timestamp", "symbol", (F.col("x") / 10007).alias("daily_pct")), f"{DAYS_SQL}, src AS (SELECT timestamp, symbol, x / 10007 AS daily_pct FROM days)", "src")
+formula_query("feat_developers", slow_features.developers(3, 5), lambda s, d: user_days(s, d).select("timestamp", "symbol", F.col("x").alias("all_devs"), F.col("y").alias("full_time_devs"), F.col("n").cast("double").alias("exclusive_devs")), f"{DAYS_SQL}, src AS (SELECT timestamp, symbol, x AS all_devs, y AS full_time_devs, CAST(n AS DOUBLE) AS exclusive_devs FROM days)", "src")
+formula_query("feat_factor_loadings", slow_features.loadings(24, 48), lambda s, d: event_bars(s, d).select("timestamp", "symbol", (F.col("high") / F.col("low")).alias("beta_market"), (F.col("low") / F.col("high")).alias("r_squared")), f"{BARS}, src AS (SELECT timestamp, symbol, high / low AS beta_market, low / high AS r_squared FROM bars)", "src")
+
+
+@query(f"WITH {DAYS_SQL}, f AS (SELECT symbol, min(timestamp) + INTERVAL 2 DAY AS first_trade FROM days GROUP BY 1), a AS (SELECT d.timestamp, d.symbol, CASE WHEN date_diff('day', CAST(first_trade AS DATE), CAST(d.timestamp AS DATE)) >= 0 THEN CAST(date_diff('day', CAST(first_trade AS DATE), CAST(d.timestamp AS DATE)) AS DOUBLE) END AS x FROM days d JOIN f ON f.symbol = d.symbol) SELECT timestamp, symbol, x AS ls_days_listed, CASE WHEN x IS NOT NULL THEN CASE WHEN x <= 10 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS ls_is_young FROM a")
+def feat_listing_age(spark, d):
+    u = user_days(spark, d)
+    return slow_features.listing_age(u, u.groupBy("symbol").agg((F.min("timestamp") + F.expr("INTERVAL 2 DAYS")).alias("first_trade")), 10)
+
+
+@query(f"WITH {BARS}, errs AS (SELECT ts AS event_time FROM events WHERE event_type = 'error' AND value > 150), n AS (SELECT timestamp, symbol, (SELECT max(event_time) FROM errs WHERE event_time < timestamp) AS p, (SELECT min(event_time) FROM errs WHERE event_time >= timestamp) AS q FROM bars), h AS (SELECT timestamp, symbol, CASE WHEN q IS NOT NULL THEN least(168.0::DOUBLE, (epoch_us(q) - epoch_us(timestamp)) / 3.6e9::DOUBLE) END AS a, CASE WHEN p IS NOT NULL THEN least(168.0::DOUBLE, (epoch_us(timestamp) - epoch_us(p)) / 3.6e9::DOUBLE) END AS b FROM n) SELECT timestamp, symbol, round(a, 6) AS ev_hours_to_next, round(b, 6) AS ev_hours_since_last, CASE WHEN coalesce(a <= 6, false) OR coalesce(b <= 6, false) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ev_window FROM h")
+def feat_event_timing(spark, d):
+    e = table(spark, d, "events").where("event_type = 'error' AND value > 150").select(F.col("ts").alias("event_time"))
+    return rounded(slow_features.event_timing(event_bars(spark, d), e, bar_seconds=3600), "ev_hours_to_next", "ev_hours_since_last")
+
+
+FINE = bars_sql(600)
+INTRA = f"""{FINE}, l1 AS (SELECT *, CASE WHEN close > 0 THEN ln(close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY timestamp), 0)) END AS lr, close * volume AS xpv, CAST(timestamp AS DATE) AS day FROM bars),
+l2 AS (SELECT *, lag(lr) OVER (PARTITION BY symbol ORDER BY timestamp) AS lr_1, sum(xpv) OVER (PARTITION BY symbol, day ORDER BY timestamp) AS cum_pv, sum(volume) OVER (PARTITION BY symbol, day ORDER BY timestamp) AS cum_v FROM l1),
+l3 AS (SELECT *, {corr("lr", "lr_1", 60, 30)} AS ac FROM l2),
+src AS (SELECT make_timestamp(CAST(ceil(epoch_us(timestamp) / (21600 * 1e6)) AS BIGINT) * 21600 * 1000000) AS timestamp, symbol, coalesce(sum(lr * lr), 0) AS rv, max(abs(lr)) AS max_abs, sum(volume) AS v, sum(volume * volume) AS v2, sum(CASE WHEN volume <= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS zero, CAST(count(*) AS DOUBLE) AS n, last(close ORDER BY timestamp) AS close, last(cum_pv ORDER BY timestamp) AS pv, last(cum_v ORDER BY timestamp) AS cv, last(ac ORDER BY timestamp) AS ib_autocorr_1m FROM l3 GROUP BY 1, 2)"""
+
+
+@query(f"WITH {INTRA} {slow_features.INTRABAR(4).sql('src')}")
+def feat_intrabar(spark, d):
+    return slow_features.intrabar(ohlcv(event_trades(spark, d), 600).select("timestamp", "symbol", "close", "volume"), 21600, 4)
+
+
+@query()
+def feat_technical(spark, d):
+    return rounded(slow_features.technical(event_bars(spark, d)), "rs_rsi", "mc_macd_histogram", "at_atr", "dm_di_plus", "dm_di_minus", "dm_adx")
+
+
+@query()
+def feat_cluster_relative(spark, d):
+    p = with_residual(spark, d).select("timestamp", "symbol", "residual_return")
+    return rounded(slow_features.cluster_relative(p, "residual_return", slow_features.residual_clusters(p, "residual_return", -1.0, 2)), "cs_cluster_z")
+
+
 # ---- factors -------------------------------------------------------------------------------------
 
 PANEL = f"{DAYS_SQL}, p AS (SELECT timestamp, symbol, y AS signal, x AS char, lead(y, 1) OVER (PARTITION BY symbol ORDER BY timestamp) - y AS tgt FROM days)"
