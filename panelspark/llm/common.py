@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,3 +49,15 @@ def text_partitions(docs: DataFrame, text: str = "text") -> int:
     """Partitions for a shuffle of whole texts: the session's count, or more where texts are large."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
+
+
+#: What operators keep in a worker process from task to task: name -> how to let go of it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def only(name: str) -> None:
+    """Let go of what other operators keep in this worker process; a stage calls it before its own work."""
+    for other, clear in KEPT.items():
+        if other != name:
+            clear()
+    gc.collect()

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from panelspark.llm.common import materialize
+from panelspark.llm.common import materialize, only
 from panelspark.llm.components import connected_components
 
 #: Fingerprints in a bucket up to which all its pairs are compared at once; larger ones are searched from seeds.
@@ -68,6 +68,7 @@ def fingerprints(docs: DataFrame, words: int = 4, doc_id: str = "doc_id", text:
     """(doc_id, fp) per row; ``fp`` is the fingerprint as a signed 64-bit number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("simhash")
         for batch in batches:
             raw = b"".join([fingerprint(t.as_py(), words) for t in batch.column(1)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(raw, ">i8").astype(np.int64))], ["doc_id", "fp"])
@@ -301,7 +302,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, doc_id: st
 
 
 #: Lanes of a wide fingerprint; bits of a bucket key; recall of the search at the similarity asked for.
-LANES, KEY_BITS, RECALL = 8, 16, 0.985
+LANES, KEY_BITS, RECALL = 16, 16, 0.985
 
 
 def angle(similarity: float) -> float:
@@ -314,16 +315,17 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
 
     Fingerprints of ``64 x lanes`` bits estimate the similarity of shingle sets. Pairs are sought in tables
     keyed by disjoint runs of bits, as many tables as find a pair at ``similarity`` with probability
-    ``RECALL``, and linked if their distance is what that similarity leads to or less, with a margin of one
-    and a half standard deviations. Groups are components of links. Null and wordless texts form one group.
+    ``RECALL``, and linked if their distance is what that similarity leads to or less, with a margin of 1.7
+    standard deviations. Groups are components of links. Null and wordless texts form one group.
     """
     width = 64 * lanes
     p = angle(similarity)
-    radius = int(width * p + 1.5 * math.sqrt(width * p * (1 - p)))
+    radius = int(width * p + 1.7 * math.sqrt(width * p * (1 - p)))
     count = min(width // key_bits, math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - p) ** key_bits)))
 
     @F.pandas_udf("binary")
     def wide_print(texts: pd.Series) -> pd.Series:
+        only("simhash")
         return texts.map(lambda t: fingerprint(t, words, lanes=lanes))
 
     tagged = docs.select("doc_id", F.xxhash64("text").alias("th"), wide_print(F.col("text").cast("binary")).alias("fp"))
