@@ -155,3 +155,30 @@ def false_discovery(tests: DataFrame, p: str = "p", rate: float = 0.1, arbitrary
     ranked = tests.withColumn("_r", F.count(F.when(F.col(p).isNotNull(), 1)).over(Window.orderBy(F.col(p).asc_nulls_last())))
     cut = ranked.where(F.col(p) <= rate * F.col("_r") / (max(n, 1) * c)).agg(F.max(p)).first()[0]
     return tests.withColumn("discovered", F.coalesce(F.col(p) <= F.lit(cut), F.lit(False)))
+
+
+def targets_panel(panel: DataFrame, lags: dict[str, int], x: str = "residual_return", volume: str = "quote_asset_volume", w: int = 144, least: int = 36) -> DataFrame:
+    """Forward sums of ``x`` at several lags, the liquid half by trailing volume, and its decile, per row."""
+    own = Window.partitionBy("symbol").orderBy("timestamp")
+
+    def ahead(p: int) -> Column:
+        o = own.rowsBetween(1, p)
+        return F.when(F.count(x).over(o) == p, F.sum(x).over(o))
+
+    back = own.rowsBetween(-(w - 1), 0)
+    t = panel.withColumns({f"fwd_{n}": ahead(p) for n, p in lags.items()} | {"_adv": F.when(F.count(volume).over(back) >= least, F.avg(volume).over(back))})
+    known = t.where(F.col("_adv").isNotNull()).withColumn("_p", percent_rank(F.col("_adv"), "timestamp"))
+    flagged = known.select("timestamp", "symbol", (F.col("_p") >= 0.5).alias("is_liquid"), F.greatest(F.lit(1), F.least(F.lit(10), F.ceil(F.col("_p") * 10).cast("int"))).alias("liq_decile"))
+    return t.drop("_adv").join(flagged, ["timestamp", "symbol"], "left").withColumn("is_liquid", F.coalesce("is_liquid", F.lit(False)))
+
+
+def smoothing_half_life(lag_bars: int, buckets: Sequence[tuple[int, float]] = ((6, 2.0), (36, 6.0), (144, 24.0)), floor: float = 1.0) -> float:
+    """Half-life for the first bucket that reaches the lag; the last one beyond."""
+    return max(floor, next((h for top, h in buckets if lag_bars <= top), buckets[-1][1]))
+
+
+def binned_response(panel: DataFrame, feature: str, target: str, bins: int = 10) -> DataFrame:
+    """Mean target by cross-sectional bin of a feature."""
+    ok = panel.where(F.col(feature).isNotNull() & F.col(target).isNotNull())
+    pct = percent_rank(F.col(feature), "timestamp")
+    return ok.withColumn("bin", F.least(F.lit(bins - 1), F.floor(pct * bins).cast("int"))).groupBy("bin").agg(F.avg(target).alias("mean"), F.count(target).alias("n"))

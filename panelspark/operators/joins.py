@@ -87,3 +87,20 @@ def evolve_spells(spells: DataFrame, current: DataFrame, as_of: str) -> DataFram
     closed = spells.join(names, "symbol", "left").withColumn("valid_to", F.when(open_now & F.col("_here").isNull(), at).otherwise(F.col("valid_to"))).drop("_here")
     new = names.join(spells.where(open_now).select("symbol").distinct(), "symbol", "left_anti").select("symbol", at.alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"))
     return closed.select("symbol", "valid_from", "valid_to").unionByName(new)
+
+
+def backdate_spells(spells: DataFrame, first_trades: DataFrame, new_start: str) -> DataFrame:
+    """Move the seeded cohort, the rows at the earliest start, back to ``new_start`` or their first trade, whichever is later."""
+    start = F.lit(new_start).cast("timestamp_ntz")
+    earliest = spells.agg(F.min("valid_from").alias("_e"))
+    j = spells.join(earliest, how="cross").join(first_trades.select("symbol", "first_trade"), "symbol", "left")
+    moved = F.greatest(F.coalesce("first_trade", start), start)
+    seeded = (F.col("valid_from") == F.col("_e")) & (F.col("_e") > start)
+    return j.select("symbol", F.when(seeded, moved).otherwise(F.col("valid_from")).alias("valid_from"), "valid_to")
+
+
+def clip_spells(spells: DataFrame, first_trades: DataFrame, floor: str) -> DataFrame:
+    """A spell starts no earlier than its symbol's first trade, first trades before ``floor`` counting as ``floor``."""
+    j = spells.join(first_trades.select("symbol", "first_trade"), "symbol", "left")
+    at = F.greatest(F.col("first_trade"), F.lit(floor).cast("timestamp_ntz"))
+    return j.select("symbol", F.when(F.col("first_trade").isNotNull(), F.greatest(F.col("valid_from"), at)).otherwise(F.col("valid_from")).alias("valid_from"), "valid_to")

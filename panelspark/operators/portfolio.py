@@ -202,3 +202,18 @@ def backtest(panel: DataFrame, config: BookConfig = BookConfig()) -> DataFrame:
         return pd.DataFrame(out, columns=[c.split()[0] for c in BACKTEST.split(", ")])
 
     return panel.select("window", "timestamp", "symbol", "score", "r", "volume").groupBy("window").applyInPandas(run, BACKTEST)
+
+
+def funding_accrual(weights: DataFrame, rates: DataFrame, bar_seconds: int = 600) -> DataFrame:
+    """Funding paid per stamp by the book held over the bar that ends at the settlement: minus weight times rate."""
+    paid = rates.select(F.col("timestamp"), "symbol", "funding_rate")
+    held = weights.select((F.col("timestamp") + F.expr(f"INTERVAL {bar_seconds} SECONDS")).alias("timestamp"), "symbol", "weight")
+    return held.join(paid, ["timestamp", "symbol"]).groupBy("timestamp").agg((-F.sum(F.col("weight") * F.col("funding_rate"))).alias("funding_pnl"))
+
+
+def month_book(signals: DataFrame) -> DataFrame:
+    """Weights of signals within their lag bucket, by positive quality, equal where none is positive."""
+    q = F.greatest(F.col("quality"), F.lit(0.0))
+    w = Window.partitionBy("lag")
+    total, n = F.sum(q).over(w), F.count(F.lit(1)).over(w)
+    return signals.withColumn("weight", F.when(total > 0, q / total).otherwise(1.0 / n))

@@ -49,3 +49,32 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     got = df.agg(*[safe_corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     text = ", ".join(f"'{a}', '{b}', c{i}" for i, (a, b) in enumerate(pairs))
     return got.select(F.expr(f"stack({len(pairs)}, {text}) AS (a, b, corr)"))
+
+
+def weights_audit(weights: DataFrame) -> DataFrame:
+    """Per symbol: mean and largest absolute weight, bars held, and how often the sign flips."""
+    w = Window.partitionBy("symbol").orderBy("timestamp")
+    s = weights.withColumn("_flip", (F.signum("weight") * F.signum(F.lag("weight").over(w)) < 0).cast("double"))
+    return s.groupBy("symbol").agg(F.avg(F.abs("weight")).alias("mean_abs"), F.max(F.abs("weight")).alias("max_abs"), F.sum((F.abs("weight") > 1e-9).cast("long")).alias("bars_held"), F.avg(F.coalesce("_flip", F.lit(0.0))).alias("flip_rate"))
+
+
+def window_returns(returns: DataFrame, window: str, x: str = "r") -> DataFrame:
+    """Per window: compounded return, worst bar, and the mean of its worst hundredth (one bar at least)."""
+    w = Window.partitionBy(window)
+    ranked = returns.withColumns({"_n": F.count(x).over(w), "_k": F.row_number().over(w.orderBy(x, "timestamp"))})
+    tail = F.col("_k") <= F.greatest(F.lit(1), F.floor(F.col("_n") / 100))
+    return ranked.groupBy(window).agg((F.product(1 + F.col(x)) - 1).alias("total_return"), F.min(x).alias("worst"), F.avg(F.when(tail, F.col(x))).alias("tail_mean"), F.count(x).alias("n"))
+
+
+def funnel(ledger: DataFrame) -> DataFrame:
+    """Per roll: evaluated, with a positive net rate, captured, promotable."""
+    net, cap = F.col("net_rate") > 0, F.col("capture") >= 0.5
+    count = lambda c: F.count(F.when(c, 1))
+    return ledger.groupBy("roll_id").agg(F.count(F.lit(1)).alias("evaluated"), count(net).alias("net_positive"), count(net & cap).alias("captured"), count(net & cap & (F.col("test_days") >= 20)).alias("eligible"))
+
+
+def terciles(df: DataFrame, x: str) -> DataFrame:
+    """Adds ``tercile`` 0, 1 or 2 by exact cuts with linear interpolation, right-closed."""
+    cuts = df.agg(F.percentile(x, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_c"))
+    c = F.col("_c")
+    return df.join(cuts, how="cross").withColumn("tercile", F.when(F.col(x) <= c[0], 0).when(F.col(x) <= c[1], 1).when(F.col(x).isNotNull(), 2)).drop("_c")

@@ -836,3 +836,76 @@ def json_and_hash(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object(p, "$.k").cast("long").alias("k"), F.sha2(p, 256).alias("digest"), F.substring(F.sha1(p), 1, 16).alias("short"))
 
 
+
+
+FIRST = "ft AS (SELECT CAST(user_id AS VARCHAR) AS symbol, min(ts) + INTERVAL 3 DAY AS first_trade FROM events WHERE user_id % 2 = 0 GROUP BY user_id)"
+
+
+def first_trades(spark, d):
+    return table(spark, d, "events").where("user_id % 2 = 0").groupBy("user_id").agg((F.min("ts") + F.expr("INTERVAL 3 DAYS")).alias("first_trade")).select(F.col("user_id").cast("string").alias("symbol"), "first_trade")
+
+
+@query(f"WITH {SPELLS}, {FIRST}, sd AS (SELECT symbol, date_trunc('month', valid_from)::TIMESTAMP AS valid_from, valid_to FROM spells) SELECT s.symbol, CASE WHEN s.valid_from = (SELECT min(valid_from) FROM sd) AND s.valid_from > TIMESTAMP '2023-06-01' THEN greatest(coalesce(f.first_trade, TIMESTAMP '2023-06-01'), TIMESTAMP '2023-06-01') ELSE s.valid_from END AS valid_from, s.valid_to FROM sd s LEFT JOIN ft f ON f.symbol = s.symbol")
+def membership_backdate(spark, d):
+    month = F.date_trunc("month", F.col("valid_from").cast("timestamp")).cast("timestamp_ntz")
+    return joins.backdate_spells(spells_of(spark, d).withColumn("valid_from", month), first_trades(spark, d), "2023-06-01")
+
+
+@query(f"WITH {SPELLS}, {FIRST} SELECT s.symbol, CASE WHEN f.first_trade IS NOT NULL THEN greatest(s.valid_from, greatest(f.first_trade, TIMESTAMP '2024-01-05')) ELSE s.valid_from END AS valid_from, s.valid_to FROM spells s LEFT JOIN ft f ON f.symbol = s.symbol")
+def membership_clip(spark, d):
+    return joins.clip_spells(spells_of(spark, d), first_trades(spark, d), "2024-01-05")
+
+
+@query("WITH t AS (SELECT user_id, sum(value) AS x FROM events GROUP BY 1), c AS (SELECT quantile_cont(x, 1.0 / 3) AS a, quantile_cont(x, 2.0 / 3) AS b FROM t) SELECT user_id, CASE WHEN x <= a THEN 0 WHEN x <= b THEN 1 ELSE 2 END AS tercile FROM t, c")
+def tercile_cut(spark, d):
+    return reports.terciles(table(spark, d, "events").groupBy("user_id").agg(F.sum("value").alias("x")), "x").select("user_id", "tercile")
+
+
+@query(f"WITH {BARS} SELECT timestamp, symbol, round(avg(close) OVER (PARTITION BY symbol ORDER BY timestamp ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 9) AS smooth FROM bars")
+def centred_mean(spark, d):
+    w = Window.partitionBy("symbol").orderBy("timestamp").rowsBetween(-2, 2)
+    return event_bars(spark, d).select("timestamp", "symbol", F.round(F.avg("close").over(w), 9).alias("smooth"))
+
+
+TARGETS = f"{RESIDUAL}, tg AS (SELECT timestamp, symbol, {forward_sum('residual_return', 1)} AS fwd_1b, {forward_sum('residual_return', 6)} AS fwd_6b, {mean('quote_asset_volume', 144, 36)} AS adv FROM src), pr AS (SELECT *, {percent_rank('adv')} AS p FROM tg)"
+
+
+@query(f"WITH {TARGETS} SELECT timestamp, symbol, round(fwd_1b, 6) AS fwd_1b, round(fwd_6b, 6) AS fwd_6b, coalesce(p >= 0.5, false) AS is_liquid, CASE WHEN p IS NOT NULL THEN CAST(greatest(1, least(10, ceil(p * 10))) AS INTEGER) END AS liq_decile FROM pr")
+def targets_panel(spark, d):
+    t = evaluation.targets_panel(with_residual(spark, d), {"1b": 1, "6b": 6})
+    return rounded(t.select("timestamp", "symbol", "fwd_1b", "fwd_6b", "is_liquid", "liq_decile"), "fwd_1b", "fwd_6b")
+
+
+@query(f"WITH {PANEL}, ok AS (SELECT tgt, (rank() OVER (PARTITION BY timestamp ORDER BY signal) + (count(*) OVER (PARTITION BY timestamp, signal) - 1) / 2.0) / count(*) OVER (PARTITION BY timestamp) AS pct FROM p WHERE tgt IS NOT NULL) SELECT CAST(least(9, floor(pct * 10)) AS INTEGER) AS bin, round(avg(tgt), 6) AS mean, count(tgt) AS n FROM ok GROUP BY 1")
+def feature_decile_curve(spark, d):
+    return rounded(evaluation.binned_response(cross_panel(spark, d), "signal", "tgt"), "mean")
+
+
+@query(f"WITH {BARS}, wt AS (SELECT timestamp + INTERVAL 1 HOUR AS timestamp, symbol, open / 1000 AS weight FROM bars) SELECT w.timestamp, round(-sum(w.weight * (b.close - b.open) / 9973), 9) AS funding_pnl FROM wt w JOIN bars b ON b.timestamp = w.timestamp AND b.symbol = w.symbol GROUP BY 1")
+def funding_accrual(spark, d):
+    b = event_bars(spark, d)
+    out = portfolio.funding_accrual(b.select("timestamp", "symbol", (F.col("open") / 1000).alias("weight")), b.select("timestamp", "symbol", ((F.col("close") - F.col("open")) / 9973).alias("funding_rate")), 3600)
+    return rounded(out, "funding_pnl", digits=9)
+
+
+@query("WITH s AS (SELECT o_orderkey AS signal_id, o_custkey % 6 AS lag, o_totalprice / 1e5 - 3 AS quality FROM orders) SELECT signal_id, lag, round(CASE WHEN sum(greatest(quality, 0)) OVER (PARTITION BY lag) > 0 THEN greatest(quality, 0) / sum(greatest(quality, 0)) OVER (PARTITION BY lag) ELSE 1.0 / count(*) OVER (PARTITION BY lag) END, 9) AS weight FROM s")
+def month_book(spark, d):
+    s = table(spark, d, "orders").select(F.col("o_orderkey").alias("signal_id"), (F.col("o_custkey") % 6).alias("lag"), (F.col("o_totalprice") / 1e5 - 3).alias("quality"))
+    return rounded(portfolio.month_book(s).select("signal_id", "lag", "weight"), "weight", digits=9)
+
+
+@query(f"WITH {BOOK}, f AS (SELECT *, CASE WHEN weight * lag(weight) OVER (PARTITION BY symbol ORDER BY timestamp) < 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS flip FROM bk) SELECT symbol, round(avg(abs(weight)), 8) AS mean_abs, round(max(abs(weight)), 8) AS max_abs, CAST(sum(CASE WHEN abs(weight) > 1e-9 THEN 1 ELSE 0 END) AS BIGINT) AS bars_held, round(avg(flip), 8) AS flip_rate FROM f GROUP BY 1")
+def weights_audit(spark, d):
+    w = evaluation.book_weights(cross_panel(spark, d).where("tgt IS NOT NULL"))
+    return rounded(reports.weights_audit(w), "mean_abs", "max_abs", "flip_rate", digits=8)
+
+
+@query(f"WITH {STRAT}, k AS (SELECT date_trunc('week', timestamp)::DATE AS week, timestamp, r, count(r) OVER (PARTITION BY date_trunc('week', timestamp)) AS n, row_number() OVER (PARTITION BY date_trunc('week', timestamp) ORDER BY r, timestamp) AS j FROM st) SELECT week, round(product(1 + r) - 1, 8) AS total_return, round(min(r), 8) AS worst, round(avg(CASE WHEN j <= greatest(1, floor(n / 100)) THEN r END), 8) AS tail_mean, count(r) AS n FROM k GROUP BY 1")
+def window_returns(spark, d):
+    s = strategy(spark, d).withColumn("week", F.trunc(F.to_date("timestamp"), "week"))
+    return rounded(reports.window_returns(s, "week"), "total_return", "worst", "tail_mean", digits=8)
+
+
+@query(f"WITH {LEDGER} SELECT roll_id, count(*) AS evaluated, count(*) FILTER (net_rate > 0) AS net_positive, count(*) FILTER (net_rate > 0 AND capture >= 0.5) AS captured, count(*) FILTER (net_rate > 0 AND capture >= 0.5 AND test_days >= 20) AS eligible FROM ledger GROUP BY 1")
+def discovery_funnel(spark, d):
+    return reports.funnel(ledger_of(spark, d))
