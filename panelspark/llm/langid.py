@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.llm.common import only
+
 #: Labelled documents that training may use in all, and characters that one of them may have.
-SAMPLE_DOCS, SAMPLE_CHARS = 1600, 3000
+SAMPLE_DOCS, SAMPLE_CHARS = 900, 3000
 #: Hash buckets of features, words of a block, letters handled at a time.
-DIMENSIONS, BLOCK, SLICE = 1 << 18, 32, 1 << 20
+DIMENSIONS, BLOCK, SLICE = 1 << 18, 32, 1 << 19
 PASSES, RATE = 8, 0.5
 ODD = 0x9E3779B97F4A7C15
 INVERSE = pow(ODD, -1, 1 << 64)
@@ -179,7 +181,7 @@ def train(sample: list[tuple[str, str]], passes: int = PASSES, seed: int = 5) ->
     seen = np.zeros((k, k)) + 0.5
     np.add.at(seen, (y[:-1][inside[1:]], y[1:][inside[1:]]), 1)
     log_t = np.log(seen / seen.sum(axis=1, keepdims=True))
-    step_w, step_t = np.full(k, 1e-6), np.full((k, k), 1e-6)
+    step_t = np.full((k, k), 1e-6)
     scale = (1 / np.sqrt(w.letters + 1))[:, None]
     widths = np.diff(np.append(w.first, len(w.places)))
     cells = np.full((DIMENSIONS, k), 1e-4)
@@ -196,11 +198,10 @@ def train(sample: list[tuple[str, str]], passes: int = PASSES, seed: int = 5) ->
         step_t += (grad_t / len(y)) ** 2
         log_t = log_t + 0.1 * RATE * (grad_t / len(y)) / np.sqrt(step_t)
         dw = d[back]
-        grams = np.repeat(dw * scale, widths, axis=0)
+        grams = np.repeat((dw * scale).astype(np.float32), widths, axis=0)
         grad = np.stack([sum(np.bincount(w.places[:, i], weights=grams[:, c], minlength=DIMENSIONS) for i in range(3)) + np.bincount(w.word, weights=dw[:, c], minlength=DIMENSIONS) for c in range(k)], axis=1)
         cells += grad * grad
         weights = weights + 0.1 * RATE * grad / np.sqrt(cells)
-    del step_w
     return Model(languages, weights.astype(np.float32), log_t)
 
 
@@ -257,6 +258,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("language")
         for batch in batches:
             found = classify(batch.column(at).to_pylist(), sent.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*batch.schema.names, "lang_pred", "score"])

@@ -32,6 +32,8 @@ PAIRED = 64
 #: Fingerprints in a bucket beyond which it is dealt out in blocks to many tasks.
 BUCKET_ROWS = 1 << 16
 CHUNK = 1 << 16
+#: Rows gathered before their buckets are searched: enough that a plane is long and a call does much.
+SEARCHED = 1 << 16
 #: Odd multipliers that turn a shingle's hash into those of further lanes.
 STEPS = np.array([1, *[pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, 64)]], np.uint64)
 
@@ -198,19 +200,24 @@ def by_bucket(batches: Iterator[pa.RecordBatch], columns_of: Callable, links: Ca
     ``links`` turns the arrays of whole buckets into a batch of links.
     """
     held: list[tuple[np.ndarray, ...]] = []
+    n = 0
     for batch in batches:
         columns = columns_of(batch)
         if not len(columns[0]):
             continue
-        other = np.zeros(len(columns[0]), bool)
-        for c in columns[1 : 1 + keys]:
+        held.append(columns)
+        n += len(columns[0])
+        if n < SEARCHED:
+            continue
+        joined = tuple(np.concatenate(x) for x in zip(*held))
+        other = np.zeros(n, bool)
+        for c in joined[1 : 1 + keys]:
             other |= c != c[-1]
         cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
         if cut:
-            yield links(*(np.concatenate(x) for x in zip(*held, tuple(c[:cut] for c in columns))))
-            held = []
-        held.append(tuple(c[cut:] for c in columns))
-    if held:
+            yield links(*(c[:cut] for c in joined))
+        held, n = [tuple(c[cut:] for c in joined)], n - cut
+    if n:
         yield links(*(np.concatenate(x) for x in zip(*held)))
 
 

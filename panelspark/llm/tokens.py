@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from panelspark.llm.common import fresh_path, materialize, text_partitions
+from panelspark.llm.common import KEPT, fresh_path, materialize, only, text_partitions
 
 MAGIC = b"PSTOKEN1"
 HEADER = struct.Struct("<8sIIIIQQQ")
@@ -125,6 +125,9 @@ def encoder_for(path: str, end_id: int) -> Encoder:
     return Encoder(path, end_id)
 
 
+KEPT["tokens"] = encoder_for.cache_clear
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit mixing hash."""
     x = x.astype(np.uint64)
@@ -263,6 +266,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str | None = None, en
     rows = wanted.withColumn("h", F.xxhash64("t")).repartitionByRange(text_partitions(wanted, "t"), "k", "h").sortWithinPartitions("k", "h", "t")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("tokens")
         encoder = encoder_for(tokenizer or default_tokenizer(), end_id)
         size, part, seq = len(encoder.end), TaskContext.get().partitionId(), 0
         ids: list = []
@@ -302,6 +306,7 @@ def read_token_digests(spark: SparkSession, path: str) -> DataFrame:
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("token blocks")
         for batch in batches:
             for content in batch.column(0):
                 for block in blocks(content.as_py()):
