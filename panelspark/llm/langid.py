@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import only
+from panelspark.llm.common import only, small_batches
 
 #: Labelled documents that training may use in all, and characters that one of them may have.
 SAMPLE_DOCS, SAMPLE_CHARS = 900, 3000
@@ -254,6 +254,7 @@ def held_out(doc_id: str = "doc_id"):
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; needs a text column, keeps all others, and replaces those two."""
     docs = docs.drop("lang_pred", "score")
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
