@@ -14,18 +14,6 @@ from pyspark.sql import functions as F
 PARTITION_BYTES = 64 << 20
 
 
-#: Rows that a batch between Spark and Python holds at most, so that long texts don't add up.
-BATCH_ROWS = 2000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Lower the session's rows a batch to ``BATCH_ROWS``; a lower setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -52,7 +40,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage with files that outlive any executor, so a lost one costs only its own tasks.
     """
     spark = df.sparkSession
-    small_batches(spark)
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -60,7 +47,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def text_partitions(docs: DataFrame, text: str = "text") -> int:
     """Partitions for a shuffle of whole texts: the session's count, or more where texts are large."""
-    small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
 
