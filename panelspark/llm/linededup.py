@@ -1,35 +1,41 @@
-"""Fuzzy line deduplication in built-in functions: MinHash bands, exact Jaccard, union-find.
+"""Fuzzy line deduplication: MinHash bands, exact Jaccard in whole buckets, union-find.
 
-A line's features are character shingles: the nine characters from each word's start on, lower-cased. A
-signature takes, for each of a number of fixed keys, the shingle hash nearest to the key by XOR; hashes
-being random, that is a uniformly drawn shingle, the same for two lines with the probability of their
-Jaccard similarity. Lines with an equal band of signature values meet. In its bucket a line is paired with
-the bucket's least line and with its neighbours in an order by another band, so pairs grow with lines and
-not with their square; pairs are then held to the exact similarity, and links to connected components.
+A line's features are character shingles of the lower-cased line: nine characters from each character on, or,
+if asked, from each word's start on only. A signature takes, for each of a number of fixed keys, the shingle
+hash nearest to the key by XOR; hashes being random, that is a uniformly drawn shingle, the same for two lines
+with the probability of their Jaccard similarity. Lines with an equal band of signature values share a bucket.
 
-Lines are known by 64-bit hashes of their text. Texts travel twice: the lines of candidate pairs, to be
-compared, and the documents, to be cut.
+Every pair of a bucket is settled exactly. Two lines of the similarity asked for share one of their rarest
+shingles, so a line is held against those that it shares such a shingle with; lines found similar leave the
+bucket's pool and search in turn, so a group of copies costs its size and not its square. Large buckets are
+dealt out as pairs of blocks.
+
+Lines are known by 64-bit hashes of their text. Texts travel twice: the lines of buckets, to be compared, and
+the documents, to be cut. Signatures and comparisons are numpy over Arrow batches, the rest is DataFrame
+operations.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from panelspark.llm.common import materialize
+from panelspark.llm.common import materialize, only
 from panelspark.llm.components import connected_components
 
 #: Characters of a shingle; signature values in a band; bands. At similarity 0.8 a pair meets with probability 0.987.
 SHINGLE, ROWS, BANDS = 9, 3, 6
-#: Neighbours that a line is paired with in each bucket.
-NEIGHBOURS = 2
-
-
-def shingles(line: Column, width: int = SHINGLE) -> Column:
-    """Distinct 32-bit hashes of the shingles of a line."""
-    found = F.regexp_extract_all(F.lower(line), F.lit(rf"(?<!\S)(?=(\S.{{0,{width - 1}}}))"), 1)
-    return F.array_distinct(F.transform(found, lambda s: F.hash(s)))
+#: Lines and characters of a block; a bucket of more is compared block by block.
+BLOCK_LINES, BLOCK_CHARS = 2048, 4 << 20
+#: Characters hashed at a time.
+CHUNK = 1 << 18
+#: Odd multipliers, one for each character of a shingle.
+STEPS = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) for i in range(SHINGLE)], np.uint64)
+BLANK = np.array([9, 10, 11, 12, 13, 32], np.uint32)
 
 
 def _keys(n: int) -> list[int]:
@@ -37,19 +43,111 @@ def _keys(n: int) -> list[int]:
     out, x = [], 0x9E3779B9
     for _ in range(n):
         x = (x * 1664525 + 1013904223) & 0xFFFFFFFF
-        out.append(x - (1 << 32) if x >> 31 else x)
+        out.append(x)
     return out
 
 
-def _nearest(key: int):
-    return lambda h: h.bitwiseXOR(F.lit(key))
-
+def shingles(lines: list[str], every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of lines that hold a word, end to end, and where each line's begin.
 
-def bands(features: Column, rows: int = ROWS, count: int = BANDS) -> Column:
-    """A hash of each band of the signature."""
-    keys = _keys(rows * count)
-    value = [F.array_min(F.transform(features, _nearest(k))) for k in keys]
-    return F.array(*[F.xxhash64(F.lit(b), *value[b * rows : (b + 1) * rows]) for b in range(count)])
+    A shingle starts at each character that has eight more after it (at the first, in a shorter line), or,
+    if not ``every``, at each word's start, and ends with the line at the latest.
+    """
+    sizes = np.array([len(x) for x in lines], np.int64)
+    joined = ("\0" * SHINGLE).join(lines) + "\0" * SHINGLE
+    chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    ends = np.cumsum(sizes + SHINGLE)
+    starts = ends - sizes - SHINGLE
+    if every:
+        takes = np.maximum(sizes - SHINGLE + 1, 1)
+        here = np.repeat(starts - (np.cumsum(takes) - takes), takes) + np.arange(takes.sum())
+    else:
+        word = ~np.isin(chars, BLANK)
+        word[(np.repeat(ends - SHINGLE, SHINGLE).reshape(-1, SHINGLE) + np.arange(SHINGLE)).ravel()] = False
+        here = np.flatnonzero(word & ~np.concatenate([[False], word[:-1]]))
+        takes = np.diff(np.searchsorted(here, np.append(starts, len(chars))))
+    wide = chars.astype(np.uint64)
+    inside = np.ones(len(chars), bool)
+    inside[(np.repeat(ends - SHINGLE, SHINGLE).reshape(-1, SHINGLE) + np.arange(SHINGLE)).ravel()] = False
+    wide += inside  # a character is never what stands after the line
+    total = len(wide)
+    h = np.zeros(total, np.uint64)
+    for i, step in enumerate(STEPS):
+        h[: total - i] += wide[i:] * step
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h[here], np.cumsum(takes) - takes
+
+
+def signatures(lines: list[str], every: bool) -> np.ndarray:
+    """(lines, values) of 32 bits: for each key the shingle hash nearest to it."""
+    h, starts = shingles(lines, every)
+    low = h.astype(np.uint32)
+    return np.stack([np.minimum.reduceat(low ^ np.uint32(k), starts) for k in _keys(ROWS * BANDS)], axis=1)
+
+
+def _chunks(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
+    lo = held = 0
+    for i, n in enumerate(sizes):
+        if held and held + n > limit:
+            yield lo, i
+            lo, held = i, 0
+        held += n + SHINGLE
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
+def similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links whose components are those of all pairs of ``sets``, each of distinct values, with this Jaccard similarity."""
+    sizes = np.array([len(s) for s in sets])
+    if len(sets) == 2:
+        if min(sizes) < similarity * max(sizes):
+            return []
+        common = len(np.intersect1d(*sets, assume_unique=True))
+        return [(0, 1)] if common >= similarity * (sizes.sum() - common) else []
+    _, ids, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    line = np.repeat(np.arange(len(sets)), sizes)
+    ids = rank[ids]
+    ids = ids[np.lexsort((ids, line))]  # a line's rarest shingles first
+    starts = np.cumsum(sizes) - sizes
+    prefix = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+    early = np.arange(len(ids)) - starts[line] < prefix[line]
+    alive, mark, links, frontier = np.ones(len(sets), bool), np.zeros(len(count), bool), [], []
+    left = indexed = len(sets)
+    first, tokens, owners = 0, None, None
+    while left:
+        if tokens is None or 2 * left < indexed:
+            use = early & alive[line]
+            order = np.argsort(ids[use], kind="stable")
+            tokens, owners, indexed = ids[use][order], line[use][order], left
+        if frontier:
+            f = frontier.pop()
+        else:
+            while not alive[first]:
+                first += 1
+            f, alive[first], left = first, False, left - 1
+        own = ids[starts[f] : starts[f] + sizes[f]]
+        head = own[: prefix[f]]
+        lo, hi = np.searchsorted(tokens, head), np.searchsorted(tokens, head, "right")
+        met = np.concatenate([owners[a:b] for a, b in zip(lo, hi)])
+        met = np.unique(met[alive[met]])
+        met = met[(sizes[met] >= similarity * sizes[f] - 1e-9) & (sizes[f] >= similarity * sizes[met] - 1e-9)]
+        if not len(met):
+            continue
+        mark[own] = True
+        n = sizes[met]
+        rows = np.repeat(starts[met] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        common = np.add.reduceat(mark[ids[rows]], np.cumsum(n) - n, dtype=np.int64)
+        mark[own] = False
+        found = met[common >= similarity * (n + sizes[f] - common)].tolist()
+        alive[found] = False
+        left -= len(found)
+        frontier += found
+        links += [(f, g) for g in found]
+    return links
 
 
 def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -58,37 +156,81 @@ def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.where(F.col("line").rlike(r"\S"))
 
 
-def candidates(signed: DataFrame) -> DataFrame:
-    """(a, b), a < b: lines that share a bucket, each with the bucket's least line and its next neighbours."""
-    count = BANDS
-    filed = signed.select("h", "bands", F.posexplode("bands").alias("i", "bucket"))
-    filed = filed.select("h", "bucket", F.element_at("bands", (F.col("i") + 1) % count + 1).alias("near"))
-    w = Window.partitionBy("bucket").orderBy("near", "h")
-    least = F.min("h").over(Window.partitionBy("bucket"))
-    partners = filed.select("h", F.array(least, *[F.lag("h", k).over(w) for k in range(1, NEIGHBOURS + 1)]).alias("with"))
-    met = partners.where("with[0] != h OR with[1] IS NOT NULL").select("h", F.explode(F.array_distinct("with")).alias("o")).where("o IS NOT NULL AND o != h")
-    return met.select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct()
+def sign(lines: DataFrame, every: bool) -> DataFrame:
+    """(h, chars, values) of (h, line): signature values in the order of bands, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("lines")
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            sizes = [len(t) for t in texts]
+            raw = [row.tobytes() for lo, hi in _chunks(sizes, CHUNK) for row in signatures(texts[lo:hi], every)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(raw, pa.binary())], ["h", "chars", "values"])
+
+    return lines.select("h", F.lower("line").alias("line")).mapInArrow(run, "h long, chars long, values binary")
 
 
-def line_components(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def tiles(signed: DataFrame) -> DataFrame:
+    """(h, tile): lines by what they are compared in, such that any two of a bucket meet in a tile.
+
+    A tile is a bucket, or two blocks of a bucket that is larger than a block.
+    """
+    span = 4 * ROWS
+    bands = F.array(*[F.xxhash64(F.lit(b), F.substring("values", b * span + 1, span)) for b in range(BANDS)])
+    filed = signed.select("h", "chars", F.explode(bands).alias("bucket"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_LINES, F.sum("chars") / BLOCK_CHARS)).cast("int")
+    shared = filed.groupBy("bucket").agg(F.count("*").alias("n"), blocks.alias("m")).where("n > 1").select("bucket", "m")
+    met = filed.join(shared, "bucket").withColumn("mine", F.pmod(F.xxhash64("h"), F.col("m")).cast("int"))
+    whole = met.where("m = 1").select("h", F.col("bucket").alias("tile"))
+    dealt = met.where("m > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    return whole.union(dealt.select("h", F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile")))
+
+
+def tile_links(filed: DataFrame, similarity: float, every: bool) -> DataFrame:
+    """(a, b) of (tile, h, line), sorted by tile within partitions: a tile's similar lines, linked."""
+
+    def linked(hs: list[int], texts: list[str]) -> list[tuple[int, int]]:
+        sets = []
+        for lo, hi in _chunks([len(t) for t in texts], CHUNK):
+            h, starts = shingles(texts[lo:hi], every)
+            sets += [np.unique(x) for x in np.split(h, starts[1:])]
+        return [(hs[a], hs[b]) for a, b in similar(sets, similarity)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("lines")
+        now, hs, texts = None, [], []
+        for batch in batches:
+            out = []
+            for tile, h, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if tile != now:
+                    if len(hs) > 1:
+                        out += linked(hs, texts)
+                    now, hs, texts = tile, [], []
+                hs.append(h)
+                texts.append(text)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], ["a", "b"])
+        out = linked(hs, texts) if len(hs) > 1 else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], ["a", "b"])
+
+    return filed.select("tile", "h", F.lower("line").alias("line")).mapInArrow(run, "a long, b long")
+
+
+def line_components(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text", every: bool = False) -> DataFrame:
     """(h, root): lines linked to others, by hash, and the least hash of their component."""
     lines = lines_of(docs, doc_id, text).select(F.xxhash64("line").alias("h"), "line")
-    sets = lines.select("h", shingles(F.col("line")).alias("s"))
-    signed = materialize(sets.select("h", bands(F.col("s")).alias("bands")).groupBy("h").agg(F.min("bands").alias("bands")), "line-signatures")
-    pairs = materialize(candidates(signed), "line-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    held = lines.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
-    kept = materialize(held.select("h", shingles(F.col("line")).alias("s")), "line-shingles")
-    both = pairs.join(kept.select(F.col("h").alias("a"), F.col("s").alias("x")), "a").join(kept.select(F.col("h").alias("b"), F.col("s").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    links = both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b")
+    signed = materialize(sign(lines, every).groupBy("h").agg(F.min("chars").alias("chars"), F.min("values").alias("values")), "line-signatures")
+    filed = materialize(tiles(signed), "line-tiles")
+    held = lines.join(filed.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
+    dealt = filed.join(held, "h").select("tile", "h", "line").repartition("tile").sortWithinPartitions("tile")
+    links = materialize(tile_links(dealt, similarity, every), "line-links")
     return connected_components(links).toDF("h", "root")
 
 
-def line_dedup(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False, every: bool = False) -> DataFrame:
     """One row per document row: doc_id, n_lines, n_removed, kept_sha256 (and ``kept``, the text, if asked).
 
     Of every component of equal or similar lines the first by document id and place stays; the others go.
+    Similarity is of the shingles at ``every`` character, or else of those at word starts.
     Lines without a word stay and take no part. A null text has no lines. Rows without an id come last in
     the order. Rows equal in id and text are one document, and lose the same lines. An empty table gives no
     rows; other columns are ignored. Kept lines are joined by newlines.
@@ -96,7 +238,7 @@ def line_dedup(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id",
     occurrences = materialize(lines_of(docs, doc_id, text).select("id", "th", "at", F.xxhash64("line").alias("h")), "lines")
     first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "th", "at")).alias("f")
     seen = occurrences.groupBy("h").agg(first)
-    roots = materialize(line_components(docs, similarity, doc_id, text), "line-components")
+    roots = materialize(line_components(docs, similarity, doc_id, text, every), "line-components")
     rooted = seen.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
     stays = rooted.groupBy("root").agg(F.min("f").alias("f"))
     stays_of = rooted.select("h", "root").join(stays, "root").select("h", "f")

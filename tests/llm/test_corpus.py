@@ -318,6 +318,41 @@ def test_line_dedup(spark):
     assert Counter(got) == Counter(want)
 
 
+def test_line_buckets_are_searched_whole():
+    rng = random.Random(9)
+    shared = [f"t{i}w" for i in range(24)]
+    lines = []
+    for g in range(1500):
+        own = [f"{g + 1000}o{i}" for i in range(14)]
+        lines += [" ".join(shared + own), " ".join(shared + own[:-3] + [f"{g + 1000}n{i}" for i in range(3)])]
+    rng.shuffle(lines)
+    sets = [np.unique(x) for x in np.split(*(lambda h, s: (h, s[1:]))(*linededup.shingles(lines, False)))]
+    of = [set(x.tolist()) for x in sets]
+    pairs = linededup.similar(sets, 0.8)
+    assert len(pairs) == 1500 and all(len(of[a] & of[b]) >= 0.8 * len(of[a] | of[b]) for a, b in pairs)
+    for n in (2, 3, 40):  # any sets at all: the components are those of all pairs
+        some = [np.unique(np.array(rng.sample(range(12), rng.randint(5, 10)))) for _ in range(n)]
+        root, want = list(range(n)), list(range(n))
+        for out, links in ((root, linededup.similar(some, 0.8)), (want, [(a, b) for a in range(n) for b in range(a) if len(set(some[a]) & set(some[b])) >= 0.8 * len(set(some[a]) | set(some[b]))])):
+            for _ in range(n):
+                for a, b in links:
+                    out[a] = out[b] = min(out[a], out[b])
+        assert root == want
+
+
+def test_line_bucket_of_thousands(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "BLOCK_LINES", 1024)
+    rng = random.Random(9)
+    shared = [f"t{i}w" for i in range(24)]
+    rows = []
+    for g in range(1500):
+        own = [f"{g + 1000}o{i}" for i in range(14)]
+        rows += [(2 * g, " ".join(shared + own)), (2 * g + 1, " ".join(shared + own[:-3] + [f"{g + 1000}n{i}" for i in range(3)]))]
+    got = linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept = {r.doc_id for r in got.where("n_removed = 0").collect()}
+    assert {2 * g for g in range(1500)} <= kept and len(kept) - 1500 < 0.03 * 1500
+
+
 def generated(lang, rng, n):
     parts = {"en": ["the", "th", "ing", "ed", "and", "er", "wh", "on"], "fr": ["eau", "oi", "é", "que", "le", "ment", "ou", "aux"], "de": ["sch", "ei", "ung", "der", "ü", "und", "ch", "ß"]}[lang]
     return " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(n))
