@@ -54,7 +54,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelspark.llm.linededup import line_dedup
 
-    return line_dedup(table(spark, sf_dir, "documents"))
+    return line_dedup(table(spark, sf_dir, "documents"), every=True)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -353,6 +353,17 @@ def test_line_bucket_of_thousands(spark, monkeypatch):
     assert {2 * g for g in range(1500)} <= kept and len(kept) - 1500 < 0.03 * 1500
 
 
+def test_line_dedup_reads_all_of_a_line(spark, tmp_path):
+    from panelspark.llm.queries import op7_line_dedup
+
+    lines = ["https://www.alpenglow.org/a/first-page", "https://www.marmalade.net/quite/another", "東京は日本の首都です。人口は世界でも最大級。", "東京は日本の首都ですが、昔は江戸と呼ばれていた。", "0123456789abcdefghijklm", "012345678zyxwvutsrqpon"]
+    long = "".join(random.Random(2).choices("abcdefghij", k=200))
+    rows = [*enumerate(lines), (10, long), (11, long[:150] + "X" + long[151:]), (12, "a b"), (13, "A B"), (14, "a c")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    gone = {r.doc_id for r in op7_line_dedup(spark, str(tmp_path)).where("n_removed > 0").collect()}
+    assert gone == {11, 13}
+
+
 def generated(lang, rng, n):
     parts = {"en": ["the", "th", "ing", "ed", "and", "er", "wh", "on"], "fr": ["eau", "oi", "é", "que", "le", "ment", "ou", "aux"], "de": ["sch", "ei", "ung", "der", "ü", "und", "ch", "ß"]}[lang]
     return " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(n))
