@@ -256,7 +256,10 @@ def trained(sentences: int = SENTENCES, passes: int = PASSES, seed: int = 11) ->
 
 
 def _islands(text: str) -> Iterator[tuple[list[re.Match], str, str]]:
-    """Runs of tokens that bear digits or at-signs, with up to two plain tokens between spelled-out parts."""
+    """Runs of tokens that bear digits or at-signs, with as many plain tokens between two as a segment can hold.
+
+    A plain token beside a spelled-out at or dot belongs to the run too.
+    """
     at, end = BEARING.search(text), 0
     while at:
         start = at.start()
@@ -284,6 +287,13 @@ def _islands(text: str) -> Iterator[tuple[list[re.Match], str, str]]:
             if after and (AT.fullmatch(after.group().strip(EDGE)) or DOT.fullmatch(after.group().strip(EDGE)) or after.group() == "@"):
                 run.append(nxt)
                 continue
+            plain, ahead = [nxt], after
+            while ahead and not BEARING.search(ahead.group()) and len(plain) < LONGEST - 2:
+                plain.append(ahead)
+                ahead = TOKEN.search(text, ahead.end())
+            if ahead and BEARING.search(ahead.group()):
+                run += [*plain, ahead]
+                continue
             break
         head = re.search(r"(\S+)\s*$", text[max(0, run[0].start() - 40) : run[0].start()])
         tail = TOKEN.match(text, nxt.start()) if nxt else None
@@ -305,19 +315,25 @@ def _decode(tokens: tuple[str, ...], before: str, after: str) -> tuple[tuple[int
     return tuple((*segs[q], y) for q, y in chosen if p[q, y] >= SURE)
 
 
-#: Tokens of an island that are decoded together; longer islands are tables of numbers and are cut between tokens.
+#: Tokens of an island that are decoded together; in longer islands the next part begins ``LONGEST - 1`` tokens before the end of the last.
 ISLAND = 64
 
 
 def field_spans(text: str) -> list[Span]:
     out = []
     for run, before, after in _islands(text):
-        for lo in range(0, len(run), ISLAND):
+        done = 0  # token up to which segments are reported
+        for lo in range(0, max(1, len(run) - LONGEST + 1), ISLAND - LONGEST + 1):
             part = run[lo : lo + ISLAND]
+            last = lo + ISLAND >= len(run)
             tokens = tuple(m.group()[:80] for m in part)
             if not any(len(NOT_DIGIT.sub("", t)) for t in tokens) and not any("@" in t or AT.search(t) for t in tokens):
                 continue
-            for i, j, y in _decode(tokens, before[-20:] if lo == 0 else run[lo - 1].group()[-20:], after[:20]):
+            ahead = after if last else run[lo + ISLAND].group()
+            for i, j, y in _decode(tokens, before[-20:] if lo == 0 else run[lo - 1].group()[-20:], ahead[:20]):
+                if lo + i < done or (not last and i > ISLAND - LONGEST):
+                    continue  # the part before has it, or the next one sees it whole
+                done = lo + j
                 start, end = part[i].start(), part[j - 1].end()
                 while start < end and text[start] in EDGE:
                     start += 1

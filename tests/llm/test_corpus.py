@@ -251,6 +251,16 @@ def test_pii_field_adds_and_stays_calm(spark):
         assert (add[t] in got[i].spans) if t in add else got[i].spans == ""
 
 
+def test_pii_segments_hold_plain_tokens_and_cross_parts():
+    card = "card 4539 - 1488 - 0343 - 6467 ok"
+    assert ("card", 5, 30) in pii.find_pii(card)[1]
+    phone, found = "(555) 123-4567", 0
+    for n in range(pii.ISLAND - 6, pii.ISLAND + 3):  # every place of the phone about the end of a part
+        text = "12% " * n + phone + " 30%" * 12
+        found += ("phone", 4 * n, 4 * n + len(phone)) in pii.find_pii(text)[1]
+    assert found == 9
+
+
 def test_pii_is_linear_in_long_runs():
     for t in ("a" * 200000 + "@", "1" * 200000, "1." * 50000, "+1" + " " * 200000, "a@" * 30000):
         pii.find_pii(t)
