@@ -37,7 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that hold ten consecutive words of a benchmark item, or a whole shorter item."""
-    return without_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), least=1)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -465,6 +465,14 @@ def test_substring_dedup(docs):
     assert sum(x[2] for x in want) > 100
 
 
+def test_decontamination_stage_takes_short_items(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(0, "zebra quilt harbour")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(0, "see the zebra quilt harbour here"), (1, "zebra harbour quilt"), (2, None)], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()} == {1, 2}
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
