@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,19 +47,65 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_partitions(docs: DataFrame, text: str = "text") -> int:
     """Partitions for a shuffle of whole texts: the session's count, or more where texts are large."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
 
 
+def shielded(docs: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with all columns but ``used`` renamed out of an operator's way, and the names to give back."""
+    away = {c: f"_shielded_{i}" for i, c in enumerate(docs.columns) if c not in used}
+    return docs.withColumnsRenamed(away), {v: k for k, v in away.items()}
+
+
+#: A key is hot if it holds more than this share of the rows; so at most 1024 keys are.
+HOT_SHARE = 1 / 1024
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has one row a key and says in ``n`` how many of ``total`` rows of ``left`` it meets.
+
+    Keys that hold more than ``HOT_SHARE`` of the rows, 1024 at most, are joined by broadcast where their
+    rows lie, so no task gathers them. Both tables are read twice.
+    """
+    hot = F.col(n) > total * HOT_SHARE
+    some = F.broadcast(right.where(hot).drop(n))
+    rest = left.join(some.select(key), key, "left_anti").join(right.where(~hot).drop(n), key)
+    return rest.unionByName(left.join(some, key))
+
+
 #: What operators keep in a worker process from task to task: name -> how to let go of it.
 KEPT: dict[str, Callable[[], None]] = {}
+_LAST: list[str] = []
+
+
+def _trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
 
 
 def only(name: str) -> None:
-    """Let go of what other operators keep in this worker process; a stage calls it before its own work."""
+    """Let go of what other operators keep in this worker process; every Python function calls it before its own work.
+
+    When the work changes, freed memory goes back to the system too: workers outlive their tasks, and what
+    one stage freed but did not return would count beside what the next one needs.
+    """
+    if _LAST == [name]:
+        return
+    _LAST[:] = [name]
     for other, clear in KEPT.items():
         if other != name:
             clear()
     gc.collect()
+    pa.default_memory_pool().release_unused()
+    _trim()
