@@ -25,9 +25,11 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -41,8 +43,10 @@ MAGIC = b"PSTOKEN1"
 HEADER = struct.Struct("<8sIIIIQQQ")
 #: Ids after which a block is closed; the block then holds at most this many and one document more.
 BLOCK_IDS = 4 << 20
-#: Words kept by an encoder's cache before the older half is dropped.
-CACHE_WORDS = 200_000
+#: Characters encoded at a time, and pieces that an encoder keeps from one slice to the next.
+SLICE, KEPT_PIECES = 4 << 20, 50_000
+#: Documents that a shard of the key index should hold.
+INDEX_DOCS = 1 << 20
 MASK = (1 << 64) - 1
 #: Fixed value: how a byte-level tokenizer splits a text.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -54,69 +58,101 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class _Cache(dict):
-    """Values by key, made when missing; the older half goes when the newer is full."""
-
-    def __init__(self, make):
-        self.make, self.old = make, {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= CACHE_WORDS:
-            self.old = dict(self)
-            self.clear()
-        if len(key) <= 64:
-            self[key] = value
-        return value
-
-
 class Encoder:
-    """Byte-level BPE through the ``tokenizers`` library with a bounded cache of words.
+    """Byte-level BPE through the ``tokenizers`` library, each distinct piece of a slice of texts once.
 
     A byte-level tokenizer never merges across its own word split, and that split always falls before a
-    single space that follows a non-space. Texts are therefore cut at such spaces and every distinct piece
-    is encoded once, split further by the tokenizer's own pattern. Texts where the cut is unsafe (white space before a space, or the text of an added
-    token) go to the library whole.
+    single space that follows a non-space. Texts are therefore cut at such spaces, the pieces are numbered,
+    each distinct one is split by the tokenizer's own pattern and encoded by its model, and the ids are laid
+    out by number. Texts where the cut is unsafe (white space before a space, or the text of an added
+    token) go to the library whole. Pieces that come often are kept for the next slice, up to ``KEPT_PIECES``.
     """
 
     def __init__(self, path: str, end_id: int = 0):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        split = spec.get("pre_tokenizer") or {}
-        self.cut = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec.get("normalizer")
-        self.added = [x["content"] for x in spec.get("added_tokens", []) if x["content"]]
+        self.model = self.tokenizer.model
+        split = self.tokenizer.pre_tokenizer
+        state = json.loads(split.__getstate__()) if split is not None else {}
+        self.cut = state.get("type") == "ByteLevel" and state.get("use_regex", True) and not state.get("add_prefix_space") and self.tokenizer.normalizer is None
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
         self.width = "<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
-        self.end = np.array([end_id], self.width).tobytes()
+        self.end_id, self.end = end_id, np.array([end_id], self.width).tobytes()
         self.unsafe = re.compile(r"\s ")
         self.splitter = regex.compile(SPLIT)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.words = _Cache(lambda piece: b"".join(map(self.parts.__getitem__, self.splitter.findall(" " + piece))))
-        self.parts = _Cache(self.part)
-
-    def part(self, piece: str) -> bytes:
-        """Ids of one piece of the byte-level split, from the library's model."""
-        shown = piece.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], self.width).tobytes()
+        self.space = self.letters[32]
+        self.often: dict[str, list[int]] = {}
+
+    def piece(self, piece: str) -> list[int]:
+        """Ids of a space and the piece after it."""
+        if piece.isascii() and piece.isalpha():
+            return [t.id for t in self.model.tokenize(self.space + piece)]
+        out = []
+        for part in self.splitter.findall(" " + piece):
+            out += [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
+        return out
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width).tobytes()
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str | None) -> bytes:
-        """Ids with the end id, as bytes of the payload's width."""
-        if not text:
-            return self.end
-        if not self.cut or self.unsafe.search(text) or any(x in text for x in self.added):
-            return self.whole(text) + self.end
-        first, *rest = text.split(" ")
-        head = self.whole(first) if first else b""
-        return head + b"".join(map(self.words.__getitem__, rest)) + self.end
+        """Ids of one text with the end id, as bytes of the payload's width."""
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text with the end id, as bytes of the payload's width; a slice of texts at a time."""
+        out, held, lo = [], 0, 0
+        for i, t in enumerate(texts):
+            held += len(t or "")
+            if held >= SLICE:
+                out += self._slice(texts[lo : i + 1])
+                lo, held = i + 1, 0
+        return out + self._slice(texts[lo:])
+
+    def _slice(self, texts: list[str | None]) -> list[bytes]:
+        out, cut = [], []
+        for i, t in enumerate(texts):
+            if not t:
+                out.append(self.end)
+            elif not self.cut or self.unsafe.search(t) or any(x in t for x in self.added):
+                out.append(np.array(self.whole(t), self.width).tobytes() + self.end)
+            else:
+                out.append(b"")
+                cut.append(i)
+        if not cut:
+            return out
+        lists = pc.split_pattern(pa.array([texts[i] for i in cut], pa.large_string()), " ")
+        numbered = lists.flatten().dictionary_encode()
+        offsets, code = lists.offsets.to_numpy(), numbered.indices.to_numpy().astype(np.int64)
+        pieces = numbered.dictionary.to_pylist()
+        del lists
+        often = np.bincount(code, minlength=len(pieces)) >= 4
+        ids, known = [], self.often
+        for p, again in zip(pieces, often.tolist()):
+            got = known.get(p)
+            if got is None:
+                got = self.piece(p)
+                if again and len(p) <= 64 and len(known) < KEPT_PIECES:
+                    known[p] = got
+            ids.append(got)
+        # A text's first piece has no space before it; the end id follows its last one.
+        code[offsets[:-1]] = np.arange(len(cut)) + len(ids)
+        ids += [self.whole(texts[i].split(" ", 1)[0]) for i in cut]
+        code = np.insert(code, offsets[1:], len(ids))
+        ids.append([self.end_id])
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), self.width, sizes.sum())
+        n = sizes[code]
+        ends = np.cumsum(n)
+        laid = flat[np.repeat((np.cumsum(sizes) - sizes)[code] - (ends - n), n) + np.arange(ends[-1])]
+        stops = ends[offsets[1:] + np.arange(len(cut))].tolist()
+        for i, a, b in zip(cut, [0, *stops], stops):
+            out[i] = laid[a:b].tobytes()
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -278,8 +314,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str | None = None, en
             return pa.RecordBatch.from_arrays([pa.array([pack_block(part, seq, ids, ords, out, encoder.width)], pa.binary())], ["block"])
 
         for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                got = encoder.encode(t.as_py())
+            for k, got in zip(batch.column(0).to_pylist(), encoder.encode_many(batch.column(1).to_pylist())):
                 last = (k, last[1] + 1 if k == last[0] else 0)
                 ids.append(k)
                 ords.append(last[1])
@@ -295,41 +330,170 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str | None = None, en
     written.select(F.col("block").cast("string")).write.text(path)
 
 
-READ = T.StructType([T.StructField(x, T.LongType()) for x in ("doc_id", "part", "seq", "at", "n_tokens", "ids_crc32")])
+READ = T.StructType([T.StructField(x, T.LongType()) for x in ("doc_id", "ordinal", "part", "seq", "at", "n_tokens", "ids_crc32", "h", "byte")])
 
 
-def read_token_digests(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document of the blocks under ``path``: doc_id, start, n_tokens and ids_crc32.
+def _read_back(spark: SparkSession, path: str) -> DataFrame:
+    """One row per document of the blocks under ``path``, each fetched through its block's hash index.
 
-    Every document is fetched through the blocks' hash index. ``start`` counts the ids of all documents
-    before it; a fetch that the index does not confirm fails the job.
+    ``at`` counts ids in the block, ``byte`` is where the document's ids begin in its file. A fetch that the
+    index does not confirm fails the job.
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("token blocks")
         for batch in batches:
             for content in batch.column(0):
+                begin = 0
                 for block in blocks(content.as_py()):
                     at, n = block.find(block.keys, block.nulls, block.ordinals)
                     if (at < 0).any():
                         raise ValueError("the index lacks a key of its own block")
-                    wide = block.ids.astype("<u4")
-                    crc = [zlib.crc32(wide[a : a + m]) for a, m in zip(at.tolist(), n.tolist())]
+                    crc = [zlib.crc32(block.ids[a : a + m].astype("<u4")) for a, m in zip(at.tolist(), n.tolist())]
+                    size = block.ids.itemsize
+                    byte = begin + block.length - size * block.n_ids + size * at
+                    h = _key_hash(block.keys, block.nulls, block.ordinals).view(np.int64)
                     fixed = [np.full(len(at), x, np.int64) for x in (block.part, block.seq)]
-                    yield pa.RecordBatch.from_arrays([pa.array(block.keys, mask=block.nulls.astype(bool)), *map(pa.array, fixed), pa.array(at), pa.array(n), pa.array(crc, pa.int64())], READ.names)
+                    yield pa.RecordBatch.from_arrays([pa.array(block.keys, mask=block.nulls.astype(bool)), pa.array(block.ordinals.astype(np.int64)), *map(pa.array, fixed), pa.array(at), pa.array(n), pa.array(crc, pa.int64()), pa.array(h), pa.array(byte)], READ.names)
+                    begin += block.length + 1
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    rows = materialize(files.mapInArrow(digest, READ), "token-digests")
-    # One row per block: a few for each partition written.
+    return materialize(files.mapInArrow(digest, READ), "token-digests")
+
+
+def _with_start(rows: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32; ``start`` counts the ids of all documents before."""
     totals = rows.groupBy("part", "seq").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("part", "seq", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per partition written: one for each 64 MB of text.
+    parts = totals.groupBy("part").agg(F.sum("n").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    of_part = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("p"))
+    of_block = totals.select("part", "seq", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("b"))
+    base = of_block.join(of_part, "part").select("part", "seq", (F.col("p") + F.col("b")).alias("base"))
     return rows.join(base, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_output(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, path: str | None = None) -> DataFrame:
-    """Write the token blocks of ``docs`` (to the shared folder if no path is given) and digest what they hold."""
+def read_token_digests(spark: SparkSession, path: str) -> DataFrame:
+    """One row per document of the blocks under ``path``: doc_id, start, n_tokens and ids_crc32."""
+    return _with_start(_read_back(spark, path))
+
+
+# ---- keys to places, over all files ------------------------------------------------------------------
+
+INDEX_MAGIC = b"PSINDEX1"
+INDEX_HEADER = struct.Struct("<8sIIIQQ")
+
+
+def pack_index(width: int, h: np.ndarray, keys: np.ndarray, nulls: np.ndarray, ordinals: np.ndarray, part: np.ndarray, byte: np.ndarray, n: np.ndarray) -> bytes:
+    """A shard of the key index: perfect hash, then fingerprint, file, place and count by slot.
+
+    Keys whose 64-bit hashes collide stand apart, with the keys themselves.
+    """
+    order = np.argsort(h, kind="stable")
+    same = np.zeros(len(h), bool)
+    twin = h[order][1:] == h[order][:-1]
+    same[order[1:][twin]] = same[order[:-1][twin]] = True
+    kept = np.flatnonzero(~same)
+    index = PerfectHash.build(h[kept])
+    slot = index.slot(h[kept])
+    columns = [np.zeros(len(kept), kind) for kind in ("<u4", "<u4", "<u8", "<u8")]
+    for c, v in zip(columns, ((h >> np.uint64(32)), part, byte, n)):
+        c[slot] = v[kept]
+    odd = np.flatnonzero(same)
+    extra = [keys[odd].astype("<i8"), nulls[odd].astype("u1"), ordinals[odd].astype("<u4"), part[odd].astype("<u4"), byte[odd].astype("<u8"), n[odd].astype("<u8")]
+    levels = index.tobytes()
+    return INDEX_HEADER.pack(INDEX_MAGIC, width, len(levels), 0, len(kept), len(odd)) + levels + b"".join(c.tobytes() for c in [*columns, *extra])
+
+
+def find_in_index(data: bytes, doc_id: int | None, ordinal: int = 0) -> tuple[int, int, int, int] | None:
+    """(id width, file, byte, count) of a key in an index shard, or None."""
+    magic, width, levels, _, n, odd = INDEX_HEADER.unpack_from(data)
+    if magic != INDEX_MAGIC:
+        raise ValueError("not a key index")
+    at, got = INDEX_HEADER.size + levels, []
+    for kind, count in (("<u4", n), ("<u4", n), ("<u8", n), ("<u8", n), ("<i8", odd), ("u1", odd), ("<u4", odd), ("<u4", odd), ("<u8", odd), ("<u8", odd)):
+        got.append(np.frombuffer(data, kind, count, at))
+        at += got[-1].nbytes
+    twin = np.flatnonzero((got[4] == (doc_id or 0)) & (got[5] == (doc_id is None)) & (got[6] == ordinal))
+    if len(twin):
+        return (width, *(int(c[twin[0]]) for c in got[7:]))
+    h = _one_hash(doc_id, ordinal)
+    slot = int(PerfectHash.frombytes(data[INDEX_HEADER.size : INDEX_HEADER.size + levels]).slot(h)[0]) if n else -1
+    if slot < 0 or got[0][slot] != int(h[0]) >> 32:
+        return None
+    return (width, *(int(c[slot]) for c in got[1:4]))
+
+
+def _one_hash(doc_id: int | None, ordinal: int) -> np.ndarray:
+    return _key_hash(np.array([doc_id or 0], np.int64), np.array([doc_id is None], np.uint8), np.array([ordinal], np.uint32))
+
+
+def _write_index(rows: DataFrame, path: str, width: int, index_docs: int) -> None:
+    spark = rows.sparkSession
+    shards = max(1, -(-rows.count() // index_docs))
+    dealt = rows.select(F.pmod("h", F.lit(shards)).alias("shard"), "h", "doc_id", "ordinal", "part", "byte", "n_tokens")
+
+    def build(table: pa.Table) -> pa.Table:
+        only("token blocks")
+        h, ordinal, part, byte, n = (table[c].to_numpy() for c in ("h", "ordinal", "part", "byte", "n_tokens"))
+        ids = table["doc_id"].combine_chunks()
+        data = pack_index(width, h.view(np.uint64), ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), ordinal, part, byte, n)
+        return pa.table([table["shard"].slice(0, 1).combine_chunks(), pa.array([data], pa.binary())], ["shard", "data"])
+
+    built = dealt.groupBy("shard").applyInArrow(build, "shard long, data binary")
+    built.select(F.lit(shards).alias("of"), "shard", F.col("data").cast("string").alias("value")).write.partitionBy("of", "shard").text(f"{path}-index")
+
+
+def _listed(spark: SparkSession, path: str) -> list:
+    """Names and paths of what a folder of any store holds; empty if there is none."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [(x.getPath().getName(), x.getPath().toString()) for x in fs.listStatus(folder)] if fs.exists(folder) else []
+
+
+def _bytes_of(spark: SparkSession, path: str, at: int = 0, n: int | None = None) -> bytes:
+    """A range of a file of any store."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+    try:
+        stream.seek(at)
+        read = jvm.org.apache.commons.io.IOUtils.toByteArray
+        return bytes(read(stream) if n is None else read(stream, n))
+    finally:
+        stream.close()
+
+
+def lookup(spark: SparkSession, path: str, doc_id: int | None, ordinal: int = 0) -> np.ndarray | None:
+    """Ids of one document of the blocks under ``path``, end id included, or None.
+
+    One shard of the key index and the document's own ids are read, whatever the corpus holds. An absent
+    key passes the stored fingerprint once in 2 ** 32.
+    """
+    of = next((name for name, _ in _listed(spark, f"{path}-index") if name.startswith("of=")), None)
+    if of is None:
+        return None
+    shard = int(_one_hash(doc_id, ordinal).view(np.int64)[0]) % int(of[3:])
+    file = next((p for name, p in _listed(spark, f"{path}-index/{of}/shard={shard}") if name.startswith("part-")), None)
+    place = find_in_index(_bytes_of(spark, file), doc_id, ordinal) if file else None
+    if place is None:
+        return None
+    width, part, byte, n = place
+    payload = next(p for name, p in _listed(spark, path) if name.startswith(f"part-{part:05d}-"))
+    return np.frombuffer(_bytes_of(spark, payload, byte, n * width), f"<u{width}")
+
+
+def token_output(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, path: str | None = None, index_docs: int = INDEX_DOCS) -> DataFrame:
+    """Write the token blocks of ``docs`` (to the shared folder if no path is given) and digest what they hold.
+
+    The key index over all files goes beside them, to ``path`` with ``-index``; ``lookup`` reads both.
+    """
     spark = docs.sparkSession
     path = path or fresh_path(spark, "token-blocks")
     write_token_ids(docs, path, tokenizer, end_id)
-    return read_token_digests(spark, path)
+    rows = _read_back(spark, path)
+    encoder = encoder_for(tokenizer or default_tokenizer(), end_id)
+    _write_index(rows, path, int(encoder.width[2:]), index_docs)
+    return _with_start(rows)
