@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from panelspark.llm.common import materialize, only
 from panelspark.llm.components import connected_components
+from panelspark.llm.setjoin import similar, tiled
 
 #: Characters of a shingle; signature values in a band; bands. At similarity 0.8 a pair meets with probability 0.987.
 SHINGLE, ROWS, BANDS = 9, 3, 6
@@ -98,58 +99,6 @@ def _chunks(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         yield lo, len(sizes)
 
 
-def similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links whose components are those of all pairs of ``sets``, each of distinct values, with this Jaccard similarity."""
-    sizes = np.array([len(s) for s in sets])
-    if len(sets) == 2:
-        if min(sizes) < similarity * max(sizes):
-            return []
-        common = len(np.intersect1d(*sets, assume_unique=True))
-        return [(0, 1)] if common >= similarity * (sizes.sum() - common) else []
-    _, ids, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(count), np.int64)
-    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
-    line = np.repeat(np.arange(len(sets)), sizes)
-    ids = rank[ids]
-    ids = ids[np.lexsort((ids, line))]  # a line's rarest shingles first
-    starts = np.cumsum(sizes) - sizes
-    prefix = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
-    early = np.arange(len(ids)) - starts[line] < prefix[line]
-    alive, mark, links, frontier = np.ones(len(sets), bool), np.zeros(len(count), bool), [], []
-    left = indexed = len(sets)
-    first, tokens, owners = 0, None, None
-    while left:
-        if tokens is None or 2 * left < indexed:
-            use = early & alive[line]
-            order = np.argsort(ids[use], kind="stable")
-            tokens, owners, indexed = ids[use][order], line[use][order], left
-        if frontier:
-            f = frontier.pop()
-        else:
-            while not alive[first]:
-                first += 1
-            f, alive[first], left = first, False, left - 1
-        own = ids[starts[f] : starts[f] + sizes[f]]
-        head = own[: prefix[f]]
-        lo, hi = np.searchsorted(tokens, head), np.searchsorted(tokens, head, "right")
-        met = np.concatenate([owners[a:b] for a, b in zip(lo, hi)])
-        met = np.unique(met[alive[met]])
-        met = met[(sizes[met] >= similarity * sizes[f] - 1e-9) & (sizes[f] >= similarity * sizes[met] - 1e-9)]
-        if not len(met):
-            continue
-        mark[own] = True
-        n = sizes[met]
-        rows = np.repeat(starts[met] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        common = np.add.reduceat(mark[ids[rows]], np.cumsum(n) - n, dtype=np.int64)
-        mark[own] = False
-        found = met[common >= similarity * (n + sizes[f] - common)].tolist()
-        alive[found] = False
-        left -= len(found)
-        frontier += found
-        links += [(f, g) for g in found]
-    return links
-
-
 def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(id, th, at, line) of the lines that hold a word."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
@@ -177,13 +126,7 @@ def tiles(signed: DataFrame) -> DataFrame:
     """
     span = 4 * ROWS
     bands = F.array(*[F.xxhash64(F.lit(b), F.substring("values", b * span + 1, span)) for b in range(BANDS)])
-    filed = signed.select("h", "chars", F.explode(bands).alias("bucket"))
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_LINES, F.sum("chars") / BLOCK_CHARS)).cast("int")
-    shared = filed.groupBy("bucket").agg(F.count("*").alias("n"), blocks.alias("m")).where("n > 1").select("bucket", "m")
-    met = filed.join(shared, "bucket").withColumn("mine", F.pmod(F.xxhash64("h"), F.col("m")).cast("int"))
-    whole = met.where("m = 1").select("h", F.col("bucket").alias("tile"))
-    dealt = met.where("m > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    return whole.union(dealt.select("h", F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile")))
+    return tiled(signed.select("h", "chars", F.explode(bands).alias("bucket")), "h", "bucket", "chars", BLOCK_LINES, BLOCK_CHARS)
 
 
 def tile_links(filed: DataFrame, similarity: float, every: bool) -> DataFrame:

@@ -13,19 +13,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import accumulate, combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from panelspark.llm.common import materialize, only
+from panelspark.llm.common import join_unique, materialize, only, released, shielded
 from panelspark.llm.components import connected_components
+from panelspark.llm.setjoin import similar, tiled
 
 #: Fingerprints in a bucket up to which all its pairs are compared at once; larger ones are searched from seeds.
 PAIRED = 64
@@ -150,28 +150,42 @@ def _pairs(fps: np.ndarray, sizes: np.ndarray, radius: int) -> Pairs:
 
 
 def _search(fps: np.ndarray, radius: int) -> Pairs:
-    """Spanning forest, as rows, of one large group: breadth first, each found row against those not yet found."""
-    left, right, todo = [], [], np.arange(len(fps))
+    """Spanning forest, as rows, of one large group: breadth first, each found row against those not yet found.
+
+    Planes are built anew only when half of their rows have been found, so a group costs as many builds as
+    it has halvings, however its links run.
+    """
+    left, right = [], []
     ones, bits = np.uint64(0xFFFFFFFFFFFFFFFF), np.arange(64 * fps.shape[1])
-    while len(todo) > 1:
-        frontier, todo = [int(todo[0])], todo[1:]
-        planes = planes_of(fps[todo]) if len(todo) >= 256 else None
-        while frontier and len(todo):
-            f = frontier.pop()
-            if len(todo) < 256:
-                near = np.flatnonzero(np.bitwise_count(fps[todo] ^ fps[f]).sum(axis=1) <= radius)
-            else:
-                set_bits = (fps[f][bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1)
-                lanes = np.packbits(np.pad(np.ones(len(todo), np.uint8), (0, -len(todo) % 64)), bitorder="little").view(np.uint64)
-                near = _lanes(within(planes ^ (set_bits * ones)[:, None], lanes, radius))
-            if len(near):
-                found = todo[near]
-                left.append(np.full(len(found), f))
-                right.append(found)
-                frontier.extend(found.tolist())
-                todo = np.delete(todo, near)
-                planes = planes_of(fps[todo]) if len(todo) >= 256 else None
-    return (np.concatenate(left), np.concatenate(right)) if left else (todo[:0], todo[:0])
+    held, alive, count, first, frontier = np.arange(len(fps)), np.ones(len(fps), bool), len(fps), 0, []
+    planes = planes_of(fps)
+    while count:
+        if not frontier:
+            while not alive[first]:
+                first += 1
+            alive[first] = False
+            count -= 1
+            frontier.append(int(held[first]))
+        if 2 * count < len(held):
+            held, alive, first = held[alive], np.ones(count, bool), 0
+            planes = planes_of(fps[held]) if count >= 256 else None
+        f = frontier.pop()
+        if not count:
+            break
+        if planes is None:
+            near = np.flatnonzero(alive & (np.bitwise_count(fps[held] ^ fps[f]).sum(axis=1) <= radius))
+        else:
+            set_bits = (fps[f][bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1)
+            lanes = np.packbits(np.pad(alive, (0, -len(alive) % 64)), bitorder="little").view(np.uint64)
+            near = _lanes(within(planes ^ (set_bits * ones)[:, None], lanes, radius))
+        if len(near):
+            found = held[near]
+            left.append(np.full(len(found), f))
+            right.append(found)
+            frontier.extend(found.tolist())
+            alive[near] = False
+            count -= len(found)
+    return (np.concatenate(left), np.concatenate(right)) if left else (held[:0], held[:0])
 
 
 def bucket_links(fps: np.ndarray, keys: np.ndarray, radius: int) -> Pairs:
@@ -193,30 +207,31 @@ def bucket_links(fps: np.ndarray, keys: np.ndarray, radius: int) -> Pairs:
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (starts[:0], starts[:0])
 
 
-def by_bucket(batches: Iterator[pa.RecordBatch], columns_of: Callable, links: Callable, keys: int = 1) -> Iterator[pa.RecordBatch]:
-    """Feed ``links`` whole buckets of a stream sorted by bucket; one that goes on into the next batch waits for it.
+def by_bucket(batches: Iterator[pa.RecordBatch], columns_of: Callable, links: Callable) -> Iterator[pa.RecordBatch]:
+    """Feed ``links`` whole tiles of a stream sorted by tile; one that goes on into the next batch waits for it.
 
-    ``columns_of`` gives a batch's arrays, ``keys`` of which, after the first, change where a bucket begins;
-    ``links`` turns the arrays of whole buckets into a batch of links.
+    ``columns_of`` gives a batch's arrays, the second of which is the tile; ``links`` turns the arrays of
+    whole tiles into a batch of links.
     """
+    only("simhash")
     held: list[tuple[np.ndarray, ...]] = []
     n = 0
     for batch in batches:
         columns = columns_of(batch)
         if not len(columns[0]):
             continue
+        tile = columns[1]
+        done = held and (tile[0] != held[-1][1][-1] or tile[-1] != tile[0])  # something ends in or before this batch
         held.append(columns)
-        n += len(columns[0])
-        if n < SEARCHED:
+        n += len(tile)
+        if n < SEARCHED or not done and len(held) > 1:
             continue
-        joined = tuple(np.concatenate(x) for x in zip(*held))
-        other = np.zeros(n, bool)
-        for c in joined[1 : 1 + keys]:
-            other |= c != c[-1]
-        cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
-        if cut:
-            yield links(*(c[:cut] for c in joined))
-        held, n = [tuple(c[cut:] for c in joined)], n - cut
+        cut = len(tile) - int((tile[::-1] != tile[-1]).argmax()) if tile[0] != tile[-1] else 0
+        if not cut and len(held) == 1:
+            continue
+        held[-1] = tuple(c[:cut] for c in columns)
+        yield links(*(np.concatenate(x) for x in zip(*held)))
+        held, n = [tuple(c[cut:] for c in columns)], len(tile) - cut
     if n:
         yield links(*(np.concatenate(x) for x in zip(*held)))
 
@@ -232,61 +247,45 @@ def tables(n: int, radius: int) -> list[int]:
     return [sum(c) for c in combinations(block, agree)]
 
 
-LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("t", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def buckets_dealt(filed: DataFrame, item: str, key: str, bucket_rows: int) -> DataFrame:
+    """``filed`` with ``tile``, dealt out and sorted by it: any two rows of a key meet in one tile.
+
+    Keys are counted first. One of more than ``bucket_rows`` rows is dealt out in pairs of blocks, before
+    its rows travel, so no task ever holds more than two blocks of it.
+    """
+    over = materialize(filed.groupBy(key).count().where(F.col("count") > bucket_rows).select(key, F.ceil(F.col("count") / bucket_rows).cast("int").alias("_m")), "large-buckets")
+    if over.isEmpty():
+        out = filed.withColumnRenamed(key, "tile")
+    else:
+        mine = F.pmod(F.xxhash64(item), F.col("_m")).cast("int")
+        hot = filed.join(over, key).withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
+        tile = F.xxhash64(key, F.least("_mine", "_other"), F.greatest("_mine", "_other"))
+        rest = filed.join(over.select(key), key, "left_anti")
+        columns = [c for c in filed.columns if c != key]
+        out = rest.select(F.col(key).alias("tile"), *columns).unionByName(hot.select(tile.alias("tile"), *columns))
+    return out.repartition("tile").sortWithinPartitions("tile")
+
+
 def radius_links(distinct: DataFrame, n: int, radius: int = 4, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(a, b) over distinct fingerprints: links whose components are those of all pairs within ``radius``."""
     masks = tables(n, radius)
-    wide = np.array(masks, np.uint64)
     mask = F.element_at(F.array(*[F.lit(_signed(m)) for m in masks]), F.col("t") + 1)
-    filed = distinct.select("fp", F.explode(F.array(*[F.lit(i) for i in range(len(masks))])).alias("t"))
-    key = F.col("fp").bitwiseAND(mask)
-
-    def links(fp: np.ndarray, t: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
-        group = np.cumsum(np.concatenate([[0], (t[1:] != t[:-1]) | (k[1:] != k[:-1])]))
-        count = np.bincount(group)
-        over = count > bucket_rows
-        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))[over]
-        keep = ~over[group]
-        some = fp[keep]
-        a, b = bucket_links(some[:, None], group[keep], radius) if len(some) else (group[:0], group[:0])
-        pad, none = [None] * len(first), [None] * len(a)
-        signed = some.view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array([*signed[a].tolist(), *pad], pa.int64()), pa.array([*signed[b].tolist(), *pad], pa.int64()), pa.array([*none, *t[first].tolist()], pa.int32()), pa.array([*none, *k[first].view(np.int64).tolist()], pa.int64()), pa.array([*none, *count[over].tolist()], pa.int64())], LINKS.names)
-
-    def filed_by(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-        fp, t = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-        fp = fp.view(np.uint64)
-        return fp, t, fp & wide[t]
-
-    dealt = filed.repartition("t", key).sortWithinPartitions("t", key)
-    found = materialize(dealt.mapInArrow(lambda batches: by_bucket(batches, filed_by, links, keys=2), LINKS), "simhash-links")
-    edges = found.where("t is null").select("a", "b")
-    over = found.where("t is not null").select("t", "key", "n")
-    if over.isEmpty():
-        return edges
+    each = distinct.select("fp", F.explode(F.array(*[F.lit(i) for i in range(len(masks))])).alias("t"))
+    filed = each.select("fp", F.xxhash64("t", F.col("fp").bitwiseAND(mask)).alias("key"))
 
-    # Buckets beyond the limit: every pair of blocks of such a bucket is a task's worth of its own.
-    blocks = F.ceil(F.col("n") / F.lit(bucket_rows)).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), F.col("m")).cast("int")
-    hot = filed.withColumn("key", key).join(over.withColumn("m", blocks), ["t", "key"]).withColumn("mine", mine)
-    each = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    tiles = each.select("fp", F.xxhash64("t", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"))
+    def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        return tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
 
-    def tile_links(fp: np.ndarray, tile: np.ndarray) -> pa.RecordBatch:
+    def links(fp: np.ndarray, tile: np.ndarray) -> pa.RecordBatch:
         a, b = bucket_links(fp.view(np.uint64)[:, None], tile, radius)
         return pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], ["a", "b"])
 
-    def tiled(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-        return tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-
-    more = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda batches: by_bucket(batches, tiled, tile_links), "a long, b long")
-    return edges.union(materialize(more, "simhash-hot-links"))
+    dealt = buckets_dealt(filed, "fp", "key", bucket_rows).select("fp", "tile")
+    return materialize(dealt.mapInArrow(lambda batches: by_bucket(batches, columns, links), "a long, b long"), "simhash-links")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, doc_id: str = "doc_id", text: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -298,18 +297,25 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, doc_id: st
     component has no other. An empty table gives no rows; other columns are ignored.
     """
     prints = materialize(fingerprints(docs, words, doc_id, text), "fingerprints")
-    reps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    linked = connected_components(radius_links(reps.select("fp"), reps.count(), radius, bucket_rows)).toDF("fp", "root")
-    named = linked.join(reps, "fp")
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_linked = named.join(ids, "root").select("fp", "component_id")
-    of_all = reps.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    reps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
+    distinct, rows = reps.agg(F.count("*"), F.sum("n")).first()
+    linked = connected_components(radius_links(reps.select("fp"), distinct, radius, bucket_rows)).toDF("fp", "root")
+    named = materialize(linked.join(reps, "fp"), "linked-fingerprints")
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m"))
+    of_linked = join_unique(named.select("fp", "root"), ids, "root", "m", distinct).select("fp", "component_id")
+    of_all = materialize(reps.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n"), "fingerprint-components")
     hex16 = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(of_all, "fp").select("doc_id", hex16.alias("fingerprint"), "component_id")
+    return join_unique(prints, of_all, "fp", "n", rows or 0).select("doc_id", hex16.alias("fingerprint"), "component_id")
 
 
-#: Lanes of a wide fingerprint; bits of a bucket key; recall of the search at the similarity asked for.
-LANES, KEY_BITS, RECALL = 16, 16, 0.985
+# ---- near copies by similarity -----------------------------------------------------------------------
+
+#: Lanes of a wide fingerprint; recall of the search at the similarity asked for; standard deviations of margin.
+LANES, RECALL, MARGIN = 4, 0.995, 3.5
+#: Documents and shingles of a block whose sets are compared exactly.
+BLOCK_DOCS, BLOCK_SHINGLES = 2048, 1 << 19
+#: Distinct documents from which on keys have 24 bits, not 16, so that buckets stay small.
+WIDE_KEYS = 1 << 28
 
 
 def angle(similarity: float) -> float:
@@ -317,52 +323,173 @@ def angle(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = LANES, key_bits: int = KEY_BITS) -> DataFrame:
-    """(doc_id, th, group) per row, ``th`` a hash of the text: near copies of one another share a group.
+def shingle_set(text: bytes | None, words: int) -> np.ndarray:
+    """Distinct 64-bit hashes, sorted, of a text's shingles of ``words`` words; all its words, if they are fewer."""
+    tokens = text.lower().split() if text else []
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    joined, width = b" ".join(tokens), min(words, len(tokens))
+    ends = list(accumulate((len(t) + 1 for t in tokens), initial=0))
+    digest = xxhash.xxh64_digest
+    return np.unique(np.frombuffer(b"".join([digest(joined[s : e - 1]) for s, e in zip(ends, ends[width:])]), np.uint64))
+
+
+def set_print(h: np.ndarray, lanes: int) -> bytes:
+    """SimHash of a set of hashes, each counted once, in 64 bits a lane."""
+    ones = np.zeros(64 * lanes, np.int64)
+    for lo in range(0, len(h), 2048):
+        mixed = h[lo : lo + 2048, None] * STEPS[1 : lanes + 1]
+        mixed ^= mixed >> np.uint64(31)
+        mixed *= np.uint64(0x94D049BB133111EB)
+        ones += np.unpackbits(mixed.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * ones > len(h)).tobytes()
+
+
+@lru_cache(maxsize=4)
+def _orders(lanes: int, count: int) -> np.ndarray:
+    """Orders of the bits of a fingerprint: as they are, then fixed shuffles."""
+    rng = np.random.default_rng(17)
+    return np.stack([np.arange(64 * lanes), *(rng.permutation(64 * lanes) for _ in range(count - 1))])
 
-    Fingerprints of ``64 x lanes`` bits estimate the similarity of shingle sets. Pairs are sought in tables
-    keyed by disjoint runs of bits, as many tables as find a pair at ``similarity`` with probability
-    ``RECALL``, and linked if their distance is what that similarity leads to or less, with a margin of 1.7
-    standard deviations. Groups are components of links. Null and wordless texts form one group.
+
+def candidate_groups(prints: DataFrame, n: int, similarity: float, lanes: int, recall: float, key_bytes: int, bucket_rows: int) -> DataFrame:
+    """(node, root) of distinct (node, fp): components of links within the radius of ``similarity`` and a margin.
+
+    Fingerprints are filed under runs of ``key_bytes`` bytes of their bits, in order and in fixed shuffles of
+    them, as many as find a pair at ``similarity`` with probability ``recall``.
     """
     width = 64 * lanes
     p = angle(similarity)
-    radius = int(width * p + 1.7 * math.sqrt(width * p * (1 - p)))
-    count = min(width // key_bits, math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - p) ** key_bits)))
+    radius = int(width * p + MARGIN * math.sqrt(width * p * (1 - p)))
+    count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** (8 * key_bytes)))
+    each = width // 8 // key_bytes
+    orders = -(-count // each)
 
-    @F.pandas_udf("binary")
-    def wide_print(texts: pd.Series) -> pd.Series:
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("simhash")
-        return texts.map(lambda t: fingerprint(t, words, lanes=lanes))
+        for batch in batches:
+            if batch.num_rows:
+                bits = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1)
+                keys = np.concatenate([np.packbits(bits[:, o], axis=1) for o in _orders(lanes, orders)], axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([k.tobytes() for k in keys], pa.binary())], ["node", "fp", "keys"])
 
-    tagged = docs.select("doc_id", F.xxhash64("text").alias("th"), wide_print(F.col("text").cast("binary")).alias("fp"))
-    prints = materialize(tagged.withColumn("node", F.xxhash64("fp")), "wide-fingerprints")
-    distinct = prints.groupBy("node").agg(F.min("fp").alias("fp"))
-    filed = distinct.select("node", "fp", F.explode(F.array(*[F.lit(i) for i in range(count)])).alias("t"))
-    bucket = F.xxhash64("t", F.substring("fp", F.col("t") * (key_bits // 8) + 1, F.lit(key_bits // 8)))
+    keyed = prints.mapInArrow(file, "node long, fp binary, keys binary")
+    at = [F.lit(i) for i in range(count)]
+    run = F.substring("keys", F.floor(F.col("t") / each).cast("int") * (width // 8) + F.col("t") % each * key_bytes + 1, F.lit(key_bytes))
+    filed = keyed.select("node", "fp", "keys", F.explode(F.array(*at)).alias("t")).select("node", "fp", F.xxhash64("t", run).alias("key"))
 
     def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         raw = b"".join(batch.column(2).to_pylist())
         return batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), np.frombuffer(raw, np.uint64).reshape(-1, lanes)
 
-    def links(node: np.ndarray, k: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        a, b = bucket_links(fps, k, radius)
+    def links(node: np.ndarray, tile: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        a, b = bucket_links(fps, tile, radius)
         return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
-    dealt = filed.select("node", bucket.alias("k"), "fp").repartition("k").sortWithinPartitions("k")
-    edges = dealt.mapInArrow(lambda batches: by_bucket(batches, columns, links), "a long, b long")
-    roots = connected_components(edges)
-    return prints.join(roots, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("group"))
+    dealt = buckets_dealt(filed, "node", "key", bucket_rows).select("node", "tile", "fp")
+    return connected_components(dealt.mapInArrow(lambda batches: by_bucket(batches, columns, links), "a long, b long"))
+
+
+def verified_links(members: DataFrame, texts: DataFrame, words: int, similarity: float, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(a, b) of nodes whose shingle sets have the similarity; ``members`` has (node, root, size), ``texts`` (node, t).
+
+    Only nodes of one root are compared, exactly, in tiles of bounded size; sets travel once a tile.
+    """
+    tiles = materialize(tiled(members, "node", "root", "size", block_docs, block_shingles), "similar-tiles")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("simhash")
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), words).tobytes() for t in batch.column(1)], pa.binary())], ["node", "h"])
+
+    sets = texts.mapInArrow(shingled, "node long, h binary")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("simhash")
+        now, nodes, held = None, [], []
+
+        def found() -> list[tuple[int, int]]:
+            return [(nodes[a], nodes[b]) for a, b in similar(held, similarity)] if len(held) > 1 else []
+
+        for batch in batches:
+            out = []
+            for tile, node, h in zip(*(c.to_pylist() for c in batch.columns)):
+                if tile != now:
+                    out += found()
+                    now, nodes, held = tile, [], []
+                nodes.append(node)
+                held.append(np.frombuffer(h, np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], ["a", "b"])
+        out = found()
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], ["a", "b"])
+
+    dealt = tiles.join(sets, "node").select("tile", "node", "h").repartition("tile").sortWithinPartitions("tile")
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
+def _row_keys(doc_id: str, th: str) -> list:
+    """Columns that name a row by id, null or not, and the hash of its text."""
+    own = F.col(doc_id).cast("long")
+    return [F.coalesce(own, F.lit(0)).alias("_id"), own.isNull().alias("_null"), F.col(th).alias("_th")]
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = LANES, recall: float = RECALL, key_bytes: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(doc_id, th, group) per row, ``th`` a hash of the text: near copies of one another share a group.
+
+    Wide fingerprints of shingle sets, searched by bit planes, say which documents may be similar; in the
+    groups so found, shingle sets are compared and only pairs of ``similarity`` or more are links. Groups are
+    components of links. A pair at ``similarity`` is found with probability ``recall``, more similar ones
+    more surely; a pair below it never links. Null and wordless texts have the empty set and form one
+    group; so do texts of equal sets, repeated rows among them. An empty table gives no rows. ``docs`` needs
+    doc_id and text, other columns are ignored; it is read twice.
+    """
+
+    def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("simhash")
+        for batch in batches:
+            fps, nodes, sizes = [], [], []
+            for t in batch.column(2):
+                h = shingle_set(t.as_py(), words)
+                fps.append(set_print(h, lanes))
+                nodes.append(xxhash.xxh64_digest(h.tobytes()))
+                sizes.append(len(h))
+            node = np.frombuffer(b"".join(nodes), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "th", "node", "fp", "size"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("t"))
+    prints = materialize(rows.mapInArrow(prints_of, "doc_id long, th long, node long, fp binary, size long"), "wide-fingerprints")
+    distinct = materialize(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("pick"), F.count("*").alias("n")), "distinct-documents")
+    count, total = distinct.agg(F.count("*"), F.sum("n")).first()
+    key_bytes = key_bytes or (2 if count < WIDE_KEYS else 3)
+    some = materialize(candidate_groups(distinct.where("size > 0").select("node", "fp"), count, similarity, lanes, recall, key_bytes, bucket_rows), "candidate-groups")
+    members = materialize(some.join(distinct, "node").select("node", "root", "size", *_row_keys("pick.doc_id", "pick.th")), "candidate-members")
+    released(docs.sparkSession)
+    keys = ["_id", "_null", "_th"]
+    one = rows.select("t", *_row_keys("doc_id", "th")).join(members.select("node", *keys), keys).groupBy("node").agg(F.min("t").alias("t"))
+    links = verified_links(members.select("node", "root", "size"), one, words, similarity)
+    roots = connected_components(links)
+    named = distinct.select("node", "n").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("group"))
+    return join_unique(prints.select("doc_id", "th", "node"), materialize(named, "similar-roots"), "node", "n", total or 0).select("doc_id", "th", "group")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` (with doc_id and text) less near copies: of each group the row with the smallest id stays.
 
-    Null ids stand last. Of rows equal in id and text one stays. ``docs`` is read twice.
+    Null ids stand last. Of rows equal in id and text one stays, whichever comes first if other columns
+    differ. Null and wordless texts are copies of one another. All columns stay; an empty table stays empty.
     """
+    columns = docs.columns
+    docs, back = shielded(docs, "doc_id", "text")
     groups = materialize(similar_documents(docs, **options), "similar-groups")
     stays = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("s")).select("s.doc_id", "s.th")
-    tagged = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_null": F.col("doc_id").isNull(), "_th": F.xxhash64("text")})
-    wanted = stays.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null"), F.col("th").alias("_th")).distinct()
-    first = F.row_number().over(Window.partitionBy("_id", "_null", "_th").orderBy("_id"))
-    return tagged.join(wanted, ["_id", "_null", "_th"]).withColumn("_first", first).where("_first = 1").select(*docs.columns)
+    keyed = groups.select(*_row_keys("doc_id", "th"))
+    keys = ["_id", "_null", "_th"]
+    wanted = materialize(stays.select(*_row_keys("doc_id", "th")).join(keyed.groupBy(*keys).agg(F.count("*").alias("_n")), keys), "similar-kept")
+    released(docs.sparkSession)
+    own = F.col("doc_id").cast("long")
+    tagged = docs.withColumns({"_id": F.coalesce(own, F.lit(0)), "_null": own.isNull(), "_th": F.xxhash64("text")})
+    out = tagged.join(wanted.where("_n = 1"), keys, "left_semi")
+    repeated = wanted.where("_n > 1").select(*keys)
+    if not repeated.isEmpty():
+        out = out.union(tagged.join(repeated, keys, "left_semi").dropDuplicates(keys))
+    return out.select(*docs.columns).withColumnsRenamed(back).select(*columns)
