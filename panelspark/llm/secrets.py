@@ -7,14 +7,15 @@ places are running sums of lengths in code points.
 Other long strings of code characters that hold a letter and a digit are candidates. The encoding inferred
 from its characters gives a candidate's alphabet; chi-squared uniformity over it, a runs test around its
 middle and a serial-correlation test give a p-value of being random, Bonferroni-combined. A string from a
-generator passes all three. Which candidates are called structured is decided for all of the corpus by
-Benjamini-Hochberg within strata of length, so short strings, on which the tests have little power, don't
-set the threshold of long ones; only counts of p-values on a fixed grid reach the driver.
+generator passes all three. A candidate is reported unless it is called structured, and that is decided for
+all of the corpus by Benjamini-Hochberg within strata of length: of the strings dismissed as structured, an
+expected share of at most ``RATE`` are random ones, missed secrets. In doubt a string is reported. Short
+strings, on which the tests have little power, don't set the threshold of long ones; only counts of
+p-values on a fixed grid reach the driver.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -39,8 +40,8 @@ ENCODINGS = (
     ("base64", "^[0-9A-Za-z+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "^[0-9A-Za-z_+/-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_+/"),
 )
-#: Lengths at which strata begin; false-discovery rate among strings called structured; p-values below this are structured in any case.
-STRATA, RATE, FLOOR = (20, 32, 48, 96), 0.05, 0.005
+#: Lengths at which strata begin; false-discovery rate among strings called structured.
+STRATA, RATE = (20, 32, 48, 96), 0.05
 #: Steps of the grid of p-values per power of ten, and its end.
 GRID, LAST = 50, 600
 BLOCK = 256
@@ -95,8 +96,11 @@ def _coded(c: Column) -> Column:
 
 
 def _measured(c: Column) -> Column:
-    codes = F.transform(F.sequence(F.lit(1), c["n"]), lambda i: (F.instr(c["alphabet"], F.substring(c["s"], i, F.lit(1))) - 1).cast("double"))
-    squares = F.aggregate(F.sequence(F.lit(1), c["n"]), F.lit(0.0), lambda acc, i: acc + (c["n"] - F.char_length(F.replace(c["s"], F.substring(c["s"], i, F.lit(1)), F.lit("")))))
+    letters = F.split(c["s"], "")
+    codes = F.transform(letters, lambda x: (F.instr(c["alphabet"], x) - 1).cast("double"))
+    # One pass over the string for each letter that it has, and it has no more than its alphabet.
+    times = F.transform(F.array_distinct(letters), lambda x: (c["n"] - F.char_length(F.replace(c["s"], x, F.lit("")))).cast("double"))
+    squares = F.aggregate(times, F.lit(0.0), lambda acc, n: acc + n * n)
     return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["n"].cast("double").alias("n"), c["m"].alias("m"), codes.alias("x"), squares.alias("squares"))
 
 
@@ -176,8 +180,7 @@ def secret_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     narrow = spans.select("doc_id", "a", "k", "h", candidates(t, base, t.rlike("[0-9]")).alias("c"))
     stored = materialize(narrow, "secrets")
     first = thresholds(stored.select(F.explode("c").alias("c")).select("c.stratum", "c.cell"))
-    floor = math.ceil(-math.log10(FLOOR) * GRID)
-    limit = F.array(*[F.lit(min(x, floor)) for x in first])
+    limit = F.array(*[F.lit(x) for x in first])
 
     def listed(columns: list[tuple[int, Column]]) -> Column:
         def tag(i: int):
