@@ -1,11 +1,12 @@
-"""Exact top-k by inner product with MaxScore over tiles of queries and candidates.
+"""Exact top-k by inner product with MaxScore, shard by shard.
 
-Terms are vector components. In a shard of candidates each term has a lower and an upper bound of what it
-can add for a query; shifted by the lower bounds, contributions are non-negative as in a text index.
-Terms are taken by the room between their bounds. The tail whose bounds together stay below the current
-k-th score is non-essential: what the essential terms have not made competitive, it cannot save. Essential
-postings are traversed for all candidates of the shard, the rest is probed only for candidates that can
-still reach the k-th score (ties included), and the shards' best are merged.
+Terms are vector components; a term's postings are the component's values over a slab of candidates, and
+their extremes bound what the term can add to a query's score. Each query takes its terms by falling bound.
+The tail whose bounds together stay below the query's current k-th score is non-essential: no candidate can
+live on it. Essential postings are traversed for the whole slab; the other terms are probed a few at a time,
+only for candidates that can still reach the k-th score (ties included). Slabs come in order of their
+candidates' lengths, longest first, so the k-th score rises early, and a slab whose bounds together stay
+below it is passed over. The k-th scores of the first shard go to all further ones, and shards are merged.
 
 Queries and candidates meet in tiles of fixed size, so a task's memory does not grow with the data.
 """
@@ -18,9 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelspark.llm.common import materialize
+from panelspark.llm.common import materialize, only
 
-TILE_QUERIES, TILE_CANDIDATES, SLAB = 2048, 16384, 128
+#: Queries and candidates of a tile, candidates of a slab, and terms probed between two looks at the bounds.
+TILE_QUERIES, TILE_CANDIDATES, SLAB, PROBE = 2048, 16384, 4096, 4
 #: Sums of products below this are exact in double arithmetic.
 EXACT = float(1 << 53)
 
@@ -33,48 +35,75 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return out
 
 
-def shard_topk(queries: np.ndarray, own: np.ndarray, cands: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _narrow(most: int) -> str:
+    """The narrowest integer type that holds components up to ``most``."""
+    return "smallint" if most < 1 << 15 else "int" if most < 1 << 31 else "bigint"
+
+
+def _scored(q: np.ndarray, c: np.ndarray, low: np.ndarray, high: np.ndarray, floor: float, stats: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates of a slab that reach ``floor``, and their scores; ``c`` is (terms, candidates)."""
+    most = np.maximum(q * low, q * high)
+    terms = np.argsort(-most, kind="stable")
+    rest = np.append(np.cumsum(most[terms][::-1])[::-1], 0)  # bound of all terms from here on
+    stats[0] += c.shape[1]
+    if rest[0] < floor:
+        return np.zeros(0, np.int64), np.zeros(0, q.dtype)
+    essential = int(np.argmax(rest < floor)) if (rest < floor).any() else len(terms)
+    # Bounds may fall and rise again where a term can only subtract; from ``essential`` on the largest counts.
+    ahead = np.maximum.accumulate(rest[::-1])[::-1]
+    first = terms[:essential]
+    score = q[first] @ c[first]
+    alive = np.flatnonzero(score + ahead[essential] >= floor)
+    score = score[alive]
+    for at in range(essential, len(terms), PROBE):
+        if not len(alive):
+            break
+        some = terms[at : at + PROBE]
+        score = score + q[some] @ c[np.ix_(some, alive)]
+        keep = score + ahead[min(at + PROBE, len(terms))] >= floor
+        if not keep.all():
+            alive, score = alive[keep], score[keep]
+    stats[1] += len(alive)
+    return alive, score
+
+
+def shard_topk(queries: np.ndarray, own: np.ndarray, cands: np.ndarray, ids: np.ndarray, k: int, floors: np.ndarray | None = None, stats: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, candidate, score) positions and scores: the best ``k`` candidates of the shard for each query.
 
     ``own`` is the position of a query's own row among the candidates, or -1. Ties go to the smaller id.
+    Candidates below a query's ``floors`` may be left out. ``stats`` counts candidates met and scored in full.
     """
+    stats = [0, 0] if stats is None else stats
     width = max(queries.shape[1], cands.shape[1])
     queries = np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
     cands = np.pad(cands, ((0, 0), (0, width - cands.shape[1])))
-    reach = float(np.abs(queries).astype(float).max(initial=0)) * float(np.abs(cands).astype(float).max(initial=0)) * max(width, 1)
+    reach = float(np.abs(queries.astype(float)).max(initial=0)) * float(np.abs(cands.astype(float)).max(initial=0)) * max(width, 1)
     kind = np.float64 if reach < EXACT else np.int64
-    low, high = cands.min(axis=0).astype(kind), cands.max(axis=0).astype(kind)
-    terms = np.argsort(-(high - low).astype(float), kind="stable")
-    low, high = low[terms], high[terms]
-    c, q = np.ascontiguousarray(cands[:, terms].T.astype(kind)), queries[:, terms].astype(kind)
+    order = np.argsort(-(cands.astype(float) ** 2).sum(axis=1), kind="stable")
+    slabs, at = [], 0
+    while at < len(order):  # the first slabs are small: they set the first thresholds
+        rows = order[at : at + min(SLAB, max(256, at))]
+        at += len(rows)
+        c = np.ascontiguousarray(cands[rows].T.astype(kind))
+        slabs.append((rows, c, c.min(axis=1), c.max(axis=1)))
     out = []
-    probe = min(c.shape[1], max(4 * k, 256))
-    for at in range(0, len(q), SLAB):
-        slab, mine = q[at : at + SLAB], own[at : at + SLAB]
-        most = np.maximum(slab * low, slab * high)
-        rest = np.concatenate([np.cumsum(most[:, ::-1], axis=1)[:, ::-1], np.zeros((len(slab), 1), kind)], axis=1)
-        floor = np.full(len(slab), -np.inf)
-        if probe > k:  # k-th score among a few: a first threshold
-            floor = np.partition(slab @ c[:, :probe], probe - k - 1, axis=1)[:, probe - k - 1].astype(float)
-        room = rest - np.concatenate([np.cumsum(np.minimum(slab * low, slab * high)[:, ::-1], axis=1)[:, ::-1], np.zeros((len(slab), 1), kind)], axis=1)
-        base = floor - np.minimum(slab * low, slab * high).sum(axis=1)
-        essential = int(np.median((room >= base[:, None]).sum(axis=1).clip(0, width)))
-        partial = slab[:, :essential] @ c[:essential]
-        alive = partial + rest[:, essential][:, None] >= floor[:, None]
-        if essential < width and alive.mean() < 0.1:
-            qi, ci = np.nonzero(alive)
-            score = partial[qi, ci] + np.einsum("ij,ji->i", slab[qi, essential:], c[essential:][:, ci])
-        else:
-            full = partial + slab[:, essential:] @ c[essential:] if essential < width else partial
-            qi, ci = np.nonzero(full >= floor[:, None])
-            score = full[qi, ci]
-        keep = ci != mine[qi]
-        qi, ci, score = qi[keep], ci[keep], score[keep]
-        order = np.lexsort((ids[ci], -score, qi))
-        qi, ci, score = qi[order], ci[order], score[order]
-        first = np.searchsorted(qi, np.arange(len(slab)))
-        best = np.arange(len(qi)) - first[qi] < k
-        out.append((qi[best] + at, ci[best], score[best].astype(np.int64)))
+    for i, q in enumerate(queries.astype(kind)):
+        floor = -np.inf if floors is None else floors[i]
+        best, scores = np.zeros(0, np.int64), np.zeros(0, kind)
+        for rows, c, low, high in slabs:
+            at, score = _scored(q, c, low, high, floor, stats)
+            met = rows[at]
+            if own[i] >= 0:
+                other = met != own[i]
+                met, score = met[other], score[other]
+            if len(met):
+                best, scores = np.concatenate([best, met]), np.concatenate([scores, score])
+                if len(best) > k:
+                    top = np.lexsort((ids[best], -scores))[:k]
+                    best, scores = best[top], scores[top]
+                if len(best) == k:
+                    floor = max(floor, float(scores.min()))
+        out.append((np.full(len(best), i), best, scores.astype(np.int64)))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
@@ -90,15 +119,18 @@ def topk_search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str =
     finite = F.coalesce(F.forall(x, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")), F.lit(False))), F.lit(False))
     packed = vectors.where(finite).select(F.col(vec_id).cast("long").alias("vec_id"), F.coalesce(is_query, F.lit(False)).alias("asks"), F.transform(x, lambda v: F.floor(v.cast("double") * F.lit(scale))).alias("v"), F.monotonically_increasing_id().alias("uid"))
     rows = materialize(packed, "vectors")
-    n, asked = rows.agg(F.count("uid"), F.count(F.when(F.col("asks"), 1))).first()
+    largest = F.array_max(F.transform("v", lambda v: F.abs(v)))
+    n, asked, most = rows.agg(F.count("uid"), F.count(F.when(F.col("asks"), 1)), F.max(largest)).first()
+    rows = rows.withColumn("v", F.col("v").cast(f"array<{_narrow(most or 0)}>"))
     blocks, shards = max(1, -(-asked // tile[0])), max(1, -(-n // tile[1]))
     place = F.xxhash64("uid")
-    asks = rows.where("asks").withColumn("block", F.pmod(place, F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    asks = rows.where("asks").select(F.pmod(place, F.lit(blocks)).alias("block"), "uid", "vec_id", "v")
     held = rows.withColumn("shard", F.pmod(place, F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     names = ["uid", "query_id", "vec_id", "score"]
     schema = "uid long, query_id long, vec_id long, score long"
 
     def search(a: pa.Table, b: pa.Table) -> pa.Table:
+        only("maxscore")
         if not a.num_rows or not b.num_rows:
             return pa.table([pa.array([], pa.int64())] * 4, names)
         uids = b["uid"].to_numpy()
@@ -107,10 +139,21 @@ def topk_search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str =
         own = np.where(uids[order[at]] == a["uid"].to_numpy(), order[at], -1)
         ids = b["vec_id"].combine_chunks()
         rank = ids.fill_null(np.iinfo(np.int64).max).to_numpy()
-        qi, ci, score = shard_topk(_matrix(a["v"]), own, _matrix(b["v"]), rank, k)
+        qi, ci, score = shard_topk(_matrix(a["v"]), own, _matrix(b["v"]), rank, k, a["floor"].to_numpy())
         return pa.table([a["uid"].combine_chunks().take(pa.array(qi)), a["vec_id"].combine_chunks().take(pa.array(qi)), ids.take(pa.array(ci)), pa.array(score)], names)
 
-    tiles = asks.select("block", "shard", "uid", "vec_id", "v").groupBy("block", "shard").cogroup(held.select("block", "shard", "uid", "vec_id", "v").groupBy("block", "shard"))
-    best = tiles.applyInArrow(search, schema)
+    def searched(queries: DataFrame, first: int, last: int) -> DataFrame:
+        among = F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long")))
+        left = queries.withColumn("shard", among).groupBy("block", "shard")
+        right = held.where(F.col("shard").between(first, last)).select("block", "shard", "uid", "vec_id", "v").groupBy("block", "shard")
+        return left.cogroup(right).applyInArrow(search, schema)
+
+    none = F.lit(float("-inf"))
+    best = searched(asks.withColumn("floor", none), 0, 0)
+    if shards > 1:
+        best = materialize(best, "first-shard")
+        floors = best.groupBy("uid").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("floor"))
+        further = asks.join(floors, "uid", "left").withColumn("floor", F.coalesce("floor", none))
+        best = best.union(searched(materialize(further.select("block", "uid", "vec_id", "v", "floor"), "queries"), 1, shards - 1))
     rank = F.row_number().over(Window.partitionBy("uid").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last()))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
