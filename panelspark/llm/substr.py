@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import materialize, text_partitions
+from panelspark.llm.common import materialize, only, text_partitions
 
 #: Words after which a mapper's batch is dealt out; a batch holds at most this many and one document more.
 BATCH_WORDS = 1 << 21
@@ -74,17 +74,25 @@ def _unsteps(data: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
 
 
 DEALT = "bucket long, payload binary"
-FOUND = "uid long, directory boolean, data binary"
+#: Kinds of what a batch finds: its directory, places, and places with those that follow them.
+DIRECTORY, HITS, FOLLOW = 0, 1, 2
+FOUND = "uid long, kind int, data binary"
 PLACES = "doc_id long, th long, places binary"
 
 
+def _aside(uid: int, kind: int, data: bytes, n_buckets: int) -> tuple[int, bytes]:
+    """What a batch tells its own documents; it passes through the buckets untouched."""
+    return -1 - uid % n_buckets, struct.pack("<qB", uid, kind) + data
+
+
 def _directory(uid: int, ids: list[int], ths: list[int], sizes: list[int], n_buckets: int) -> tuple[int, bytes]:
-    data = struct.pack("<qI", uid, len(ids)) + np.array(ids, "<i8").tobytes() + np.array(ths, "<i8").tobytes() + np.array(sizes, "<u4").tobytes()
-    return -1 - uid % n_buckets, data
+    data = struct.pack("<I", len(ids)) + np.array(ids, "<i8").tobytes() + np.array(ths, "<i8").tobytes() + np.array(sizes, "<u4").tobytes()
+    return _aside(uid, DIRECTORY, data, n_buckets)
 
 
 def _batches(batches: Iterator[pa.RecordBatch], flush: Callable[[int, list], Iterator[tuple[int, bytes]]]) -> Iterator[pa.RecordBatch]:
     """Gather documents (doc_id, th, words, rest) up to BATCH_WORDS and give each batch a number of its own."""
+    only("substrings")
     base, seq, held, words = TaskContext.get().partitionId() << 24, 0, [], 0
 
     def emit() -> pa.RecordBatch:
@@ -107,15 +115,19 @@ def _by_place(found: DataFrame) -> DataFrame:
     """Places of the batches turned into places of documents: one row per (doc_id, th)."""
 
     def expand(table: pa.Table) -> pa.Table:
-        rows = list(zip(table["directory"].to_pylist(), table["data"].to_pylist()))
-        head = next((d for is_dir, d in rows if is_dir), None)
-        hits = [np.frombuffer(d, "<u4") for is_dir, d in rows if not is_dir]
+        only("substrings")
+        rows = list(zip(table["kind"].to_pylist(), table["data"].to_pylist()))
+        head = next((d for kind, d in rows if kind == DIRECTORY), None)
+        hits = [np.frombuffer(d, "<u4") for kind, d in rows if kind == HITS]
         if head is None or not hits:
             return pa.table({"doc_id": pa.array([], pa.int64()), "th": pa.array([], pa.int64()), "places": pa.array([], pa.binary())})
-        (n,) = struct.unpack_from("<I", head, 8)
-        ids, ths = np.frombuffer(head, "<i8", n, 12), np.frombuffer(head, "<i8", n, 12 + 8 * n)
-        starts = np.concatenate([[0], np.cumsum(np.frombuffer(head, "<u4", n, 12 + 16 * n), dtype=np.int64)])
+        (n,) = struct.unpack_from("<I", head)
+        ids, ths = np.frombuffer(head, "<i8", n, 4), np.frombuffer(head, "<i8", n, 4 + 8 * n)
+        starts = np.concatenate([[0], np.cumsum(np.frombuffer(head, "<u4", n, 4 + 16 * n), dtype=np.int64)])
         at = np.unique(np.concatenate(hits)).astype(np.int64)
+        for _, d in (r for r in rows if r[0] == FOLLOW):
+            lead, own = np.frombuffer(d, "<u4").reshape(2, -1)
+            at = np.union1d(at, own[np.isin(lead, at)])
         doc = np.searchsorted(starts, at, side="right") - 1
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]])
         which = doc[cuts[:-1]]
@@ -129,12 +141,13 @@ def _meet(dealt: DataFrame, settle: Callable[[list[bytes]], Iterator[tuple[int,
     """Bring each bucket together, keep the places that ``settle`` reports, and pass directories through."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        only("substrings")
         payloads = table["payload"].to_pylist()
         if key[0].as_py() < 0:
-            rows = [(struct.unpack_from("<q", p)[0], True, p) for p in payloads]
+            rows = [(*struct.unpack_from("<qB", p), p[9:]) for p in payloads]
         else:
-            rows = [(uid, False, places.astype("<u4").tobytes()) for uid, places in settle(payloads)]
-        return pa.table({"uid": pa.array([r[0] for r in rows], pa.int64()), "directory": pa.array([r[1] for r in rows], pa.bool_()), "data": pa.array([r[2] for r in rows], pa.binary())})
+            rows = [(uid, HITS, places.astype("<u4").tobytes()) for uid, places in settle(payloads)]
+        return pa.table({"uid": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([r[1] for r in rows], pa.int32()), "data": pa.array([r[2] for r in rows], pa.binary())})
 
     return materialize(dealt.groupBy("bucket").applyInArrow(run, FOUND), name)
 
@@ -159,6 +172,22 @@ def _anchor_hits(docs: DataFrame, block: int, n_buckets: int) -> DataFrame:
         inside = np.arange(len(r)) + block <= np.repeat(ends, sizes)[: len(r)]
         g = np.flatnonzero(inside).astype(np.uint32)
         r, anchor = r[inside], ((np.arange(len(r)) - start) % block == 0)[inside]
+        # One of each block travels. Where the batch has it twice and once as an anchor, all its places are
+        # met; where it has it twice and never so, the others follow the one that travels.
+        order = np.argsort(r, kind="stable")
+        new = np.concatenate([[True], r[order][1:] != r[order][:-1]])[: len(r)]
+        group = np.cumsum(new) - 1
+        many = np.bincount(group) > 1
+        anchored = np.bincount(group, weights=anchor[order]) > 0
+        lead = order[new]
+        met = (many & anchored)[group]
+        if met.any():
+            yield _aside(uid, HITS, g[order[met]].astype("<u4").tobytes(), n_buckets)
+        led = (many & ~anchored)[group] & ~new
+        if led.any():
+            yield _aside(uid, FOLLOW, np.concatenate([g[lead[group[led]]], g[order[led]]]).astype("<u4").tobytes(), n_buckets)
+        back = np.argsort(lead)
+        r, g, anchor = r[lead[back]], g[lead[back]], anchored[back]
         low = r.astype(np.uint32)
 
         def payload(rows: np.ndarray) -> bytes:
@@ -213,6 +242,21 @@ def _repeats(marked: DataFrame, window: int, block: int, n_buckets: int) -> Data
         if not g:
             return
         ids, a, b, g = map(np.concatenate, (ids, a, b, g))
+        if not len(g):
+            return
+        # Of each window the places in the batch's smallest document travel; any other document's are repeats.
+        order = np.lexsort((g, ids, b, a))
+        new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
+        least = ids[order[new]][np.cumsum(new) - 1]
+        again = ids[order] > least
+        if again.any():
+            yield _aside(uid, HITS, g[order[again]].astype("<u4").tobytes(), n_buckets)
+        # Of those, the first place stands for the others, which follow it.
+        led = ~again & ~new
+        if led.any():
+            yield _aside(uid, FOLLOW, np.concatenate([g[order[new]][(np.cumsum(new) - 1)[led]], g[order[led]]]).astype("<u4").tobytes(), n_buckets)
+        keep = np.sort(order[new])
+        ids, a, b, g = ids[keep], a[keep], b[keep], g[keep]
 
         def payload(rows: np.ndarray) -> bytes:
             own = ids[rows]
@@ -264,6 +308,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", t
     gone = _repeats(known.join(hits, ["doc_id", "th"]).select("doc_id", "th", "t", "places"), window, block, n_buckets)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("substrings")
         for batch in batches:
             n_words, n_removed, digests, kept = [], [], [], []
             for t, places in zip(batch.column(1), batch.column(2)):
