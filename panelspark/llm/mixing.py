@@ -9,7 +9,7 @@ up, so quotas are met to the word, draws are disjoint, and no step looks at a wh
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 import numpy as np
 import pandas as pd
@@ -17,12 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelspark.llm.common import materialize
+from panelspark.llm.common import materialize, only, shielded
 
 #: Shards at least, and documents that a shard should hold.
 MIN_SHARDS, SHARD_DOCS = 64, 8192
-#: numpy draws exactly below this population; above it a normal draw, clipped to the feasible range, stands in.
-EXACT_POPULATION = 900_000_000
+#: numpy's own sampler takes smaller populations only.
+NUMPY_POPULATION = 900_000_000
+#: Parts that a group of equal rows is numbered in.
+PLACES = 256
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -31,19 +33,54 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
+def _log_ratio(a: int, b: int) -> float:
+    """log(a! / b!), without the loss that a difference of two large logarithms has."""
+    if min(a, b) < 64:
+        return math.lgamma(a + 1) - math.lgamma(b + 1)
+    d = a - b
+    series = lambda n: 1 / (12 * n) - 1 / (360 * n**3)
+    return (b + 0.5) * math.log1p(d / b) + d * math.log(a) - d + series(a) - series(b)
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
+    """Good ones among ``sample`` drawn from ``good + bad`` without replacement, for populations of any size.
+
+    Ratio of uniforms with the published bounds for this distribution; exact up to double arithmetic.
+    """
+    total, few = good + bad, min(good, bad)
+    m = min(sample, total - sample)
+    if not few or not m:
+        z = 0
+    else:
+        many = total - few
+        mean = m * few / total
+        sd = math.sqrt((total - m) / (total - 1) * m * (few / total) * (many / total) + 0.5)
+        reach = 1.7155277699214135 * sd + 0.8989161620588988
+        mode = (m + 1) * (few + 1) // (total + 2)
+        while True:
+            u, v = 1.0 - rng.random(), rng.random()
+            w = mean + 0.5 + reach * (v - 0.5) / u
+            z = math.floor(w)
+            if z < max(0, m - many) or z > min(m, few):
+                continue
+            t = _log_ratio(mode, z) + _log_ratio(few - mode, few - z) + _log_ratio(m - mode, m - z) + _log_ratio(many - m + mode, many - m + z)
+            if 2 * math.log(u) <= t:
+                break
+    if good > bad:
+        z = m - z
+    return z if m == sample else good - z
+
+
 def _share(rng: np.random.Generator, left: np.ndarray, right: np.ndarray, quota: np.ndarray) -> np.ndarray:
     """Hypergeometric share of ``quota`` that falls to ``left``, for each node."""
     total = left + right
     out = np.zeros(len(left), np.int64)
-    small = (total > 0) & (total < EXACT_POPULATION)
+    small = (total > 0) & (total < NUMPY_POPULATION)
     if small.any():
         out[small] = rng.hypergeometric(left[small], right[small], quota[small])
-    big = total >= EXACT_POPULATION
-    if big.any():
-        p = left[big] / total[big]
-        sd = np.sqrt(quota[big] * p * (1 - p) * (total[big] - quota[big]) / np.maximum(total[big] - 1, 1))
-        out[big] = np.rint(quota[big] * p + sd * rng.standard_normal(big.sum())).astype(np.int64)
-    return np.clip(out, np.maximum(0, quota - right), np.minimum(left, quota))
+    for i in np.flatnonzero(total >= NUMPY_POPULATION):
+        out[i] = hypergeometric(rng, int(left[i]), int(right[i]), int(quota[i]))
+    return out
 
 
 def split_quota(capacity: np.ndarray, quota: int, rng: np.random.Generator) -> np.ndarray:
@@ -104,15 +141,20 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     rows' contents and ``seed``. Columns of those four names are replaced.
     """
     docs = docs.drop("source_size", "target", "shard", "taken")
+    docs, back = shielded(docs, "doc_id", "source", "size", "text")
     shards = max(MIN_SHARDS, -(-docs.count() // SHARD_DOCS))
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    draw = F.xxhash64(F.lit(seed), F.col("doc_id"), key, F.col("size"))
-    shard = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id"), key, F.col("size")), F.lit(shards))
-    rows = docs.withColumns({"_key": key, "_draw": draw, "shard": shard})
+    text = [F.xxhash64("text")] if "text" in docs.columns else []
+    name = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("doc_id").isNull(), key, F.col("size"), *text)
+    rows = numbered(docs.withColumns({"_key": key, "_name": name}), "_name", "_copy")
+    draw = F.xxhash64("_name", "_copy")
+    shard = F.pmod(F.xxhash64(F.lit(seed + 1), "_name", "_copy"), F.lit(shards))
+    rows = rows.withColumns({"_draw": draw, "shard": shard}).drop("_name")
     pools = materialize(rows.groupBy("_key", "source", "shard").agg(F.sum("size").alias("pool")), "mix-pools")
     targets = source_targets(pools.groupBy("source").agg(F.sum("pool").alias("source_size")), weights, share, cap)
 
     def quotas(pdf: pd.DataFrame) -> pd.DataFrame:
+        only("mixing")
         pdf = pdf.sort_values("shard", ignore_index=True)
         size, target = int(pdf.source_size[0]), float(pdf.target[0])
         words = round(target)
@@ -123,21 +165,44 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
 
     named = targets.withColumn("_key", key).drop("source")
     split = pools.drop("source").join(named, "_key").groupBy("_key").applyInPandas(quotas, "_key string, shard long, source_size long, target double, passes long, quota long")
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("_key", "shard").orderBy("_draw", "doc_id", "_nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("_key", "shard").orderBy("_draw", "doc_id", "_copy").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     left = F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - before))
-    out = rows.withColumn("_nth", F.monotonically_increasing_id()).join(split, ["_key", "shard"]).withColumns({"_before": before, "taken": F.col("passes") * F.col("size") + left})
-    return out.select(*docs.columns, "source_size", "target", "shard", "taken", F.col("passes").alias("_passes"), F.col("quota").alias("_quota"), "_before", "_draw")
+    out = rows.join(split, ["_key", "shard"]).withColumns({"_before": before, "taken": F.col("passes") * F.col("size") + left})
+    return out.select(*docs.columns, "source_size", "target", "shard", "taken", F.col("passes").alias("_passes"), F.col("quota").alias("_quota"), "_before", "_draw").withColumnsRenamed(back)
+
+
+def numbered(rows: DataFrame, name: str, copy: str) -> DataFrame:
+    """Add ``copy``: 0, 1, 2 ... among rows of equal ``name``, in any order; a group of copies is dealt over tasks.
+
+    Rows so alike are interchangeable, so results don't depend on which gets which number.
+    """
+    repeated = rows.groupBy(name).count().where("count > 1").select(name)
+    if repeated.isEmpty():
+        return rows.withColumn(copy, F.lit(0).cast("long"))
+    repeated = materialize(repeated, "repeated-rows")
+    once = rows.join(repeated, name, "left_anti").withColumn(copy, F.lit(0).cast("long"))
+    placed = rows.withColumn("_place", F.pmod(F.monotonically_increasing_id(), F.lit(PLACES))).join(repeated, name, "left_semi")
+    counts = placed.groupBy(name, "_place").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(name).orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy(name, "_place").orderBy("_place"))
+    many = placed.withColumn("_row", inside).join(counts.select(name, "_place", before.alias("_base")), [name, "_place"])
+    return once.unionByName(many.withColumn(copy, F.col("_base") + F.col("_row") - 1).drop("_place", "_row", "_base"))
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """The mixture of whole documents: rows of ``docs`` repeated as often as taken, in shuffled order by shard.
 
-    ``docs`` needs doc_id, source and size. A document that a quota would cut comes whole if the quota
-    covers its middle. Returns the columns of ``docs`` and ``shard``.
+    ``docs`` needs doc_id, source and size. A document that a quota would cut comes whole with the
+    probability of its covered share, drawn from its hash, so a source comes near its target however few
+    documents a shard has. Null sources, ties, repeats and empty tables are as in ``mix_sources``; rows of
+    no words come in no copy beyond the full passes. Returns the columns of ``docs`` and ``shard``.
     """
+    columns = [c for c in docs.columns if c != "shard"]
+    docs, back = shielded(docs.select(*columns), "doc_id", "source", "size", "text")
     mixed = mix_sources(docs, **options)
-    reached = (F.col("_before") + F.col("size") / 2 <= F.col("_quota")) & (F.col("_quota") > 0)
+    chance = (F.pmod(F.xxhash64(F.lit(3), "_draw"), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    reached = (F.col("_before") + F.col("size") * chance <= F.col("_quota")) & (F.col("_quota") > 0)
     copies = mixed.withColumn("_copies", F.col("_passes") + reached.cast("int")).where("_copies > 0")
     each = copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     shuffled = each.sortWithinPartitions("shard", F.xxhash64("_draw", "_copy"))
-    return shuffled.select(*[c for c in docs.columns if c != "shard"], "shard")
+    return shuffled.select(*docs.columns, "shard").withColumnsRenamed(back).select(*columns, "shard")
