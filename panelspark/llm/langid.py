@@ -23,6 +23,8 @@ from panelspark.llm.common import only
 
 #: Labelled documents that training may use in all, and characters that one of them may have.
 SAMPLE_DOCS, SAMPLE_CHARS = 900, 3000
+#: Documents of a language that training uses, if it has so many, however many languages there are.
+SAMPLE_LEAST = 8
 #: Hash buckets of features, words of a block, letters handled at a time.
 DIMENSIONS, BLOCK, SLICE = 1 << 18, 32, 1 << 19
 PASSES, RATE = 8, 0.5
@@ -64,6 +66,12 @@ def words_of(texts: list[str]) -> Words:
     raw = [t.lower().encode("utf-8", "replace") for t in texts]
     data = np.frombuffer(b"    " + b" ".join(raw) + b" ", np.uint8)
     letter = ((data >= 97) & (data <= 122)) | (data >= 128)
+    # Signs that are no letters: U+0080 to U+00BF, U+2000 to U+207F and U+3000 to U+303F.
+    lead, low = data[:-2], data[1:-1]
+    for width, signs in ((2, lead == 0xC2), (3, ((lead == 0xE2) & ((low == 0x80) | (low == 0x81))) | ((lead == 0xE3) & (low == 0x80)))):
+        at = np.flatnonzero(signs)
+        for i in range(width):
+            letter[at + i] = False
     s = np.where(letter, data, np.uint8(32)).astype(np.uint64)
     edge = np.diff(letter.astype(np.int8), prepend=0)
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -112,7 +120,7 @@ def forward_backward(e: np.ndarray, lengths: np.ndarray, log_t: np.ndarray) -> n
     real[col, row] = True
 
     def norm(a: np.ndarray) -> np.ndarray:
-        return a / a.reshape(len(a), -1).sum(axis=1).reshape(-1, *[1] * (a.ndim - 1))
+        return a / a.sum(axis=tuple(range(1, a.ndim)), keepdims=True)
 
     m = np.broadcast_to(np.eye(k), (nb, k, k)).copy()
     for j in range(BLOCK):
@@ -210,10 +218,10 @@ def classify(texts: list[str | None], model: Model) -> list[tuple[str, float]]:
     out = [("und", 0.0)] * len(texts)
     if not model.languages:
         return out
-    lo = 0
+    lo, limit = 0, SLICE * 16 // max(16, len(model.languages) ** 2)
     while lo < len(texts):
         hi, size = lo, 0
-        while hi < len(texts) and (hi == lo or size < SLICE):
+        while hi < len(texts) and (hi == lo or size < limit):
             size += len(texts[hi] or "")
             hi += 1
         some = [t or "" for t in texts[lo:hi]]
@@ -231,19 +239,22 @@ def classify(texts: list[str | None], model: Model) -> list[tuple[str, float]]:
     return out
 
 
-def training_sample(docs: DataFrame, docs_in_all: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """Up to about ``docs_in_all`` labelled texts of at most ``chars`` characters, evenly by language.
+def training_sample(docs: DataFrame, docs_in_all: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, least: int = SAMPLE_LEAST) -> list[tuple[str, str]]:
+    """About ``docs_in_all`` labelled texts, evenly by language, and of each language about ``least`` at least.
 
-    ``docs`` has lang and text. A text is taken if a hash of it falls under its language's share, so the
-    sample does not depend on the order or the number of rows.
+    ``docs`` has lang and text. Every label that stands at a text with a letter is learned, whatever its
+    rank. A text is taken if a hash of it falls under its language's share, so the sample does not depend on
+    the order or the number of rows; of a text longer than ``chars`` a piece of that length is learned from.
     """
-    fit = docs.where("lang is not null and text is not null").where(F.char_length("text").between(40, chars)).select("lang", "text", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)).alias("h"))
-    counts = {r["lang"]: r["count"] for r in fit.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(docs_in_all // 8).collect()}
-    if not counts:
-        return []
-    each = docs_in_all / len(counts)
-    bound = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(int(min(1.0, each / n) * (1 << 30)))) for lang, n in sorted(counts.items())], F.lit(0))
-    return sorted((r.lang, r.text) for r in fit.where(F.col("h") < bound).select("lang", "text").collect())
+    lettered = docs.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
+    fit = lettered.select("lang", "text", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)).alias("h"))
+    shares = fit.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("first"))
+    languages = shares.count()
+    each = max(least, docs_in_all / max(1, languages))
+    # The least hash of a language is in any case below its bound, so no language is without a text.
+    bounds = shares.select("lang", F.greatest(F.least(F.lit(1.0), F.lit(float(each)) / F.col("n")) * (1 << 30), F.col("first") + 1).alias("bound"))
+    taken = fit.join(bounds, "lang").where("h < bound").groupBy("lang", "h").agg(F.min(F.substring("text", 1, chars)).alias("text"))
+    return sorted((r.lang, r.text) for r in taken.select("lang", "text").collect())
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -252,7 +263,10 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; needs a text column, keeps all others, and replaces those two."""
+    """``docs`` with ``lang_pred`` and ``score``; needs a text column, keeps all others.
+
+    Columns of those names are replaced. A null text, or one without a letter, is ``und`` with score 0.
+    """
     docs = docs.drop("lang_pred", "score")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
