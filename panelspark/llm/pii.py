@@ -3,7 +3,8 @@
 The field scores whole segments of tokens (shape, groups, digits, check digit, words around) for every type
 at once, and its dynamic program chooses boundaries and types jointly over segments of bounded length.
 A segment of a type must begin and end with a token that bears a digit, an at-sign or a spelled-out one,
-so between such tokens the labelling is forced and the program runs on islands of them, exactly.
+so between such tokens the labelling is forced and the program runs on islands of them, exactly and over
+whole islands, however long.
 
 Training data are generated here: address forms that the patterns do not cover (spelled-out at-signs,
 phones without a plus, cards and addresses with other separators) among numbers that are nobody's.
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.llm.common import KEPT, only
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 
@@ -91,7 +94,7 @@ def _shape(s: str) -> str:
     return DIGITS.sub(lambda m: str(min(len(m.group()), 9)), s)
 
 
-@lru_cache(maxsize=1 << 16)
+@lru_cache(maxsize=1 << 14)
 def _features(tokens: tuple[str, ...], before: str, after: str) -> tuple[int, ...]:
     """Feature numbers of a whole segment."""
     span = " ".join(tokens).strip(EDGE)
@@ -255,6 +258,16 @@ def trained(sentences: int = SENTENCES, passes: int = PASSES, seed: int = 11) ->
     return field
 
 
+def _token_before(text: str, place: int, least: int) -> re.Match | None:
+    """The last token between two places of a text."""
+    while place > least and text[place - 1].isspace():
+        place -= 1
+    start = place
+    while start > least and not text[start - 1].isspace():
+        start -= 1
+    return TOKEN.match(text, start, place) if start < place else None
+
+
 def _islands(text: str) -> Iterator[tuple[list[re.Match], str, str]]:
     """Runs of tokens that bear digits or at-signs, with as many plain tokens between two as a segment can hold.
 
@@ -268,10 +281,9 @@ def _islands(text: str) -> Iterator[tuple[list[re.Match], str, str]]:
         token = TOKEN.match(text, start)
         run = [token]
         if AT.fullmatch(token.group().strip(EDGE)) or token.group() == "@":  # its name stands alone before it
-            back = text[max(end, token.start() - 200) : token.start()].rstrip()
-            name = re.search(r"\S+$", back)
+            name = _token_before(text, token.start(), end)
             if name:
-                run.insert(0, TOKEN.match(text, max(end, token.start() - 200) + name.start()))
+                run.insert(0, name)
         while True:
             nxt = TOKEN.search(text, run[-1].end())
             if not nxt:
@@ -295,52 +307,90 @@ def _islands(text: str) -> Iterator[tuple[list[re.Match], str, str]]:
                 run += [*plain, ahead]
                 continue
             break
-        head = re.search(r"(\S+)\s*$", text[max(0, run[0].start() - 40) : run[0].start()])
-        tail = TOKEN.match(text, nxt.start()) if nxt else None
-        yield run, head.group(1) if head else "", tail.group()[:40] if tail else ""
+        head = _token_before(text, run[0].start(), 0)
+        yield run, head.group() if head else "", nxt.group() if nxt else ""
         end = run[-1].end()
         at = BEARING.search(text, end)
 
 
-@lru_cache(maxsize=1 << 14)
-def _decode(tokens: tuple[str, ...], before: str, after: str) -> tuple[tuple[int, int, int], ...]:
-    """(first token, end token, label) of sure segments."""
-    field = trained()
-    segs, feats = _segments(list(tokens), before, after)
-    s = field.scores(segs, feats)
-    chosen = [(q, y) for q, y in field.best(len(tokens), segs, s) if y]
-    if not chosen:
-        return ()
-    p, _ = field.marginals(len(tokens), segs, s)
-    return tuple((*segs[q], y) for q, y in chosen if p[q, y] >= SURE)
+#: Tokens whose segments are scored at a time.
+SCORED = 256
 
 
-#: Tokens of an island that are decoded together; in longer islands the next part begins ``LONGEST - 1`` tokens before the end of the last.
-ISLAND = 64
+def _dense(field: Field, tokens: list[str], before: str, after: str) -> np.ndarray:
+    """(token, length, label) scores of the segments that end with each token, of one token first."""
+    n, around = len(tokens), [before, *tokens, after]
+    out = np.full((n, LONGEST, len(LABELS)), -np.inf)
+    for lo in range(0, n, SCORED):
+        segs = [(i, j) for j in range(lo + 1, min(n, lo + SCORED) + 1) for i in range(max(0, j - LONGEST), j)]
+        feats = np.array([_features(tuple(tokens[i:j]), around[i], around[j + 1]) for i, j in segs])
+        ends, sizes = np.array([j - 1 for _, j in segs]), np.array([j - i - 1 for i, j in segs])
+        out[ends, sizes] = field.scores(segs, feats)
+    return out
+
+
+def decode(tokens: list[str], before: str, after: str) -> list[tuple[int, int, int]]:
+    """(first token, end token, label) of sure segments, by one dynamic program over all the tokens."""
+    field, n = trained(), len(tokens)
+    s, t, y = _dense(field, tokens, before, after), field.t, np.arange(len(LABELS))
+    top, size, prev = np.full((n + 1, len(LABELS)), -np.inf), np.zeros((n + 1, len(LABELS)), np.int64), np.zeros((n + 1, len(LABELS)), np.int64)
+    best, alpha, total = np.empty_like(top), np.empty_like(top), np.empty_like(top)
+    best[0] = alpha[0] = t[0]
+    for j in range(1, n + 1):
+        m = min(LONGEST, j)
+        terms = best[j - m : j][::-1] + s[j - 1, :m]
+        size[j] = terms.argmax(axis=0)
+        top[j] = terms[size[j], y]
+        through = top[j][:, None] + t
+        prev[j], best[j] = through.argmax(axis=0), through.max(axis=0)
+    out, j, label = [], n, int(top[n].argmax())
+    while j > 0:
+        i = j - 1 - int(size[j][label])
+        if label:
+            out.append((i, j, label))
+        label, j = int(prev[i][label]), i
+    if not out:
+        return []
+    for j in range(1, n + 1):
+        m = min(LONGEST, j)
+        total[j] = np.logaddexp.reduce(alpha[j - m : j][::-1] + s[j - 1, :m], axis=0)
+        alpha[j] = np.logaddexp.reduce(total[j][:, None] + t, axis=0)
+    beta = np.zeros((n + 1, len(LABELS)))
+    for i in range(n - 1, -1, -1):
+        k = np.arange(min(LONGEST, n - i))
+        ahead = np.logaddexp.reduce(s[i + k, k] + beta[i + 1 + k], axis=0)
+        beta[i] = np.logaddexp.reduce(t + ahead[None, :], axis=1)
+    z = np.logaddexp.reduce(total[n])
+    return [(i, j, c) for i, j, c in reversed(out) if alpha[i][c] + s[j - 1, j - i - 1, c] + beta[j][c] - z >= np.log(SURE)]
+
+
+@lru_cache(maxsize=1 << 12)
+def _decoded(tokens: tuple[str, ...], before: str, after: str) -> list[tuple[int, int, int]]:
+    return decode(list(tokens), before, after)
+
+
+def _forget() -> None:
+    _features.cache_clear()
+    _decoded.cache_clear()
+
+
+KEPT["pii"] = _forget
 
 
 def field_spans(text: str) -> list[Span]:
     out = []
     for run, before, after in _islands(text):
-        done = 0  # token up to which segments are reported
-        for lo in range(0, max(1, len(run) - LONGEST + 1), ISLAND - LONGEST + 1):
-            part = run[lo : lo + ISLAND]
-            last = lo + ISLAND >= len(run)
-            tokens = tuple(m.group()[:80] for m in part)
-            if not any(len(NOT_DIGIT.sub("", t)) for t in tokens) and not any("@" in t or AT.search(t) for t in tokens):
-                continue
-            ahead = after if last else run[lo + ISLAND].group()
-            for i, j, y in _decode(tokens, before[-20:] if lo == 0 else run[lo - 1].group()[-20:], ahead[:20]):
-                if lo + i < done or (not last and i > ISLAND - LONGEST):
-                    continue  # the part before has it, or the next one sees it whole
-                done = lo + j
-                start, end = part[i].start(), part[j - 1].end()
-                while start < end and text[start] in EDGE:
-                    start += 1
-                while end > start and text[end - 1] in EDGE:
-                    end -= 1
-                if start < end:
-                    out.append((KINDS[y - 1], start, end))
+        tokens = tuple(m.group() for m in run)
+        if not any(NOT_DIGIT.sub("", t) for t in tokens) and not any("@" in t or AT.search(t) for t in tokens):
+            continue
+        for i, j, y in (_decoded if sum(map(len, tokens)) < 400 else decode)(tokens, before, after):
+            start, end = run[i].start(), run[j - 1].end()
+            while start < end and text[start] in EDGE:
+                start += 1
+            while end > start and text[end - 1] in EDGE:
+                end -= 1
+            if start < end:
+                out.append((KINDS[y - 1], start, end))
     return out
 
 
@@ -372,6 +422,7 @@ def pii_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("pii")
         for batch in batches:
             found = [find_pii(t.as_py()) for t in batch.column(1)]
             counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS]
