@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.common import materialize
+from panelspark.llm.common import materialize, only
 
 #: Text bytes of the benchmark that one block holds, and so what is sent to every worker at a time.
 BLOCK_BYTES = 8 << 20
@@ -51,6 +51,7 @@ def _frequencies(docs: DataFrame, vocabulary: dict) -> Counter:
     sent = spark.sparkContext.broadcast(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("decontamination")
         known, found = sent.value, Counter()
         single = any(isinstance(x, bytes) for x in known)
         for batch in batches:
@@ -65,7 +66,7 @@ def _frequencies(docs: DataFrame, vocabulary: dict) -> Counter:
     rows = docs.select("b").mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
     numbers = {i: x for x, i in vocabulary.items()}
     out = Counter({numbers[r.s]: r.n for r in rows.collect()})  # at most the block's shingles
-    sent.unpersist()
+    sent.destroy()
     return out
 
 
@@ -78,12 +79,15 @@ def prefix_indexes(docs: DataFrame, benchmark: DataFrame, window: int, least: in
     """For each block of the benchmark: rarest shingle -> (its offset, window, items) of the windows it stands for."""
     n_blocks = blocks_of(benchmark, block_bytes)
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("b")).where("b is not null")
-    place = F.pmod(F.xxhash64("b"), F.lit(n_blocks))
+    # A text travels once; the ids of its copies are dealt over the blocks as texts of their own.
+    alike = items.distinct().withColumn("copy", F.pmod(F.xxhash64("item"), F.lit(n_blocks)))
+    listed = alike.groupBy("b", "copy").agg(F.collect_list("item").alias("items"))
+    place = F.pmod(F.xxhash64("b", "copy"), F.lit(n_blocks))
     for at in range(n_blocks):
         owners: dict[tuple, set] = defaultdict(set)
-        for row in items.where(place == at).collect():  # one block of about block_bytes
+        for row in listed.where(place == at).toLocalIterator():  # one block of about block_bytes
             for w in windows_of(words_of(bytes(row.b)), window, least):
-                owners[w].add(row.item)
+                owners[w].update([*row["items"], None])
         vocabulary = {x: i for i, x in enumerate(dict.fromkeys(s for w in owners for s in shingles(w)))}
         common = _frequencies(docs.select(F.col(text).cast("binary").alias("b")), vocabulary) if vocabulary else Counter()
         prefix: dict = defaultdict(list)
@@ -139,6 +143,7 @@ def _match(state: DataFrame, prefix: dict, last: bool) -> DataFrame:
     sent = state.sparkSession.sparkContext.broadcast(prefix)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("decontamination")
         index, single = sent.value, has_words(sent.value)
         for batch in batches:
             rows = []
@@ -164,11 +169,11 @@ def _match(state: DataFrame, prefix: dict, last: bool) -> DataFrame:
     return state.mapInArrow(match, RESULT if last else STATE)
 
 
-def without_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, least: int = 5, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, least: int = 1, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` less the rows whose text holds a window of the benchmark; all columns stay.
 
-    Windows are found as in ``contamination``. Items of fewer than ``least`` words are passed over: a
-    document may hold such a phrase without having seen the item.
+    Windows are found as in ``contamination``; items of fewer than ``least`` words are passed over. A null
+    text holds none and stays, as do repeated rows and rows without an id; without items all rows stay.
     """
     out = docs
     for prefix in prefix_indexes(docs, benchmark, window, least, text, block_bytes):
@@ -179,6 +184,7 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, l
 def _holder(sent):
     @F.pandas_udf("boolean")
     def holds(texts: pd.Series) -> pd.Series:
+        only("decontamination")
         index, single = sent.value, has_words(sent.value)
         return texts.map(lambda b: next(occurrences(words_of(b), index, single), None) is not None)
 
