@@ -114,7 +114,8 @@ def search(panel: DataFrame, residuals: DataFrame, proposer: Proposer, columns:
             values = {k: a for k, a in curve.items() if a is not None}
             flip = -1 if values and sum(values.values()) < 0 else 1
             rate = net_rate({k: flip * a for k, a in values.items()}, roundtrip)
-            fit = fit_curve([flip * values[k] for k in sorted(values)]) if values else {}
+            known = sorted(values)
+            fit = fit_curve(np.interp(np.arange(1, known[-1] + 1), [0, *known], [0.0, *(flip * values[k] for k in known)])) if known else {}
             ledger.append({"generation": generation, "cand_hash": p.identity, "candidate_json": p.to_json(), "direction": flip, "net_rate": rate, "reward": reward({"net_rate": max(rate, -1.0)}), "half_life_bars": fit.get("half_life"), "program": p})
         signals.unpersist()
         best = sorted(ledger, key=lambda r: (-r["reward"], r["cand_hash"]))[:keep]

@@ -60,18 +60,32 @@ def book_weights(panel: DataFrame, signal: str = "signal") -> DataFrame:
 
 
 def turnover(weights: DataFrame) -> DataFrame:
-    """Sum over names of the weight's change since the stamp before; an absent name has weight zero."""
+    """Sum over names of the weight's change since the stamp before; an absent name has weight zero.
+
+    A row meets its name's neighbours only: what was not there at the stamp before comes in whole, and what
+    is not there at the next goes out whole.
+    """
     stamps = weights.select("timestamp").distinct()
-    grid = stamps.join(weights.select("symbol").distinct(), how="cross").join(weights.select("timestamp", "symbol", "weight"), ["timestamp", "symbol"], "left").na.fill(0.0, ["weight"])
-    moved = F.abs(F.col("weight") - F.lag("weight", 1, 0.0).over(Window.partitionBy("symbol").orderBy("timestamp")))
-    return grid.withColumn("_t", moved).groupBy("timestamp").agg(F.sum("_t").alias("turnover"))
+    placed = stamps.withColumn("_pos", F.row_number().over(Window.orderBy("timestamp")))  # one row a stamp
+    own = Window.partitionBy("symbol").orderBy("_pos")
+    held = weights.select("timestamp", "symbol", "weight").join(placed, "timestamp")
+    near = held.withColumns({"_was": F.when(F.lag("_pos").over(own) == F.col("_pos") - 1, F.lag("weight").over(own)), "_stays": F.coalesce(F.lead("_pos").over(own) == F.col("_pos") + 1, F.lit(False))})
+    moved = near.select("_pos", F.abs(F.col("weight") - F.coalesce("_was", F.lit(0.0))).alias("_m"))
+    gone = near.where(~F.col("_stays")).select((F.col("_pos") + 1).alias("_pos"), F.abs("weight").alias("_m"))
+    return moved.union(gone).groupBy("_pos").agg(F.sum("_m").alias("turnover")).join(placed, "_pos").select("timestamp", "turnover")
+
 
+def screening_backtest(panel: DataFrame, signal: str = "signal", target: str = "tgt", cost_bps: float = 5.0, least: int = 10) -> DataFrame:
+    """Gross, turnover and net of the demeaned book of gross one, at each stamp with at least ``least`` names.
 
-def screening_backtest(panel: DataFrame, signal: str = "signal", target: str = "tgt", cost_bps: float = 5.0) -> DataFrame:
-    """Gross, turnover and net of the demeaned book, per stamp."""
-    w = book_weights(panel.where(F.col(target).isNotNull()), signal)
-    gross = w.groupBy("timestamp").agg(F.sum(F.col("weight") * F.col(target)).alias("gross"))
-    return gross.join(turnover(w), "timestamp").withColumn("net", F.col("gross") - F.col("turnover") * cost_bps / 1e4)
+    A stamp whose signals are all alike holds no book, and stays with weights of zero.
+    """
+    w = Window.partitionBy("timestamp")
+    ok = panel.where(F.col(signal).isNotNull() & F.col(target).isNotNull()).withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") >= least)
+    d = ok.withColumn("_d", F.col(signal) - F.avg(signal).over(w)).withColumn("_g", F.sum(F.abs("_d")).over(w))
+    book = d.select("timestamp", "symbol", F.col(target).alias("_y"), F.when(F.col("_g") > 0, F.col("_d") / F.col("_g")).otherwise(0.0).alias("weight"))
+    gross = book.groupBy("timestamp").agg(F.sum(F.col("weight") * F.col("_y")).alias("gross"))
+    return gross.join(turnover(book), "timestamp").withColumn("net", F.col("gross") - F.col("turnover") * cost_bps / 1e4)
 
 
 def hac_tstat(series: DataFrame, x: str = "x", order: str = "timestamp") -> DataFrame:
@@ -114,21 +128,66 @@ def response_curve(signal: DataFrame, residuals: DataFrame, ks: Sequence[int], s
     return means.select("n", F.expr(f"stack({len(ks)}, {pairs}) AS (k, a)")).select(F.col("k").cast("long").alias("k"), "a", F.col("n").alias("n_entries"))
 
 
-def fit_curve(curve: Sequence[float], half_lives: Sequence[float] = (1, 2, 3, 6, 12, 18, 24, 36, 48, 72, 108, 144)) -> dict[str, float]:
-    """Peak, initial rate, half-life and reversal of a curve A(1..H), smoothed over five points."""
-    a = pd.Series(list(curve), dtype=float).rolling(5, center=True, min_periods=1).mean().to_numpy()
-    if not len(a) or not np.isfinite(a).any():
+#: Half-lives, in bars, that a response curve is fitted with.
+HALF_LIVES = (3, 6, 12, 24, 48, 96, 144, 288, 432, 720, 1008, 2016)
+
+
+def fit_curve(curve: Sequence[float], half_lives: Sequence[float] = HALF_LIVES, entries: dict[int, Sequence[float]] | None = None, n_eff: float = 1.0) -> dict[str, float]:
+    """What a response curve A(1..H) says of a bet: where and how high it peaks, how fast, and what it gives back.
+
+    ``a0`` is the height, and ``peak_k`` the place, of the peak of the curve smoothed over five bars;
+    ``half_life`` fits the curve itself up to there by least squares over the grid, with positive amplitudes;
+    ``rev_frac`` is the share of the peak lost at the end, 0 unless the peak is positive. ``entries``, single
+    outcomes by bar, give ``se_peak`` (over ``n_eff`` independent ones) and ``median_peak`` at the bar nearest
+    the peak.
+    """
+    raw = np.asarray(list(curve), float)
+    if not len(raw) or not np.isfinite(raw).any():
         return {}
-    peak = int(np.nanargmax(a))
-    k = np.arange(1, peak + 2)
-    best = None
-    for h in half_lives:
-        shape = (1 - 0.5 ** (k / h)) * h / np.log(2)
-        a0 = float(shape @ a[: peak + 1] / (shape @ shape))
-        err = float(((a[: peak + 1] - a0 * shape) ** 2).sum())
-        if best is None or err < best[0]:
-            best = (err, a0, h)
-    return {"a0": best[1], "half_life": float(best[2]), "peak_k": peak + 1, "rev_frac": float((a[peak] - a[-1]) / abs(a[peak])) if a[peak] else 0.0}
+    smooth = pd.Series(raw).rolling(5, center=True, min_periods=1).mean().to_numpy()
+    top = int(np.nanargmax(smooth))
+    height, seen = float(smooth[top]), raw[: top + 1]
+    shapes = 1 - 0.5 ** (np.arange(1, top + 2)[None, :] / np.asarray(half_lives, float)[:, None])
+    amplitude = shapes @ seen / (shapes**2).sum(axis=1)
+    misfit = np.where(amplitude > 0, ((seen - amplitude[:, None] * shapes) ** 2).sum(axis=1), np.inf)
+    best = int(np.argmin(misfit)) if np.isfinite(misfit).any() else 0
+    out = {"a0": height, "half_life": float(half_lives[best]), "peak_k": top + 1, "rev_frac": float(1 - smooth[-1] / height) if height > 0 else 0.0, "se_peak": float("nan"), "median_peak": float("nan")}
+    if entries:
+        at = np.asarray(entries[min(entries, key=lambda k: abs(k - top - 1))], float)
+        at = at[np.isfinite(at)]
+        if len(at) > 1:
+            out |= {"se_peak": float(at.std(ddof=1) / np.sqrt(max(n_eff, 1.0))), "median_peak": float(np.median(at))}
+    return out
+
+
+def flipped_curve(ks: Sequence[int], curve: Sequence[float | None]) -> dict[str, float]:
+    """Peak of the negated curve on its sampled bars, and the share of it lost at the last one."""
+    a = np.array([np.nan if v is None else -float(v) for v in curve])
+    if not np.isfinite(a).any():
+        return {}
+    top = int(np.nanargmax(a))
+    return {"a0": float(a[top]), "peak_k": int(ks[top]), "rev_frac": float(1 - a[-1] / a[top]) if a[top] > 0 and np.isfinite(a[-1]) else 0.0}
+
+
+def thirds_agree(outcomes: Sequence[float]) -> bool:
+    """Whether the means of the first, middle and last third of outcomes in time have one sign; true if there are under three."""
+    x = np.asarray(list(outcomes), float)
+    x = x[np.isfinite(x)]
+    if len(x) < 3:
+        return True
+    signs = {int(np.sign(part.mean())) for part in np.array_split(x, 3)}
+    return signs in ({1}, {-1})
+
+
+def persistence(half_life: float | None, turnover: float | None) -> float | None:
+    """Bars that an edge lasts: the shorter of its half-life and the time in which the book turns over."""
+    known = [x for x in (half_life, 1 / turnover if turnover and turnover > 0 else None) if x]
+    return min(known) if known else None
+
+
+def capture(half_life: float | None, rate: float) -> float:
+    """Share of an edge that decays by half in ``half_life`` bars which a book filling at ``rate`` a bar earns."""
+    return 1.0 if not half_life or half_life <= 0 else float(1 / (1 + np.log(2) / half_life / max(rate, 1e-12)))
 
 
 def signal_correlation(a: DataFrame, b: DataFrame, least: int = 10) -> DataFrame:
@@ -149,11 +208,19 @@ def smoothed(panel: DataFrame, x: str, half_life: float) -> DataFrame:
 
 
 def false_discovery(tests: DataFrame, p: str = "p", rate: float = 0.1, arbitrary: bool = False) -> DataFrame:
-    """Adds ``discovered`` by Benjamini-Hochberg, or under arbitrary dependence by Benjamini-Yekutieli; nulls never are."""
-    n = tests.where(F.col(p).isNotNull()).count()
+    """Adds ``discovered`` by Benjamini-Hochberg, or under arbitrary dependence by Benjamini-Yekutieli; nulls never are.
+
+    Distinct values are ranked in 4096 ranges of p; only the ranges' counts are added up in one place.
+    """
+    values = tests.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
+    values = values.withColumn("_range", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_p"))) * 4096))
+    ranges = values.groupBy("_range").agg(F.sum("_n").alias("_m"))
+    before = ranges.select("_range", F.coalesce(F.sum("_m").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    rank = F.col("_before") + F.sum("_n").over(Window.partitionBy("_range").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = values.join(before, "_range").withColumn("_r", rank)
+    n = ranges.agg(F.sum("_m")).first()[0] or 0
     c = float(np.sum(1 / np.arange(1, n + 1))) if arbitrary and n else 1.0
-    ranked = tests.withColumn("_r", F.count(F.when(F.col(p).isNotNull(), 1)).over(Window.orderBy(F.col(p).asc_nulls_last())))
-    cut = ranked.where(F.col(p) <= rate * F.col("_r") / (max(n, 1) * c)).agg(F.max(p)).first()[0]
+    cut = ranked.where(F.col("_p") <= rate * F.col("_r") / (max(n, 1) * c)).agg(F.max("_p")).first()[0]
     return tests.withColumn("discovered", F.coalesce(F.col(p) <= F.lit(cut), F.lit(False)))
 
 
@@ -172,7 +239,7 @@ def targets_panel(panel: DataFrame, lags: dict[str, int], x: str = "residual_ret
     return t.drop("_adv").join(flagged, ["timestamp", "symbol"], "left").withColumn("is_liquid", F.coalesce("is_liquid", F.lit(False)))
 
 
-def smoothing_half_life(lag_bars: int, buckets: Sequence[tuple[int, float]] = ((6, 2.0), (36, 6.0), (144, 24.0)), floor: float = 1.0) -> float:
+def smoothing_half_life(lag_bars: int, buckets: Sequence[tuple[int, float]] = ((12, 3.0), (48, 12.0), (144, 72.0), (432, 108.0)), floor: float = 1.0) -> float:
     """Half-life for the first bucket that reaches the lag; the last one beyond."""
     return max(floor, next((h for top, h in buckets if lag_bars <= top), buckets[-1][1]))
 

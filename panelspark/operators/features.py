@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from panelspark.plans.formula import Formula, change, clip, corr, cov, cross_z, flag, lag, least, ln, mean, most, percent_rank, root, running, std, total, var
+from panelspark.plans.formula import Formula, change, clip, corr, cov, cross_z, flag, lag, least, ln, mean, most, over, percent_rank, root, rows, running, std, total, var
 
 DAY = 144
 ANNUAL = math.sqrt(DAY * 365)
@@ -221,28 +221,61 @@ def lead_lag(long: int = 1008, gaps: tuple[int, int] = (36, 144), step: int = 6)
     return Formula((R, s2, s3, s4), ("ll_beta", *[f"ll_gap_{g}" for g in gaps], "ll_lag_corr"))
 
 
-def residual_dynamics(lags: tuple[int, ...] = (1, 6, 36, 72, 144), short: int = 36, long: int = DAY, sums: tuple[int, ...] = (36, 144, 432), regime: int = 432) -> Formula:
+def cumulated(x: str = "residual_return") -> str:
+    """Running sum of ``x`` with gaps as zero, NULL before the first value."""
+    return f"CASE WHEN {running(f'count({x})')} > 0 THEN {running(f'sum(coalesce({x}, 0))')} END"
+
+
+def residual_dynamics(lags: tuple[int, ...] = (1, 6, 36, 72, 144), short: int = 36, long: int = DAY, xlong: int = 432, regime: int = 432, calm: float = -0.05) -> Formula:
     """Needs ``residual_return``."""
     x = "residual_return"
-    s1 = {**{f"x_{k}": lag(x, k) for k in lags}, "x_mean": mean(x, long), "res_vol_short": std(x, short), "res_vol_long": std(x, long), "sgx": f"CAST(sign({x}) AS DOUBLE)", "spread": f"CASE WHEN {running(f'count({x})')} > 0 THEN {running(f'sum(coalesce({x}, 0))')} END", "x36": total(x, 36)}
-    s2 = {"res_zscore": f"({x} - x_mean) / (res_vol_long + 1e-10)", "sgx_1": lag("sgx"), **{f"res_autocorr_{k}": corr(x, f"x_{k}", max(DAY, 4 * k), max(10, max(DAY, 4 * k) // 2)) for k in lags}, **{f"res_cumsum_{k}": total(x, k) for k in sums}, "res_ac1_regime": corr(x, "x_1", regime, regime // 2), "spread_high": most("spread", regime, regime // 2), "spread_low": least("spread", regime, regime // 2), "res_vr": f"({var('x36', regime, regime // 2)}) / (36 * ({var(x, regime, regime // 2)}) + 1e-18)"}
-    s3 = {"res_extreme": flag("abs(res_zscore) > 2"), "z_1": lag("res_zscore"), "res_z_momentum_4": f"res_zscore - {lag('res_zscore', 4)}", "res_z_momentum_8": f"res_zscore - {lag('res_zscore', 8)}", "res_mean_reverting": flag("res_ac1_regime < -0.05"), "res_drawdown": "(spread - spread_high) / (res_vol_long + 1e-10)", "res_runup": "(spread - spread_low) / (res_vol_long + 1e-10)", "same_sign": flag("sgx = sgx_1"), "res_hurst": clip(f"(0.5 + ({ln('res_vr')}) / {2 * math.log(36)!r})", "0", "1")}
-    s4 = {"dz": "abs(res_zscore - z_1)", "res_z_accel": f"res_z_momentum_4 - {lag('res_z_momentum_4', 4)}", "res_regime_signal": "-res_zscore * res_mean_reverting", "res_persistence": mean("same_sign", short), "island": running("sum(res_extreme)")}
-    s5 = {"res_reversion_speed": mean("dz", 8), "res_bars_since_extreme": "CASE WHEN island > 0 THEN CAST(row_number() OVER (PARTITION BY symbol, island ORDER BY timestamp) - 1 AS DOUBLE) END"}
-    outputs = ("res_vol_short", "res_vol_long", "res_zscore", *[f"res_autocorr_{k}" for k in lags], *[f"res_cumsum_{k}" for k in sums], "res_ac1_regime", "res_extreme", "res_z_momentum_4", "res_z_momentum_8", "res_mean_reverting", "res_drawdown", "res_runup", "res_hurst", "res_z_accel", "res_regime_signal", "res_persistence", *s5)
+    s1 = {**{f"x_{k}": lag(x, k) for k in lags}, "x_mean": mean(x, long), "res_vol_short": std(x, short), "res_vol_long": std(x, long), "up": flag(f"{x} > 0"), "spread": cumulated(x), "x36": total(x, 36)}
+    s2 = {"res_zscore": f"({x} - x_mean) / (res_vol_long + 1e-10)", "up_1": lag("up"), **{f"res_autocorr_lag{k}": corr(x, f"x_{k}", max(DAY, 4 * k), max(10, max(DAY, 4 * k) // 2)) for k in lags}, **{f"res_cumsum_{n}": total(x, k) for n, k in (("short", short), ("long", long), ("xlong", xlong))}, "res_ac1_rolling": corr(x, "x_1", regime, regime // 2), "spread_high": most("spread", regime, regime // 2), "spread_low": least("spread", regime, regime // 2), "res_vr": f"({var('x36', regime, regime // 2)}) / (36 * ({var(x, regime, regime // 2)}) + 1e-18)"}
+    s3 = {"res_extreme_flag": flag("abs(res_zscore) > 2"), "z_1": lag("res_zscore"), "res_zscore_momentum_4": f"res_zscore - {lag('res_zscore', 4)}", "res_zscore_momentum_8": f"res_zscore - {lag('res_zscore', 8)}", "res_mr_regime": flag(f"res_ac1_rolling < {calm}"), "res_spread_drawdown": "(spread - spread_high) / (res_vol_long + 1e-10)", "res_spread_runup": "(spread - spread_low) / (res_vol_long + 1e-10)", "turn": "CASE WHEN up = up_1 THEN 0 ELSE 1 END", "res_hurst": clip(f"(0.5 + ({ln('res_vr')}) / {2 * math.log(36)!r})", "0", "1")}
+    calm_only = lambda v: f"CASE WHEN res_mr_regime = 1 THEN {v} ELSE 0 END"
+    s4 = {"dz": "abs(res_zscore - z_1)", "res_zscore_accel": f"res_zscore_momentum_4 - {lag('res_zscore_momentum_4', 4)}", "res_mr_signal": calm_only(f"-{x}"), "res_mr_signal_scaled": calm_only("-res_zscore"), "res_mr_regime_strength": calm_only("-res_ac1_rolling"), "run": running("sum(turn)"), "island": running("sum(res_extreme_flag)")}
+    s5 = {"res_reversion_speed": mean("dz", 8), "res_mr_signal_weighted": "res_mr_signal_scaled * res_mr_regime_strength", "res_sign_persistence": "CAST(row_number() OVER (PARTITION BY symbol, run ORDER BY timestamp) AS DOUBLE)", "res_bars_since_extreme": "CASE WHEN island > 0 THEN CAST(row_number() OVER (PARTITION BY symbol, island ORDER BY timestamp) - 1 AS DOUBLE) END"}
+    outputs = tuple(c for stage in (s1, s2, s3, s4, s5) for c in stage if c.startswith("res_") and c != "res_vr")
     return Formula((s1, s2, s3, s4, s5), outputs)
 
 
-def mean_reversion_process(w: int = DAY, least_rows: int = 100, x: str = "spread", suffix: str = "1d") -> Formula:
-    """Rolling least squares of the change of ``x`` on its level: speed, level, half-life and distance."""
-    s1 = {"x0": lag(x)}
-    s2 = {"dx": f"{x} - x0"}
-    s3 = {"sx": "CASE WHEN dx IS NOT NULL THEN x0 END"}
-    s4 = {"slope": f"({cov('dx', 'sx', w, least_rows)}) / nullif(({var('sx', w, least_rows)}), 0)", "mx": mean("sx", w, least_rows), "my": mean("dx", w, least_rows), "vy": var("dx", w, least_rows), "vx": var("sx", w, least_rows)}
-    s5 = {"lam": "CASE WHEN -slope > 0 AND -slope <= 2 THEN -slope END", "icpt": "my - slope * mx"}
-    s6 = {"mu": "-icpt / nullif(slope, 0)", "sig": root("(vy - slope * slope * vx)")}
-    s7 = {f"ou_speed_{suffix}": "lam", f"ou_half_life_{suffix}": clip(f"({LN2!r} / lam)", None, str(w)), f"ou_zscore_{suffix}": f"CASE WHEN lam IS NOT NULL THEN ({x} - mu) / (sig + 1e-10) END", f"ou_expected_change_{suffix}": f"lam * (mu - {x})", f"ou_regime_{suffix}": flag("lam > 0.01")}
-    return Formula((s1, s2, s3, s4, s5, s6, s7), tuple(s7), digits={f"ou_half_life_{suffix}": 4})
+def mean_reversion_process(short: int = DAY, long: int = 1008, least_rows: int = 100, x: str = "residual_return", threshold: float = 0.01) -> Formula:
+    """Rolling least squares of the change of the cumulated ``x`` on its level, over two windows.
+
+    Speeds are valid in (0, 2]. The long window gives the level it returns to and, from the noise left over,
+    the spread it returns with.
+    """
+    fits = {"short": short, "long": long}
+    s1 = {"lv": cumulated(x)}
+    s2 = {"lv_1": lag("lv")}
+    s3 = {"dv": "lv - lv_1"}
+    s4 = {"lv_0": "CASE WHEN dv IS NOT NULL THEN lv_1 END"}
+    s5 = {}
+    for n, w in fits.items():
+        s5 |= {f"b_{n}": f"({cov('dv', 'lv_0', w, least_rows)}) / nullif(({var('lv_0', w, least_rows)}), 0)"}
+    s5 |= {"c_l": f"count(dv) {over(rows(long))}", "m_x": mean("lv_0", long, least_rows), "m_y": mean("dv", long, least_rows), "v_y": var("dv", long, least_rows), "v_x": var("lv_0", long, least_rows)}
+    s6 = {f"ou_lambda_{n}": f"CASE WHEN -b_{n} > 0 AND -b_{n} <= 2 THEN -b_{n} END" for n in fits}
+    s6 |= {"goal": "CASE WHEN abs(b_long) > 1e-12 THEN m_x - m_y / b_long END", "noise": "sqrt(greatest((c_l - 1) * (v_y - b_long * b_long * v_x) / greatest(c_l - 2, 1), 0))"}
+    s7 = {f"ou_halflife_{n}": f"CASE WHEN ou_lambda_{n} IS NOT NULL THEN least({LN2!r} / ou_lambda_{n}, {w}) END" for n, w in fits.items()}
+    s7 |= {"off": "CASE WHEN ou_lambda_long IS NOT NULL THEN lv - goal END", "ou_regime": flag(f"ou_lambda_long > {threshold}")}
+    s8 = {"ou_zscore": "off / (noise / sqrt(2 * ou_lambda_long + 1e-12) + 1e-12)", "ou_expected_change": "-ou_lambda_long * off"}
+    s9 = {"ou_signal": "-sign(off) * abs(ou_zscore)"}
+    s10 = {"ou_signal_scaled": "ou_signal * ou_lambda_long"}
+    outputs = ("ou_lambda_short", "ou_lambda_long", "ou_halflife_short", "ou_halflife_long", "ou_zscore", "ou_expected_change", "ou_signal", "ou_signal_scaled", "ou_regime")
+    return Formula((s1, s2, s3, s4, s5, s6, s7, s8, s9, s10), outputs, digits=dict.fromkeys(("ou_halflife_short", "ou_halflife_long", "ou_zscore", "ou_signal", "ou_signal_scaled"), 4))
+
+
+def space(op: str, a: str, b: str | None = None, k: int = 1) -> str:
+    """A signal's raw value: a column, or two columns' spread or ratio, or a column's change over ``k`` rows."""
+    if op == "direct":
+        return a
+    if op == "spread":
+        return f"{a} - {b}"
+    if op == "ratio":
+        return f"{a} / (abs({b}) + 1e-9)"
+    if op == "diff":
+        return f"{a} - {lag(a, k)}"
+    raise ValueError(f"unknown space: {op}")
 
 
 def same_bucket_seasonality(days: int = 20, least_days: int = 5, long: int = DAY * 20) -> Formula:

@@ -35,20 +35,24 @@ def asof_bounded(left: DataFrame, right: DataFrame, by: Sequence[str], on: str,
     return out.withColumns({v: F.when(fresh, F.col(v)) for v in (*values, "matched_at")})
 
 
-def neighbours(bars: DataFrame, events: DataFrame, by: Sequence[str] = (), on: str = "timestamp", event_time: str = "event_time") -> DataFrame:
+def neighbours(bars: DataFrame, events: DataFrame, by: Sequence[str] = (), on: str = "timestamp", event_time: str = "event_time", block_seconds: int = 86400) -> DataFrame:
     """Adds the next event at or after each row and the last one strictly before it.
 
-    Events are stacked with the rows and carried both ways, so no row meets more than its neighbours.
+    Events are stacked with the rows of their key and block of time and carried both ways, so no row meets
+    more than its neighbours. What a block has not is carried over from the blocks around it, of which there
+    is one row each.
     """
-    keys = list(by) or ["_all"]
-    a, b = bars, events.select(*by, event_time)
-    if not by:
-        a, b = a.withColumn("_all", F.lit(1)), b.withColumn("_all", F.lit(1))
+    at = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (block_seconds * 1_000_000))
+    a, b = bars.withColumn("_block", at(on)), events.where(F.col(event_time).isNotNull()).select(*by, event_time).withColumn("_block", at(event_time))
+    keys = [*by, "_block"]
     both = a.withColumns({"_at": F.col(on), "_tag": F.lit(1), "_e": F.lit(None).cast(b.schema[event_time].dataType)}).unionByName(b.select(*keys, F.col(event_time).alias("_at"), F.lit(2).alias("_tag"), F.col(event_time).alias("_e")), allowMissingColumns=True)
-    back = Window.partitionBy(*keys).orderBy("_at", "_tag").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy(*keys).orderBy("_at", "_tag").rowsBetween(1, Window.unboundedFollowing)
-    out = both.withColumns({"previous_event": F.last("_e", ignorenulls=True).over(back), "next_event": F.first("_e", ignorenulls=True).over(ahead)})
-    return out.where("_tag = 1").select(*bars.columns, "previous_event", "next_event")
+    inside = Window.partitionBy(*keys).orderBy("_at", "_tag")
+    near = both.withColumns({"_before": F.last("_e", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)), "_after": F.first("_e", ignorenulls=True).over(inside.rowsBetween(1, Window.unboundedFollowing))})
+    blocks = a.select(*keys).distinct().join(b.groupBy(*keys).agg(F.min(event_time).alias("_first"), F.max(event_time).alias("_last")), keys, "full")
+    order = Window.partitionBy(*by).orderBy("_block")
+    around = blocks.select(*keys, F.last("_last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"), F.first("_first", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    out = near.where("_tag = 1").join(around, keys, "left")
+    return out.select(*[F.col(c) for c in bars.columns], F.coalesce("_before", "_earlier").alias("previous_event"), F.coalesce("_after", "_later").alias("next_event"))
 
 
 def event_windows(events: DataFrame, bars: DataFrame, by: Sequence[str], seconds: int, event_time: str = "event_time", on: str = "timestamp") -> DataFrame:
@@ -104,3 +108,28 @@ def clip_spells(spells: DataFrame, first_trades: DataFrame, floor: str) -> DataF
     j = spells.join(first_trades.select("symbol", "first_trade"), "symbol", "left")
     at = F.greatest(F.col("first_trade"), F.lit(floor).cast("timestamp_ntz"))
     return j.select("symbol", F.when(F.col("first_trade").isNotNull(), F.greatest(F.col("valid_from"), at)).otherwise(F.col("valid_from")).alias("valid_from"), "valid_to")
+
+
+def fresh_latest(df: DataFrame, day: str, by: Sequence[str] = ("symbol",), on: str = "date", most_days: int = 5) -> DataFrame:
+    """Each key's last row on or before ``day``, unless it is more than ``most_days`` old."""
+    then = F.to_date(F.lit(day))
+    known = df.where(F.col(on) <= then)
+    return latest(known, by, on).where(F.datediff(then, F.col(on)) <= most_days)
+
+
+def window_slice(panel: DataFrame, start: str, end: str, purge_bars: int = 0, bar_seconds: int = 600, on: str = "timestamp") -> DataFrame:
+    """Rows from ``start`` up to, not with, ``end`` less ``purge_bars`` bars."""
+    a, z = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz") - F.expr(f"INTERVAL {purge_bars * bar_seconds} SECONDS")
+    return panel.where((F.col(on) >= a) & (F.col(on) < z))
+
+
+def only_new(stored: DataFrame, fetched: DataFrame, key: str = "date") -> DataFrame:
+    """Stored rows and, of keys that are not stored, the fetched ones, one a key."""
+    return stored.unionByName(fetched.join(stored.select(key).distinct(), key, "left_anti").dropDuplicates([key]), allowMissingColumns=True)
+
+
+def resolved_ids(names: DataFrame, manual: DataFrame, cached: DataFrame, listed: DataFrame, blocked: Sequence[str] = ()) -> DataFrame:
+    """(symbol, id): the manual choice, else the cached one, else the listed id of the largest market cap that is not blocked."""
+    best = listed.where(~F.col("id").isin(list(blocked)) if blocked else F.lit(True)).groupBy("symbol").agg(F.max_by("id", F.struct(F.coalesce("market_cap", F.lit(-1.0)), "id")).alias("_best"))
+    out = names.select("symbol").distinct().join(manual.select("symbol", F.col("id").alias("_manual")), "symbol", "left").join(cached.select("symbol", F.col("id").alias("_cached")), "symbol", "left").join(best, "symbol", "left")
+    return out.select("symbol", F.coalesce("_manual", "_cached", "_best").alias("id"))

@@ -78,3 +78,14 @@ def terciles(df: DataFrame, x: str) -> DataFrame:
     cuts = df.agg(F.percentile(x, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_c"))
     c = F.col("_c")
     return df.join(cuts, how="cross").withColumn("tercile", F.when(F.col(x) <= c[0], 0).when(F.col(x) <= c[1], 1).when(F.col(x).isNotNull(), 2)).drop("_c")
+
+
+def grouped_median(df: DataFrame, keys: list[str], x: str, name: str) -> DataFrame:
+    """Exact median by group from counts by value, so that a group costs its distinct values; nulls don't count."""
+    values = df.where(F.col(x).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*keys)
+    run = F.sum("_c").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = values.withColumns({"_run": run, "_all": F.sum("_c").over(w)})
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor((F.col("_all") + 2) / 2)
+    at = lambda k: F.min(F.when(F.col("_run") >= k, F.col("_v")))
+    return placed.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias(name))

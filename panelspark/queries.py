@@ -238,8 +238,14 @@ def membership_evolution(spark, d):
 
 @query("SELECT l_suppkey, count(*) AS n, count(DISTINCT l_partkey) AS parts, round(sum(l_extendedprice), 2) AS total, round(avg(l_quantity), 6) AS mean_qty, round(median(l_quantity), 6) AS median_qty, round(stddev_samp(l_quantity), 6) AS sd_qty, min(l_shipdate) AS first_ship, max(l_shipdate) AS last_ship FROM lineitem GROUP BY 1")
 def agg_named(spark, d):
-    g = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.countDistinct("l_partkey").alias("parts"), F.sum("l_extendedprice").alias("total"), F.avg("l_quantity").alias("mean_qty"), F.median("l_quantity").alias("median_qty"), F.stddev_samp("l_quantity").alias("sd_qty"), F.min("l_shipdate").alias("first_ship"), F.max("l_shipdate").alias("last_ship"))
-    return rounded(rounded(g, "mean_qty", "median_qty", "sd_qty"), "total", digits=2)
+    t, keys = table(spark, d, "lineitem"), ["l_suppkey"]
+    g = t.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("l_extendedprice").alias("total"), F.avg("l_quantity").alias("mean_qty"), F.stddev_samp("l_quantity").alias("sd_qty"), F.min("l_shipdate").alias("first_ship"), F.max("l_shipdate").alias("last_ship"))
+    # A distinct count beside other aggregates would multiply all rows, an exact median would hold a group's
+    # values: both start from counts by value.
+    parts = t.groupBy(*keys, "l_partkey").count().groupBy(*keys).agg(F.count("l_partkey").alias("parts"))
+    median = reports.grouped_median(t, keys, "l_quantity", "median_qty")
+    out = g.join(parts, keys).join(median, keys, "left").select(*keys, "n", "parts", "total", "mean_qty", "median_qty", "sd_qty", "first_ship", "last_ship")
+    return rounded(rounded(out, "mean_qty", "median_qty", "sd_qty"), "total", digits=2)
 
 
 @query("SELECT event_type, round(stddev_samp(value), 6) AS sample, round(stddev_pop(value), 6) AS population, round(sum(value * CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END), 4) AS weighted FROM events GROUP BY 1")
@@ -420,7 +426,43 @@ def with_residual(spark, d):
 RESIDUAL = f"{BARS}, {MARKET}, src AS (SELECT r.* EXCLUDE (r0), r.r0 - m.market_factor AS residual_return FROM rets r LEFT JOIN mkt m ON m.timestamp = r.timestamp)"
 formula_query("feat_residual_dynamics", features.residual_dynamics(), with_residual, RESIDUAL, "src")
 formula_query("feat_seasonality", features.same_bucket_seasonality(), with_residual, RESIDUAL, "src")
-formula_query("feat_ou_process", features.mean_reversion_process(x="lc"), lambda s, d: event_bars(s, d).withColumn("lc", F.log("close")), f"{BARS}, src AS (SELECT *, ln(close) AS lc FROM bars)", "src")
+formula_query("feat_ou_process", features.mean_reversion_process(), with_residual, RESIDUAL, "src")
+formula_query("signal_spaces", Formula(({"spread": features.space("spread", "close", "open"), "ratio": features.space("ratio", "close", "volume"), "diff": features.space("diff", "close", k=6), "direct": features.space("direct", "high")},), ("spread", "ratio", "diff", "direct")), event_bars, BARS, "bars")
+
+
+@query(f"WITH {BARS} SELECT timestamp, symbol, round(close, 6) AS close FROM bars WHERE timestamp >= TIMESTAMP '2024-01-05' AND timestamp < TIMESTAMP '2024-01-09 22:00:00'")
+def window_slice(spark, d):
+    return rounded(joins.window_slice(event_bars(spark, d), "2024-01-05", "2024-01-10", 12).select("timestamp", "symbol", "close"), "close")
+
+
+@query(f"WITH {DAYS_SQL}, f AS (SELECT symbol, min(timestamp) AS first FROM days GROUP BY 1) SELECT d.timestamp, d.symbol, round(x, 6) AS x FROM days d JOIN f ON f.symbol = d.symbol WHERE d.timestamp >= first + INTERVAL 5 DAY")
+def listing_age_gate(spark, d):
+    u = user_days(spark, d)
+    return rounded(portfolio.old_enough(u, u, 5).select("timestamp", "symbol", "x"), "x")
+
+
+@query("WITH o AS (SELECT o_custkey AS symbol, CAST(o_orderdate AS DATE) AS date, max(o_totalprice) AS v FROM orders GROUP BY 1, 2), l AS (SELECT symbol, max(date) AS date FROM o WHERE date <= DATE '1997-06-30' GROUP BY 1) SELECT o.symbol, o.date, round(v, 2) AS v FROM o JOIN l ON l.symbol = o.symbol AND l.date = o.date WHERE o.date >= DATE '1997-06-25'")
+def fresh_latest(spark, d):
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("symbol"), F.to_date("o_orderdate").alias("date")).agg(F.max("o_totalprice").alias("v"))
+    return rounded(joins.fresh_latest(o, "1997-06-30"), "v", digits=2)
+
+
+@query("SELECT n_nationkey AS k, n_name AS name FROM nation WHERE n_regionkey < 3 UNION ALL SELECT n_nationkey, upper(n_name) || '!' FROM nation WHERE n_regionkey >= 3")
+def merge_only_new(spark, d):
+    n = table(spark, d, "nation")
+    stored = n.where("n_regionkey < 3").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
+    return joins.only_new(stored, n.select(F.col("n_nationkey").alias("k"), F.concat(F.upper("n_name"), F.lit("!")).alias("name")), "k")
+
+
+@query("WITH best AS (SELECT o_custkey % 50 AS symbol, arg_max(o_orderkey, o_totalprice * 1e10 + o_orderkey) AS id FROM orders WHERE o_orderkey NOT IN (1, 2, 3) GROUP BY 1) SELECT CAST(symbol AS VARCHAR) AS symbol, CAST(CASE WHEN symbol % 10 = 0 THEN -1 WHEN symbol % 10 = 1 THEN -2 ELSE id END AS VARCHAR) AS id FROM best")
+def resolved_ids(spark, d):
+    o = table(spark, d, "orders").select((F.col("o_custkey") % 50).cast("string").alias("symbol"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_totalprice").alias("market_cap"))
+    names = o.select("symbol").distinct()
+    last = F.col("symbol").cast("int") % 10
+    manual, cached = names.where(last == 0).withColumn("id", F.lit("-1")), names.where(last <= 1).withColumn("id", F.lit("-2"))
+    return joins.resolved_ids(names, manual, cached, o, ["1", "2", "3"])
+
+
 formula_query("feat_funding", features.funding(), lambda s, d: event_bars(s, d).withColumn("funding_rate", (F.col("close") - F.col("open")) / 9973), f"{BARS}, src AS (SELECT *, (close - open) / 9973 AS funding_rate FROM bars)", "src")
 formula_query("feat_open_interest", features.open_interest(), lambda s, d: event_bars(s, d).withColumn("open_interest", F.col("quote_asset_volume") + 1), f"{BARS}, src AS (SELECT *, quote_asset_volume + 1 AS open_interest FROM bars)", "src")
 formula_query("feat_positioning", features.positioning(), lambda s, d: event_bars(s, d).withColumns({"retail_ls_ratio": F.col("high") / F.col("low"), "toptrader_ls_positions": F.col("open") / F.col("close"), "taker_buy_sell_ratio": F.col("taker_buy_base_asset_volume") / F.col("volume")}), f"{BARS}, src AS (SELECT *, high / low AS retail_ls_ratio, open / close AS toptrader_ls_positions, taker_buy_base_asset_volume / volume AS taker_buy_sell_ratio FROM bars)", "src")
@@ -567,7 +609,10 @@ def liquidity_bucket_ic(spark, d):
 BOOK = f"{PANEL}, dm AS (SELECT timestamp, symbol, tgt, signal - avg(signal) OVER (PARTITION BY timestamp) AS dv FROM p WHERE tgt IS NOT NULL), gr AS (SELECT *, sum(abs(dv)) OVER (PARTITION BY timestamp) AS g FROM dm), bk AS (SELECT timestamp, symbol, tgt, dv / g AS weight FROM gr WHERE g > 1e-12), full_grid AS (SELECT t.timestamp, s.symbol, coalesce(b.weight, 0) AS weight FROM (SELECT DISTINCT timestamp FROM bk) t CROSS JOIN (SELECT DISTINCT symbol FROM bk) s LEFT JOIN bk b ON b.timestamp = t.timestamp AND b.symbol = s.symbol), turn AS (SELECT timestamp, sum(mv) AS turnover FROM (SELECT timestamp, abs(weight - lag(weight, 1, 0) OVER (PARTITION BY symbol ORDER BY timestamp)) AS mv FROM full_grid) GROUP BY 1)"
 
 
-@query(f"WITH {BOOK}, gross AS (SELECT timestamp, sum(weight * tgt) AS gross FROM bk GROUP BY 1) SELECT g.timestamp, round(gross, 6) AS gross, round(turnover, 6) AS turnover, round(gross - turnover * 5.0 / 1e4, 6) AS net FROM gross g JOIN turn t ON t.timestamp = g.timestamp")
+SCREEN = f"{PANEL}, ok AS (SELECT timestamp, symbol, signal, tgt FROM p WHERE signal IS NOT NULL AND tgt IS NOT NULL AND timestamp IN (SELECT timestamp FROM p WHERE signal IS NOT NULL AND tgt IS NOT NULL GROUP BY 1 HAVING count(*) >= 10)), st AS (SELECT timestamp, avg(signal) AS m FROM ok GROUP BY 1), sz AS (SELECT ok.timestamp, sum(abs(signal - m)) AS g FROM ok JOIN st ON st.timestamp = ok.timestamp GROUP BY 1), wt AS (SELECT ok.timestamp, symbol, tgt, CASE WHEN g > 0 THEN (signal - m) / g ELSE 0 END AS w FROM ok JOIN st ON st.timestamp = ok.timestamp JOIN sz ON sz.timestamp = ok.timestamp), nx AS (SELECT timestamp, lag(timestamp) OVER (ORDER BY timestamp) AS prior FROM st), chg AS (SELECT coalesce(a.timestamp, b.timestamp) AS timestamp, abs(coalesce(a.w, 0) - coalesce(b.w, 0)) AS mv FROM wt a FULL JOIN (SELECT nx.timestamp, symbol, w FROM wt JOIN nx ON nx.prior = wt.timestamp) b ON b.timestamp = a.timestamp AND b.symbol = a.symbol)"
+
+
+@query(f"WITH {SCREEN}, tn AS (SELECT timestamp, sum(mv) AS turnover FROM chg GROUP BY 1), gs AS (SELECT timestamp, sum(w * tgt) AS gross FROM wt GROUP BY 1) SELECT gs.timestamp, round(gross, 6) AS gross, round(turnover, 6) AS turnover, round(gross - turnover * 0.0005, 6) AS net FROM gs JOIN tn ON tn.timestamp = gs.timestamp")
 def screening_backtest(spark, d):
     return rounded(evaluation.screening_backtest(cross_panel(spark, d)), "gross", "turnover", "net")
 
@@ -706,15 +751,17 @@ def composite_score(spark, d):
     return rounded(portfolio.composite(s, {"a": 0.5, "b": 2.0}), "score")
 
 
-@query(f"WITH {DAYS_SQL} SELECT timestamp, symbol, round(greatest(0.25, least(4.0, power(1 / (x / median(x) OVER (PARTITION BY timestamp)), 0.5))), 6) AS multiplier, round(x * 0.1 / 1e4, 8) AS cap FROM days WHERE x > 0")
+@query(f"""WITH {DAYS_SQL}, v AS (SELECT timestamp, symbol, CASE WHEN n > 1 THEN x - 20 END AS adv FROM days), m AS (SELECT timestamp, median(adv) AS mid FROM v WHERE adv > 0 GROUP BY 1)
+SELECT v.timestamp, symbol, CASE WHEN adv > 0 THEN round(least(3.0, greatest(0.5, 1 + 0.25 * (mid / adv - 1))), 6) ELSE 1 END AS cost_multiplier, CASE WHEN adv > 0 THEN round(least(2.0, greatest(0.25, sqrt(adv / mid))), 6) ELSE 1 END AS speed_multiplier, round(coalesce(greatest(adv, 0), 0) * 0.1 / 1e4, 8) AS cap FROM v LEFT JOIN m ON m.timestamp = v.timestamp""")
 def liquidity_multipliers(spark, d):
-    u = user_days(spark, d).where("x > 0")
-    return u.select("timestamp", "symbol", F.round(portfolio.liquidity_multiplier(F.col("x"), "timestamp"), 6).alias("multiplier"), F.round(portfolio.participation_cap(F.col("x"), 0.1, 1e4), 8).alias("cap"))
+    u = user_days(spark, d).withColumn("adv", F.when(F.col("n") > 1, F.col("x") - 20))
+    cost, speed = portfolio.liquidity_multipliers(F.col("adv"), "timestamp")
+    return u.select("timestamp", "symbol", F.round(cost, 6).alias("cost_multiplier"), F.round(speed, 6).alias("speed_multiplier"), F.round(portfolio.participation_cap(F.col("adv"), 0.1, 1e4), 8).alias("cap"))
 
 
-@query(f"WITH {DAYS_SQL} SELECT timestamp, symbol, round(greatest(0.2, least(1.0, CASE WHEN y - 40 > 0 THEN 1 - 3.0 / (y - 40) ELSE 0.2 END)), 6) AS gross FROM days")
+@query(f"WITH {DAYS_SQL}, m AS (SELECT timestamp, symbol, n, (y - 40) / (1.5 * (n - 1)) AS q FROM days) SELECT timestamp, symbol, CASE WHEN n = 1 THEN 1.0::DOUBLE WHEN q < 0.1 THEN 0.0::DOUBLE WHEN q > 1 THEN 1.0::DOUBLE ELSE round(q, 6) END AS gross FROM m")
 def edge_gross(spark, d):
-    return user_days(spark, d).select("timestamp", "symbol", F.round(portfolio.edge_gross(F.col("y") - 40, F.lit(3.0)), 6).alias("gross"))
+    return user_days(spark, d).select("timestamp", "symbol", F.round(portfolio.edge_gross(F.col("y") - 40, (F.col("n") - 1).cast("double"), 1.5, 0.1), 6).alias("gross"))
 
 
 @query(f"WITH {DAYS_SQL} SELECT timestamp, symbol, round(-y, 6) AS score FROM days")
@@ -731,8 +778,8 @@ def control_shuffle(spark, d):
 def backtest_window(spark, d):
     p = Formula((RET, {"score": f"-({cross_z('close')})"}), ()).apply(event_bars(spark, d))
     rows = p.select(F.weekofyear("timestamp").cast("long").alias("window"), "timestamp", "symbol", "score", "r", (F.col("quote_asset_volume") * 1e4).alias("volume"))
-    b = portfolio.backtest(rows)
-    return rounded(b, "gross_return", "cost", "net_return", "turnover", "gross_exposure", "net_exposure")
+    b = portfolio.backtest(rows, portfolio.BookConfig(covariance_bars=72, least_bars=2))
+    return rounded(b, "gross_return", "funding", "cost", "net_return", "turnover", "gross_exposure", "net_exposure")
 
 
 # ---- reports -------------------------------------------------------------------------------------
@@ -888,10 +935,16 @@ def funding_accrual(spark, d):
     return rounded(out, "funding_pnl", digits=9)
 
 
-@query("WITH s AS (SELECT o_orderkey AS signal_id, o_custkey % 6 AS lag, o_totalprice / 1e5 - 3 AS quality FROM orders) SELECT signal_id, lag, round(CASE WHEN sum(greatest(quality, 0)) OVER (PARTITION BY lag) > 0 THEN greatest(quality, 0) / sum(greatest(quality, 0)) OVER (PARTITION BY lag) ELSE 1.0 / count(*) OVER (PARTITION BY lag) END, 9) AS weight FROM s")
+@query("""WITH s AS (SELECT o_orderkey AS signal_id, o_custkey % 6 AS lag, CASE WHEN o_custkey % 6 = 5 THEN NULL ELSE o_totalprice / 1e5 - 3 END AS ic, CASE WHEN o_orderkey % 7 > 0 THEN (o_orderkey % 5) / 4.0 END AS turnover, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 48 + 1 END AS half_life FROM orders),
+b AS (SELECT lag, sum(abs(coalesce(ic, 0))) AS total, count(*) AS n FROM s GROUP BY 1),
+w AS (SELECT s.*, CASE WHEN total > 1e-12 THEN abs(coalesce(ic, 0)) / total ELSE 1.0 / n END AS weight FROM s JOIN b ON b.lag = s.lag),
+f AS (SELECT lag, sum(abs(coalesce(ic, 0)) * weight) AS ic, sum(coalesce(turnover, 1) * weight) AS turnover, sum(weight * half_life) / greatest(sum(weight) FILTER (half_life IS NOT NULL), 1e-12) AS half_life FROM w GROUP BY 1)
+SELECT signal_id, w.lag, round(weight, 9) AS weight, round(f.ic, 6) AS bucket_ic, round(f.turnover, 6) AS bucket_turnover, round(f.half_life, 6) AS bucket_half_life FROM w JOIN f ON f.lag = w.lag""")
 def month_book(spark, d):
-    s = table(spark, d, "orders").select(F.col("o_orderkey").alias("signal_id"), (F.col("o_custkey") % 6).alias("lag"), (F.col("o_totalprice") / 1e5 - 3).alias("quality"))
-    return rounded(portfolio.month_book(s).select("signal_id", "lag", "weight"), "weight", digits=9)
+    key, bucket = F.col("o_orderkey"), F.col("o_custkey") % 6
+    s = table(spark, d, "orders").select(key.alias("signal_id"), bucket.alias("lag"), F.when(bucket != 5, F.col("o_totalprice") / 1e5 - 3).alias("ic"), F.when(key % 7 > 0, (key % 5) / 4.0).alias("turnover"), F.when(key % 3 > 0, key % 48 + 1).cast("double").alias("half_life"))
+    out = portfolio.month_book(s).select("signal_id", "lag", "weight", "bucket_ic", "bucket_turnover", "bucket_half_life")
+    return rounded(rounded(out, "weight", digits=9), "bucket_ic", "bucket_turnover", "bucket_half_life")
 
 
 @query(f"WITH {BOOK}, f AS (SELECT *, CASE WHEN weight * lag(weight) OVER (PARTITION BY symbol ORDER BY timestamp) < 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS flip FROM bk) SELECT symbol, round(avg(abs(weight)), 8) AS mean_abs, round(max(abs(weight)), 8) AS max_abs, CAST(sum(CASE WHEN abs(weight) > 1e-9 THEN 1 ELSE 0 END) AS BIGINT) AS bars_held, round(avg(flip), 8) AS flip_rate FROM f GROUP BY 1")

@@ -62,7 +62,8 @@ class Store:
 
     def tables(self) -> list[str]:
         fs, path = self._fs()
-        return sorted(f.getPath().getName() for f in fs.listStatus(path(self.root))) if fs.exists(path(self.root)) else []
+        names = sorted(f.getPath().getName() for f in fs.listStatus(path(self.root))) if fs.exists(path(self.root)) else []
+        return [n for n in names if not n.endswith((".new", ".old"))]
 
     def load(self, table: str, filters: Mapping[str, Any] | None = None, columns: Sequence[str] | None = None, limit: int | None = None, drop: Sequence[str] = ()) -> DataFrame:
         """Rows of a table; a table that does not exist is an empty frame without columns."""
@@ -82,7 +83,11 @@ class Store:
             if key is None:
                 raise ValueError("replace needs a key")
             if key == "symbol" and self.exists(table):
-                df.where(F.col("symbol") == value).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("symbol").parquet(self.path(table))
+                df = df.where(F.col("symbol") == value)
+                if df.isEmpty():
+                    self.delete_rows(table, {"symbol": value})
+                    return
+                df.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("symbol").parquet(self.path(table))
                 return
             if self.exists(table):
                 kept = self.load(table).where(F.coalesce(F.col(key) != value, F.lit(False)))
@@ -93,14 +98,55 @@ class Store:
         (writer.partitionBy("symbol") if "symbol" in df.columns else writer).parquet(self.path(table))
 
     def _rewrite(self, df: DataFrame, table: str) -> None:
-        """Write beside the table, then swap: the plan still reads the old files."""
+        """Write beside the table, put the old files aside, move the new ones in, then delete the old.
+
+        The plan still reads the old files while it writes. Whenever this stops, one whole version stands
+        under the table's name or beside it as ``.old``, where ``recover`` finds it.
+        """
         fs, path = self._fs()
-        fresh = self.path(f"{table}.new")
+        fresh, old, own = self.path(f"{table}.new"), self.path(f"{table}.old"), self.path(table)
         writer = df.write.mode("overwrite")
         (writer.partitionBy("symbol") if "symbol" in df.columns else writer).parquet(fresh)
-        fs.delete(path(self.path(table)), True)
-        fs.rename(path(fresh), path(self.path(table)))
-        self.spark.catalog.refreshByPath(self.path(table))
+        fs.delete(path(old), True)
+        if fs.exists(path(own)) and not fs.rename(path(own), path(old)):
+            raise OSError(f"cannot put {own} aside")
+        if not fs.rename(path(fresh), path(own)):
+            fs.rename(path(old), path(own))
+            raise OSError(f"cannot move {fresh} in")
+        fs.delete(path(old), True)
+        self.spark.catalog.refreshByPath(own)
+
+    def recover(self, table: str) -> bool:
+        """Bring a table back whose rewrite was cut off between its two moves; whether there was one."""
+        fs, path = self._fs()
+        if fs.exists(path(self.path(table))) or not fs.exists(path(self.path(f"{table}.old"))):
+            return False
+        return bool(fs.rename(path(self.path(f"{table}.old")), path(self.path(table))))
+
+    def clear(self, table: str) -> None:
+        """Delete all rows; the table and its columns stay."""
+        if self.exists(table):
+            self._rewrite(self.load(table).limit(0).coalesce(1), table)
+
+    def remove_symbol(self, symbol: str, *tables: str) -> dict[str, int]:
+        """Delete a symbol's rows from the named tables, or from all that have symbols; rows deleted by table."""
+        names = tables or [t for t in self.tables() if self.has_columns(t, ["symbol"])]
+        return {t: self.delete_rows(t, {"symbol": symbol}) for t in names if self.exists(t) and self.has_columns(t, ["symbol"])}
+
+    def batches(self, table: str, columns: Sequence[str] | None = None, rows: int = 1_000_000, order: Sequence[str] = ("symbol", "timestamp")):
+        """Rows in order, as Arrow tables of at most ``rows`` rows; one partition at a time reaches the caller."""
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        df = self.load(table, columns=columns)
+        schema, held = to_arrow_schema(df.schema), []
+        for row in df.orderBy(*[c for c in order if c in df.columns]).toLocalIterator(prefetchPartitions=True):
+            held.append(row.asDict())
+            if len(held) == rows:
+                yield pa.Table.from_pylist(held, schema)
+                held = []
+        if held:
+            yield pa.Table.from_pylist(held, schema)
 
     def delete_rows(self, table: str, filters: Mapping[str, Any]) -> int:
         """Delete the rows that match, and those whose filtered columns are null; returns their number."""

@@ -100,7 +100,7 @@ def test_triggers_and_cooldown(spark):
 
 def test_mean_variance_is_neutral_and_capped():
     rng = np.random.default_rng(2)
-    cov, keep = portfolio.shrunk_covariance(rng.normal(size=(200, 12)))
+    cov, keep = portfolio.steadied_covariance(rng.normal(size=(200, 12)))
     assert keep.all() and (np.linalg.eigvalsh(cov) > 0).all()
     w = portfolio.mean_variance(rng.normal(size=12), cov, np.ones((12, 1)), 0.3, 1.0)
     assert abs(w.sum()) < 1e-8 and np.abs(w).max() <= 0.3 + 1e-12
