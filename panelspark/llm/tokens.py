@@ -23,9 +23,9 @@ import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,9 @@ HEADER = struct.Struct("<8sIIIIQQQ")
 #: Ids after which a block is closed; the block then holds at most this many and one document more.
 BLOCK_IDS = 4 << 20
 #: Characters encoded at a time, and pieces that an encoder keeps from one slice to the next.
-SLICE, KEPT_PIECES = 4 << 20, 50_000
+SLICE, KEPT_PIECES = 8 << 20, 100_000
+#: Letters below this one are letters to every version of Unicode.
+LATIN = "\u0250"
 #: Documents that a shard of the key index should hold.
 INDEX_DOCS = 1 << 20
 MASK = (1 << 64) - 1
@@ -78,23 +80,34 @@ class Encoder:
         self.cut = state.get("type") == "ByteLevel" and state.get("use_regex", True) and not state.get("add_prefix_space") and self.tokenizer.normalizer is None
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
         self.width = "<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
-        self.end_id, self.end = end_id, np.array([end_id], self.width).tobytes()
+        self.end = np.array([end_id], self.width).tobytes()
         self.unsafe = re.compile(r"\s ")
         self.splitter = regex.compile(SPLIT)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.space = self.letters[32]
-        self.often: dict[str, list[int]] = {}
-
-    def piece(self, piece: str) -> list[int]:
-        """Ids of a space and the piece after it."""
-        if piece.isascii() and piece.isalpha():
-            return [t.id for t in self.model.tokenize(self.space + piece)]
-        out = []
-        for part in self.splitter.findall(" " + piece):
-            out += [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
-        return out
+        self.space, self.kind = self.letters[32], "H" if self.width == "<u2" else "I"
+        self.known: dict[str, bytes] = {}
+        self.marks = {m: self._packed([m]) for m in ".,;:!?"}
+
+    def _packed(self, parts: list[str]) -> bytes:
+        """Ids of parts of the split, in the tokenizer's letters."""
+        return array(self.kind, [t.id for part in parts for t in self.model.tokenize(part)]).tobytes()
+
+    def piece(self, p: str) -> bytes:
+        """Ids of a space and the piece after it, from what is known where it can."""
+        got = self.known.get(p)
+        if got is None:
+            if p.isalpha() and p.isascii():  # letters are one part of the split
+                got = array(self.kind, [t.id for t in self.model.tokenize(self.space + p)]).tobytes()
+            elif p.isalpha() and max(p) < LATIN:
+                got = self._packed([(" " + p).encode().decode("latin-1").translate(self.letters)])
+            elif p[-1:] in self.marks and p[:-1].isalpha() and max(p) < LATIN:  # and so is a mark after them
+                got = self.piece(p[:-1]) + self.marks[p[-1]]
+            else:
+                got = self._packed([part.encode().decode("latin-1").translate(self.letters) for part in self.splitter.findall(" " + p)])
+            self.known[p] = got
+        return got
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -130,22 +143,18 @@ class Encoder:
         offsets, code = lists.offsets.to_numpy(), numbered.indices.to_numpy().astype(np.int64)
         pieces = numbered.dictionary.to_pylist()
         del lists
-        often = np.bincount(code, minlength=len(pieces)) >= 4
-        ids, known = [], self.often
-        for p, again in zip(pieces, often.tolist()):
-            got = known.get(p)
-            if got is None:
-                got = self.piece(p)
-                if again and len(p) <= 64 and len(known) < KEPT_PIECES:
-                    known[p] = got
-            ids.append(got)
+        ids = list(map(self.piece, pieces))
+        if len(self.known) > KEPT_PIECES:
+            often = np.argsort(-np.bincount(code, minlength=len(pieces)), kind="stable")[: KEPT_PIECES // 2].tolist()
+            self.known = {pieces[i]: ids[i] for i in often if len(pieces[i]) <= 64}
         # A text's first piece has no space before it; the end id follows its last one.
         code[offsets[:-1]] = np.arange(len(cut)) + len(ids)
-        ids += [self.whole(texts[i].split(" ", 1)[0]) for i in cut]
+        ids += [array(self.kind, self.whole(texts[i].split(" ", 1)[0])).tobytes() for i in cut]
         code = np.insert(code, offsets[1:], len(ids))
-        ids.append([self.end_id])
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), self.width, sizes.sum())
+        ids.append(self.end)
+        size = np.dtype(self.width).itemsize
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // size
+        flat = np.frombuffer(b"".join(ids), self.width)
         n = sizes[code]
         ends = np.cumsum(n)
         laid = flat[np.repeat((np.cumsum(sizes) - sizes)[code] - (ends - n), n) + np.arange(ends[-1])]
