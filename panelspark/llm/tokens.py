@@ -26,6 +26,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,8 @@ HEADER = struct.Struct("<8sIIIIQQQ")
 BLOCK_IDS = 4 << 20
 #: Characters encoded at a time, and pieces that an encoder keeps from one slice to the next.
 SLICE, KEPT_PIECES = 8 << 20, 100_000
+#: Documents taken out of a batch at a time.
+TAKEN = 2500
 #: Letters below this one are letters to every version of Unicode.
 LATIN = "\u0250"
 #: Documents that a shard of the key index should hold.
@@ -67,12 +70,13 @@ class Encoder:
     single space that follows a non-space. Texts are therefore cut at such spaces, the pieces are numbered,
     each distinct one is split by the tokenizer's own pattern and encoded by its model, and the ids are laid
     out by number. Texts where the cut is unsafe (white space before a space, or the text of an added
-    token) go to the library whole. Pieces that come often are kept for the next slice, up to ``KEPT_PIECES``.
+    token) go to the library whole. Pieces that come often are kept for the next slice, up to ``kept``.
     """
 
-    def __init__(self, path: str, end_id: int = 0):
+    def __init__(self, path: str, end_id: int = 0, slice_chars: int = SLICE, kept: int = KEPT_PIECES):
         from tokenizers import Tokenizer
 
+        self.slice_chars, self.kept = slice_chars, kept
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         split = self.tokenizer.pre_tokenizer
@@ -121,7 +125,7 @@ class Encoder:
         out, held, lo = [], 0, 0
         for i, t in enumerate(texts):
             held += len(t or "")
-            if held >= SLICE:
+            if held >= self.slice_chars:
                 out += self._slice(texts[lo : i + 1])
                 lo, held = i + 1, 0
         return out + self._slice(texts[lo:])
@@ -144,8 +148,8 @@ class Encoder:
         pieces = numbered.dictionary.to_pylist()
         del lists
         ids = list(map(self.piece, pieces))
-        if len(self.known) > KEPT_PIECES:
-            often = np.argsort(-np.bincount(code, minlength=len(pieces)), kind="stable")[: KEPT_PIECES // 2].tolist()
+        if len(self.known) > self.kept:
+            often = np.argsort(-np.bincount(code, minlength=len(pieces)), kind="stable")[: self.kept // 2].tolist()
             self.known = {pieces[i]: ids[i] for i in often if len(pieces[i]) <= 64}
         # A text's first piece has no space before it; the end id follows its last one.
         code[offsets[:-1]] = np.arange(len(cut)) + len(ids)
@@ -157,7 +161,8 @@ class Encoder:
         flat = np.frombuffer(b"".join(ids), self.width)
         n = sizes[code]
         ends = np.cumsum(n)
-        laid = flat[np.repeat((np.cumsum(sizes) - sizes)[code] - (ends - n), n) + np.arange(ends[-1])]
+        wide = np.int32 if max(ends[-1], len(flat)) < 1 << 31 else np.int64
+        laid = flat[np.repeat(((np.cumsum(sizes) - sizes)[code] - (ends - n)).astype(wide), n) + np.arange(ends[-1], dtype=wide)]
         stops = ends[offsets[1:] + np.arange(len(cut))].tolist()
         for i, a, b in zip(cut, [0, *stops], stops):
             out[i] = laid[a:b].tobytes()
@@ -165,9 +170,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder_for(path: str, end_id: int) -> Encoder:
+def encoder_for(path: str, end_id: int, slice_chars: int = SLICE, kept: int = KEPT_PIECES) -> Encoder:
     """The encoder of this worker process, which tasks share one after another."""
-    return Encoder(path, end_id)
+    return Encoder(path, end_id, slice_chars, kept)
 
 
 KEPT["tokens"] = encoder_for.cache_clear
@@ -300,7 +305,7 @@ def blocks(content: bytes) -> Iterator[Block]:
         at += block.length + 1
 
 
-def write_token_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", block_ids: int = BLOCK_IDS) -> None:
+def write_token_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", block_ids: int = BLOCK_IDS, slice_chars: int = SLICE, kept: int = KEPT_PIECES) -> None:
     """Encode every whole text and write blocks under ``path`` in ascending order of document id.
 
     Each document's ids are followed by ``end_id``; a null text counts as empty. Null ids come first; rows
@@ -312,7 +317,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str | None = None, en
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("tokens")
-        encoder = encoder_for(tokenizer or default_tokenizer(), end_id)
+        encoder = encoder_for(tokenizer or default_tokenizer(), end_id, slice_chars, kept)
         size, part, seq = len(encoder.end), TaskContext.get().partitionId(), 0
         ids: list = []
         ords: list[int] = []
@@ -323,7 +328,8 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str | None = None, en
             return pa.RecordBatch.from_arrays([pa.array([pack_block(part, seq, ids, ords, out, encoder.width)], pa.binary())], ["block"])
 
         for batch in batches:
-            for k, got in zip(batch.column(0).to_pylist(), encoder.encode_many(batch.column(1).to_pylist())):
+            few = (batch.slice(lo, TAKEN) for lo in range(0, batch.num_rows, TAKEN))
+            for k, got in chain.from_iterable(zip(b.column(0).to_pylist(), encoder.encode_many(b.column(1).to_pylist())) for b in few):
                 last = (k, last[1] + 1 if k == last[0] else 0)
                 ids.append(k)
                 ords.append(last[1])
@@ -494,14 +500,15 @@ def lookup(spark: SparkSession, path: str, doc_id: int | None, ordinal: int = 0)
     return np.frombuffer(_bytes_of(spark, payload, byte, n * width), f"<u{width}")
 
 
-def token_output(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, path: str | None = None, index_docs: int = INDEX_DOCS) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, path: str | None = None, index_docs: int = INDEX_DOCS, slice_chars: int = SLICE, kept: int = KEPT_PIECES) -> DataFrame:
     """Write the token blocks of ``docs`` (to the shared folder if no path is given) and digest what they hold.
 
     The key index over all files goes beside them, to ``path`` with ``-index``; ``lookup`` reads both.
+    ``slice_chars`` and ``kept`` weigh a worker's memory against its time; the ids don't depend on them.
     """
     spark = docs.sparkSession
     path = path or fresh_path(spark, "token-blocks")
-    write_token_ids(docs, path, tokenizer, end_id)
+    write_token_ids(docs, path, tokenizer, end_id, slice_chars=slice_chars, kept=kept)
     rows = _read_back(spark, path)
     encoder = encoder_for(tokenizer or default_tokenizer(), end_id)
     _write_index(rows, path, int(encoder.width[2:]), index_docs)

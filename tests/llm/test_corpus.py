@@ -511,12 +511,13 @@ def test_language_id(spark):
 
 def test_rare_and_short_labels_are_learned(spark):
     rng = random.Random(16)
+    own = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(4)] for _ in range(150)]
     rows = [(3 * i, generated("en", rng, 40), "en") for i in range(400)] + [(3 * i, " ".join(rng.choice(["zq", "xv", "qx"]) for _ in range(3)), "zz") for i in range(400, 406)]
-    rows += [(3 * i, generated("fr", rng, 5000), "fr") for i in range(500, 504)] + [(2000 + i, f"lang{i}word " * 12, f"l{i:03}") for i in range(150)]
+    rows += [(3 * i, generated("fr", rng, 5000), "fr") for i in range(500, 504)] + [(2000 + i, " ".join(rng.choices(own[i], k=40)), f"l{i:03}") for i in range(150)]
     known = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.train(langid.training_sample(known.select("lang", "text")), passes=2)
     assert len(model.languages) == 153
-    assert [langid.classify([t], model)[0][0] for t in ("qx zq zq xv", "lang7word lang7word lang7word")] == ["zz", "l007"]
+    assert [langid.classify([t], model)[0][0] for t in ("qx zq zq xv", " ".join(own[7] * 3))] == ["zz", "l007"]
 
 
 def test_forward_backward_equals_the_plain_recursion():
