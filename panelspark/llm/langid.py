@@ -253,7 +253,8 @@ def training_sample(docs: DataFrame, docs_in_all: int = SAMPLE_DOCS, chars: int
     each = max(least, docs_in_all / max(1, languages))
     # The least hash of a language is in any case below its bound, so no language is without a text.
     bounds = shares.select("lang", F.greatest(F.least(F.lit(1.0), F.lit(float(each)) / F.col("n")) * (1 << 30), F.col("first") + 1).alias("bound"))
-    taken = fit.join(bounds, "lang").where("h < bound").groupBy("lang", "h").agg(F.min(F.substring("text", 1, chars)).alias("text"))
+    # One row a label, as in the model itself, which the driver holds whole; only texts taken leave their partition.
+    taken = fit.join(F.broadcast(bounds), "lang").where("h < bound").groupBy("lang", "h").agg(F.min(F.substring("text", 1, chars)).alias("text"))
     return sorted((r.lang, r.text) for r in taken.select("lang", "text").collect())
 
 
