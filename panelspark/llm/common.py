@@ -81,6 +81,32 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, n: str, total: int)
     return rest.unionByName(left.join(some, key))
 
 
+#: Bits a key in a key map, unless the map would be larger than the most bits (16 MiB); bits of one of its rows.
+MAP_BITS, MAP_MOST, MAP_ROW = 16, 1 << 27, 1 << 15
+
+
+def key_map(keys: DataFrame, hashed: str, n: int) -> tuple[DataFrame, int]:
+    """(part, bits) rows of a bitmap of the ``n`` integer hashes in ``keys``, stored, and its number of bits."""
+    size = min(MAP_MOST, max(MAP_ROW, 1 << (MAP_BITS * n).bit_length()))
+    at = F.pmod(F.col(hashed), F.lit(size))
+    parts = keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / MAP_ROW).cast("int").alias("part")).agg(F.bitmap_construct_agg(F.col("at") % MAP_ROW).alias("bits"))
+    return materialize(parts, "key-map"), size
+
+
+def may_be_in(df: DataFrame, hashed: str, mapped: tuple[DataFrame, int]) -> DataFrame:
+    """``df`` with the boolean ``_may``: false for hashes that are surely not in the map.
+
+    The map, of ``MAP_MOST`` bits at most, is broadcast. What may be in it needs an exact join still; a map
+    too small for its keys only says so of more rows. So rows that meet no key need not be shuffled.
+    """
+    parts, size = mapped
+    tagged = df.withColumn("_at", F.pmod(F.col(hashed), F.lit(size)))
+    joined = tagged.join(F.broadcast(parts.toDF("_part", "_bits")), F.floor(F.col("_at") / MAP_ROW).cast("int") == F.col("_part"), "left")
+    byte = "conv(hex(substring(_bits, cast((_at % {0}) div 8 as int) + 1, 1)), 16, 10)".format(MAP_ROW)
+    bit = F.expr(f"(shiftright(cast({byte} as int), cast(_at % 8 as int)) & 1) = 1")
+    return joined.select(*df.columns, F.coalesce(bit, F.lit(False)).alias("_may"))
+
+
 #: What operators keep in a worker process from task to task: name -> how to let go of it.
 KEPT: dict[str, Callable[[], None]] = {}
 _LAST: list[str] = []

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.common import join_unique, materialize, only, released, shielded
+from panelspark.llm.common import join_unique, key_map, materialize, may_be_in, only, released, shielded
 from panelspark.llm.components import connected_components
 from panelspark.llm.setjoin import similar, tiled
 
@@ -207,6 +207,26 @@ def bucket_links(fps: np.ndarray, keys: np.ndarray, radius: int) -> Pairs:
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (starts[:0], starts[:0])
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> Pairs:
+    """Links with the components of the links ``a`` to ``b``: each node with the least of its component.
+
+    A group that many tables find in part then gives nearly the same few links in each of them.
+    """
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(nodes))
+    while (root[a] != root[b]).any():
+        least = np.minimum(root[a], root[b])
+        hooked = root.copy()
+        np.minimum.at(hooked, root[a], least)
+        np.minimum.at(hooked, root[b], least)
+        while (hooked[hooked] != hooked).any():
+            hooked = hooked[hooked]
+        root = hooked[root]
+    member = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[member], nodes[root[member]]
+
+
 def by_bucket(batches: Iterator[pa.RecordBatch], columns_of: Callable, links: Callable) -> Iterator[pa.RecordBatch]:
     """Feed ``links`` whole tiles of a stream sorted by tile; one that goes on into the next batch waits for it.
 
@@ -384,7 +404,7 @@ def candidate_groups(prints: DataFrame, n: int, similarity: float, lanes: int, r
 
     def links(node: np.ndarray, tile: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         a, b = bucket_links(fps, tile, radius)
-        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in stars(node[a], node[b])], ["a", "b"])
 
     dealt = buckets_dealt(filed, "node", "key", bucket_rows).select("node", "tile", "fp")
     return connected_components(dealt.mapInArrow(lambda batches: by_bucket(batches, columns, links), "a long, b long"))
@@ -465,7 +485,9 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     members = materialize(some.join(distinct, "node").select("node", "root", "size", *_row_keys("pick.doc_id", "pick.th")), "candidate-members")
     released(docs.sparkSession)
     keys = ["_id", "_null", "_th"]
-    one = rows.select("t", *_row_keys("doc_id", "th")).join(members.select("node", *keys), keys).groupBy("node").agg(F.min("t").alias("t"))
+    mapped = key_map(members, "_th", members.count())
+    may = may_be_in(rows, "th", mapped).where("_may")
+    one = may.select("t", *_row_keys("doc_id", "th")).join(members.select("node", *keys), keys).groupBy("node").agg(F.min("t").alias("t"))
     links = verified_links(members.select("node", "root", "size"), one, words, similarity)
     roots = connected_components(links)
     named = distinct.select("node", "n").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("group"))
@@ -482,14 +504,18 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     docs, back = shielded(docs, "doc_id", "text")
     groups = materialize(similar_documents(docs, **options), "similar-groups")
     stays = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("s")).select("s.doc_id", "s.th")
-    keyed = groups.select(*_row_keys("doc_id", "th"))
     keys = ["_id", "_null", "_th"]
-    wanted = materialize(stays.select(*_row_keys("doc_id", "th")).join(keyed.groupBy(*keys).agg(F.count("*").alias("_n")), keys), "similar-kept")
+    counted = groups.select(*_row_keys("doc_id", "th")).groupBy(*keys).agg(F.count("*").alias("_n"))
+    verdict = materialize(counted.join(stays.select(*_row_keys("doc_id", "th"), F.lit(True).alias("_stays")), keys, "left"), "similar-verdicts")
+    # Only texts that may go, or that stay once of several times, travel.
+    moved = verdict.where("_stays is null or _n > 1")
+    mapped = key_map(moved, "_th", moved.count())
     released(docs.sparkSession)
     own = F.col("doc_id").cast("long")
-    tagged = docs.withColumns({"_id": F.coalesce(own, F.lit(0)), "_null": own.isNull(), "_th": F.xxhash64("text")})
-    out = tagged.join(wanted.where("_n = 1"), keys, "left_semi")
-    repeated = wanted.where("_n > 1").select(*keys)
+    tagged = may_be_in(docs.withColumns({"_id": F.coalesce(own, F.lit(0)), "_null": own.isNull(), "_th": F.xxhash64("text")}), "_th", mapped)
+    may = tagged.where("_may")
+    out = tagged.where("not _may").union(may.join(verdict.where("_stays and _n = 1").select(*keys), keys, "left_semi").select(*tagged.columns))
+    repeated = verdict.where("_stays and _n > 1").select(*keys)
     if not repeated.isEmpty():
-        out = out.union(tagged.join(repeated, keys, "left_semi").dropDuplicates(keys))
+        out = out.union(may.join(repeated, keys, "left_semi").dropDuplicates(keys).select(*tagged.columns))
     return out.select(*docs.columns).withColumnsRenamed(back).select(*columns)

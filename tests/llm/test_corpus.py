@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from panelspark.llm import decontam, langid, linededup, maxscore, mixing, pii, secrets, simhash, substr, tokens
+from panelspark.llm import common, decontam, langid, linededup, maxscore, mixing, pii, secrets, simhash, substr, tokens
 from panelspark.llm.components import connected_components
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -192,6 +192,33 @@ def test_near_copies_leave_one(spark):
     assert sorted(r.doc_id for r in kept) == [*range(0, 90, 3), 300, 302]
 
 
+@pytest.mark.parametrize("most", [common.MAP_MOST, common.MAP_ROW])
+def test_key_maps_miss_no_key(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MAP_MOST", most)
+    keys = spark.range(4000).select(F.when(F.col("id") > 0, F.xxhash64("id")).alias("h"))
+    rows = spark.range(20000).select("id", F.when(F.col("id") > 0, F.xxhash64("id")).alias("h")).withColumn("part", F.lit("own"))
+    got = {r.id: r._may for r in common.may_be_in(rows, "h", common.key_map(keys.where("h is not null"), "h", 4000)).collect()}
+    assert len(got) == 20000 and all(got[i] for i in range(1, 4000)) and got[0] is False
+    assert sum(got[i] for i in range(4000, 20000)) < (0.2 if most > common.MAP_ROW else 0.9) * 16000
+    empty = common.may_be_in(rows, "h", common.key_map(keys.limit(0), "h", 0))
+    assert empty.columns == ["id", "h", "part", "_may"] and empty.where("_may").isEmpty() and empty.count() == 20000
+
+
+def test_stars_keep_components():
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 0), (50, 30), (300, 280), (300, 900)):
+        names = rng.integers(-(1 << 62), 1 << 62, n)
+        a, b = names[rng.integers(0, n, m)], names[rng.integers(0, n, m)]
+        if n == 300 and m == 280:  # a long chain in mixed order
+            a, b = names[:280], names[1:281]
+        root = {x: x for x in [*a, *b]}
+        for _ in range(n):
+            for x, y in zip(a, b):
+                root[x] = root[y] = min(root[x], root[y])
+        member, least = simhash.stars(a, b)
+        assert dict(zip(member, least)) == {x: r for x, r in root.items() if x != r}
+
+
 def sets_of(t):
     w = WORD.findall((t or "").translate(LOW))
     return frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) or frozenset([tuple(w)] if w else [])
