@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from panelspark.plans.formula import Formula, change, clip, corr, cov, cross_z, flag, lag, least, ln, mean, most, over, percent_rank, root, rows, running, std, total, var
+from panelspark.plans.formula import Formula, change, clip, corr, cov, flag, lag, least, ln, mean, most, over, percent_rank, root, rows, running, std, total, var
 
 DAY = 144
 ANNUAL = math.sqrt(DAY * 365)
@@ -278,21 +278,36 @@ def space(op: str, a: str, b: str | None = None, k: int = 1) -> str:
     raise ValueError(f"unknown space: {op}")
 
 
-def same_bucket_seasonality(days: int = 20, least_days: int = 5, long: int = DAY * 20) -> Formula:
-    """Means over the same hour of earlier days. Needs ``residual_return``."""
-    by = "symbol, extract(hour FROM timestamp)"
-    s1 = {"abs_x": "abs(residual_return)"}
-    s2 = {"sn_same_hour_mean": mean("residual_return", days, least_days, by), "same_abs": mean("abs_x", days, least_days, by), "all_abs": mean("abs_x", long, least_days)}
-    s3 = {"sn_same_hour_abs_ratio": "same_abs / (all_abs + 1e-10)"}
-    return Formula((s1, s2, s3), ("sn_same_hour_mean", "sn_same_hour_abs_ratio"))
+def same_bucket_seasonality(days: int = 20, least_days: int = 5, bars_per_day: int = DAY, funding_hours: tuple[int, ...] = (0, 8, 16), least_rows: int = 100) -> Formula:
+    """Means over the same hour, and over the same hour of the funding cycle, of the last days. Needs ``residual_return``.
 
+    A symbol with fewer than ``least_rows`` values has none.
+    """
+    x, per_hour, cycle = "residual_return", max(1, bars_per_day // 24), 24 // max(len(funding_hours), 1)
+    visits = 24 // cycle * per_hour
+    s1 = {"abs_x": f"abs({x})", "hour_no": "extract(hour FROM timestamp)", "known": f"count({x}) OVER (PARTITION BY symbol)"}
+    s2 = {"phase_no": f"(hour_no - {funding_hours[0] if funding_hours else 0} + 24) % {cycle}"}
+    s3 = {"own_hour": mean(x, days * per_hour, least_days * per_hour, "symbol, hour_no"), "abs_hour": mean("abs_x", days * per_hour, least_days * per_hour, "symbol, hour_no"), "own_phase": mean(x, days * visits, least_days * visits, "symbol, phase_no"), "abs_all": mean("abs_x", days * bars_per_day, least_days * bars_per_day)}
+    s4 = {n: f"CASE WHEN known >= {least_rows} THEN {v} END" for n, v in (("sn_tod_res", "own_hour"), ("sn_tod_vol_ratio", "abs_hour / (abs_all + 1e-12)"), ("sn_fph_res", "own_phase"))}
+    return Formula((s1, s2, s3, s4), tuple(s4))
+
+
+def cross_sectional(w: int = DAY, step: int = 6, names: int | None = None) -> Formula:
+    """Relative volume, return ranks, dispersion and breadth at each timestamp.
+
+    Breadth is the share of ``names``, all the panel has, that stand above their mean; without that number, of the
+    names at the timestamp. Dispersion is averaged over a symbol's own stamps.
+    """
+    s2 = {"own": f"quote_asset_volume / nullif({mean('quote_asset_volume', w, w // 4)}, 0)", "r6": change("close", step), "r_day": change("close", w), "sma": mean("close", w, w // 2)}
+    s3 = {"mid": across_median("own"), "disp": "CASE WHEN count(r) OVER (PARTITION BY timestamp) >= 2 THEN stddev_samp(r) OVER (PARTITION BY timestamp) END", "cs_ret_rank_1h": percent_rank("r6"), "cs_ret_rank_1d": percent_rank("r_day"), "above": flag("close > sma")}
+    s4 = {"cs_rel_volume": "own / nullif(mid, 0)", "cs_breadth_sma": "avg(above) OVER (PARTITION BY timestamp)" if names is None else f"sum(above) OVER (PARTITION BY timestamp) / {names}", "cs_dispersion_1h": mean("disp", step, 2)}
+    return Formula((R, s2, s3, s4), ("cs_ret_rank_1h", "cs_ret_rank_1d", *s4))
 
-def cross_sectional(w: int = DAY) -> Formula:
-    """Relative volume, return ranks, dispersion and breadth at each timestamp."""
-    s2 = {"own": f"volume / (({mean('volume', w, w // 4)}) + 1e-10)", "r6": total("r", 6), "r_day": total("r", w), "sma": mean("close", w, w // 2)}
-    s3 = {"mid": across_median("own"), "disp": "CASE WHEN count(r) OVER (PARTITION BY timestamp) >= 2 THEN stddev_samp(r) OVER (PARTITION BY timestamp) END", "cs_ret_rank_1h": percent_rank("r6"), "cs_ret_rank_1d": percent_rank("r_day"), "above": flag("close > sma"), "cs_volume_z": cross_z("own")}
-    s4 = {"cs_rel_volume": "own / (mid + 1e-10)", "cs_breadth": "avg(above) OVER (PARTITION BY timestamp)", "cs_dispersion": mean("disp", 6, 2)}
-    return Formula((R, s2, s3, s4), ("cs_ret_rank_1h", "cs_ret_rank_1d", "cs_volume_z", *s4))
+
+def across_funding() -> Formula:
+    """Standing of a name's funding among all names of a timestamp. Needs ``funding_rate``, carried forward."""
+    s = {"cs_funding_z": "(funding_rate - avg(funding_rate) OVER (PARTITION BY timestamp)) / nullif(stddev_samp(funding_rate) OVER (PARTITION BY timestamp), 0)"}
+    return Formula((s,), tuple(s))
 
 
 def across_median(x: str) -> str:
@@ -300,12 +315,17 @@ def across_median(x: str) -> str:
 
 
 def funding(z: int = 1008, low: int = 144, day: int = DAY) -> Formula:
-    """Needs ``funding_rate`` on bars, already carried forward from settlement stamps."""
-    s1 = {"fr_mean": mean("funding_rate", z, low), "fr_std": std("funding_rate", z, low), "fr_lag_day": lag("funding_rate", day), "fr_sign_1": lag("sign(funding_rate)")}
-    s2 = {"fr_zscore": "(funding_rate - fr_mean) / (fr_std + 1e-10)", "fr_ma_7d": "fr_mean", "fr_change_1d": "funding_rate - fr_lag_day", "fr_cum_1d": f"({mean('funding_rate', day, 1)}) * 3", "fr_annual": "funding_rate * 1095", "fr_extreme_high": flag("funding_rate > 0.001"), "fr_extreme_low": flag("funding_rate < -0.0001"), "flip": flag("sign(funding_rate) <> fr_sign_1")}
-    s3 = {"flips": running("sum(flip)")}
-    s4 = {"fr_flip_age": f"CAST(least({z}, row_number() OVER (PARTITION BY symbol, flips ORDER BY timestamp) - 1) AS DOUBLE)"}
-    return Formula((s1, s2, s3, s4), (*[k for k in s2 if k != "flip"], *s4), digits=dict.fromkeys(["fr_ma_7d", "fr_change_1d", "fr_cum_1d", "fr_zscore"], 10))
+    """Needs ``funding_rate`` on bars, already carried forward from settlement stamps.
+
+    A rate of zero keeps the side of the last one that had a side; before a first flip there is no flip age.
+    """
+    s1 = {"fr_mean": mean("funding_rate", z, low), "fr_std": std("funding_rate", z, low), "fr_lag_day": lag("funding_rate", day), "own_side": "CASE WHEN funding_rate <> 0 THEN sign(funding_rate) END"}
+    s2 = {"fr_zscore": "(funding_rate - fr_mean) / (fr_std + 1e-10)", "fr_ma_7d": "fr_mean", "fr_change_1d": "funding_rate - fr_lag_day", "fr_cum_1d": f"({mean('funding_rate', day, 1)}) * 3", "fr_annual": "funding_rate * 1095", "fr_extreme_high": flag("funding_rate > 0.001"), "fr_extreme_low": flag("funding_rate < -0.0001"), "sided": running("count(own_side)")}
+    s3 = {"side": "max(own_side) OVER (PARTITION BY symbol, sided)"}
+    s4 = {"side_1": lag("side")}
+    s5 = {"flips": running("sum(CASE WHEN side <> side_1 THEN 1 ELSE 0 END)")}
+    s6 = {"fr_flip_age": f"CASE WHEN flips > 0 THEN CAST(least({z}, row_number() OVER (PARTITION BY symbol, flips ORDER BY timestamp) - 1) AS DOUBLE) END"}
+    return Formula((s1, s2, s3, s4, s5, s6), (*[k for k in s2 if k != "sided"], *s6), digits=dict.fromkeys(["fr_ma_7d", "fr_change_1d", "fr_cum_1d", "fr_zscore"], 10))
 
 
 def open_interest(z: int = 1008, low: int = 144, w: int = DAY) -> Formula:
@@ -325,6 +345,12 @@ def positioning(z: int = 1008, low: int = 144) -> Formula:
     return Formula((s1, s2), (*s1, *s2))
 
 
+def crowding(z: int = 1008, low: int = 144) -> Formula:
+    """Funding and open interest both far from their means. Needs ``funding_rate`` and ``open_interest``."""
+    both = funding(z, low) + open_interest(z, low)
+    return Formula((*both.stages, {"fr_oi_crowding": "fr_zscore * oi_zscore"}), ("fr_oi_crowding",))
+
+
 FAMILIES = {
     "efficiency": efficiency, "volatility_regime": volatility_regime, "liquidity": liquidity, "range_volatility": range_volatility, "microstructure": microstructure, "order_flow": order_flow,
     "momentum_quality": momentum_quality, "statistical": statistical, "price": price, "volume": volume, "moving_average": moving_average, "technical_windows": technical_windows, "time_of_day": time_of_day, "cross_sectional": cross_sectional,

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelspark.operators.joins import neighbours
+from panelspark.operators.features import same_bucket_seasonality
+from panelspark.operators.joins import asof, event_windows, neighbours
 from panelspark.operators.panels import bucket_end
-from panelspark.plans.formula import Formula, beta, change, corr, lag, mean, most, std, total
+from panelspark.plans.formula import Formula, beta, change, corr, lag, mean, most, percent_rank, std, total
 
 DAY = 144
 
@@ -34,14 +35,80 @@ def stablecoins() -> Formula:
     return Formula((s1, s2, s3), tuple(s3))
 
 
-def macro_betas(impulses: tuple[str, ...] = ("rates2y", "dollar", "vix"), w: int = 90, least: int = 45) -> Formula:
-    """Loadings of a daily residual on macro impulses, a day late."""
-    s1 = {f"d_{x}": f"{x} - {lag(x)}" for x in impulses}
+#: Impulses taken as shares of the day before, where the others are differences; names of loadings.
+RELATIVE = ("dollar", "stables_mcap", "dominance")
+LOADING = {"rates2y": "rates", "stables_mcap": "stables"}
+
+
+def macro_betas(impulses: tuple[str, ...] = ("rates2y", "dollar", "vix", "stables_mcap", "dominance"), w: int = 90, least: int = 45) -> Formula:
+    """Loadings of a daily residual ``res`` on macro impulses, a day late."""
+    s1 = {f"d_{x}": change(x) if x in RELATIVE else f"{x} - {lag(x)}" for x in impulses}
     s2 = {f"b_{x}": beta("res", f"d_{x}", w, least) for x in impulses}
-    s3 = {f"mb_beta_{x}": lag(f"b_{x}") for x in impulses}
+    s3 = {f"mb_beta_{LOADING.get(x, x)}": lag(f"b_{x}") for x in impulses}
     return Formula((s1, s2, s3), tuple(s3))
 
 
+def seasonality(bars: DataFrame, weeks: int = 8, least_weeks: int = 2, least_rows: int = 100, **how) -> DataFrame:
+    """Each symbol's profile by hour, by hour of the funding cycle and by weekday (see ``same_bucket_seasonality``).
+
+    A weekday's value is the mean of the sums of whole days, the last ``weeks`` same weekdays before this one.
+    """
+    daily = bars.groupBy("symbol", F.to_date("timestamp").alias("_day")).agg(F.sum("residual_return").alias("_sum"))
+    before = Window.partitionBy("symbol", F.weekday("_day")).orderBy("_day").rowsBetween(-weeks, -1)
+    daily = daily.select("symbol", "_day", F.when(F.count("_sum").over(before) >= least_weeks, F.avg("_sum").over(before)).alias("_mean"))
+    f = same_bucket_seasonality(least_rows=least_rows, **how)
+    out = f.apply(bars).withColumn("_day", F.to_date("timestamp")).join(daily, ["symbol", "_day"], "left")
+    return out.select("timestamp", "symbol", *f.outputs, F.when(F.col("known") >= least_rows, F.col("_mean")).alias("sn_dow_res"))
+
+
+def trailing(x: str, keys: list, order: str, w: int, least: int) -> Column:
+    o = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(w - 1), 0)
+    return F.when(F.count(x).over(o) >= least, F.avg(x).over(o))
+
+
+def event_reactions(bars: DataFrame, events: DataFrame, x: str = "residual_return", volume: str = "quote_asset_volume", k: int = 12, least: int = 4, base: tuple[int, int] = (60, 20), own: tuple[int, int] = (20, 10), hours: int = 24, least_rows: int = 100) -> DataFrame:
+    """How each symbol has met the last ``k`` events (rows with ``event_time``): timestamp, symbol and three columns.
+
+    ``mb_event_vol_ratio`` and ``mb_event_volume_ratio`` are the mean sum of absolute ``x``, and the mean relative
+    volume, of event days over that of all days, a day late; ``mb_event_drift`` is the mean sum of ``x`` in the
+    ``hours`` after an event, known once they are over. Events at one time count one by one; an event after which a
+    symbol has no bar does not count for it. Symbols with fewer than ``least_rows`` values have nulls.
+    """
+    times = events.where("event_time IS NOT NULL").groupBy("event_time").agg(F.count(F.lit(1)).alias("_same"))
+    days = times.select(F.to_date("event_time").alias("_day")).distinct().withColumn("_event", F.lit(True))
+    daily = bars.groupBy("symbol", F.to_date("timestamp").alias("_day")).agg(F.sum(F.abs(x)).alias("_abs"), F.sum(volume).alias("_v"))
+    daily = daily.withColumn("_rel", F.col("_v") / (trailing("_v", ["symbol"], "_day", *own) + 1e-10)).join(days, "_day", "left")
+    path = Window.partitionBy("symbol").orderBy("_day")
+    for s in ("_abs", "_rel"):
+        hit = F.col("_event").isNotNull() & F.col(s).isNotNull()
+        daily = daily.withColumn("_hit", hit).withColumn("_at", F.when(F.col("_hit"), trailing(s, ["symbol", "_hit"], "_day", k, least)))
+        daily = daily.withColumn("_ratio", F.last("_at", ignorenulls=True).over(path.rowsBetween(Window.unboundedPreceding, 0)) / (trailing(s, ["symbol"], "_day", *base) + 1e-18))
+        daily = daily.withColumn(f"_ratio{s}", F.lag("_ratio").over(path))
+    after = event_windows(times, bars.select("symbol", "timestamp", x), [], hours * 3600).groupBy("symbol", "event_time", "_same").agg(F.coalesce(F.sum(x), F.lit(0.0)).alias("_p"))
+    after = after.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_same").cast("int"))))
+    last = Window.partitionBy("symbol").orderBy("event_time", "_i").rowsBetween(-(k - 1), 0)
+    drift = after.withColumn("mb_event_drift", F.when(F.count("_p").over(last) >= least, F.avg("_p").over(last))).where("_i = _same")
+    drift = drift.select("symbol", (F.col("event_time") + F.expr(f"INTERVAL {hours} HOURS")).alias("timestamp"), "mb_event_drift")
+    known = F.count(x).over(Window.partitionBy("symbol")) >= least_rows
+    rows = bars.select("timestamp", "symbol", known.alias("_known"), F.to_date("timestamp").alias("_day")).join(daily.select("symbol", "_day", "_ratio_abs", "_ratio_rel"), ["symbol", "_day"], "left")
+    out = asof(rows, drift, ["symbol"], "timestamp", ["mb_event_drift"])
+    return out.select("timestamp", "symbol", *[F.when(F.col("_known"), F.col(c)).alias(n) for c, n in (("_ratio_abs", "mb_event_vol_ratio"), ("_ratio_rel", "mb_event_volume_ratio"), ("mb_event_drift", "mb_event_drift"))])
+
+
+def cap_rank(bars: DataFrame, caps: DataFrame, limit: int = 7) -> DataFrame:
+    """Percentile rank of a name's market capitalisation among all names that have one, a day late.
+
+    ``caps`` has date, symbol and market_cap; a value stands for at most ``limit`` days after its own. Each value is
+    spread over the days it stands for, so no calendar of all names and days is made.
+    """
+    following = F.lead("date").over(Window.partitionBy("symbol").orderBy("date"))
+    known = caps.where("market_cap IS NOT NULL").select("symbol", "market_cap", "date", following.alias("_next"))
+    until = F.least(F.date_add("date", 1 + limit), "_next")
+    stands = known.select("symbol", "market_cap", F.explode(F.sequence(F.date_add("date", 1), until)).alias("date"))
+    ranks = stands.select("symbol", F.col("date").alias("_day"), F.expr(percent_rank("market_cap", "date")).alias("cs_mcap_rank"))
+    return bars.select("timestamp", "symbol", F.to_date("timestamp").alias("_day")).join(ranks, ["symbol", "_day"], "left").select("timestamp", "symbol", "cs_mcap_rank")
+
+
 def unlocks(cliff: float = 0.001, days: int = 30) -> Formula:
     """Days to the next and since the last cliff, its size, and the trailing unlocked share; the schedule is known ahead."""
     ahead = "OVER (PARTITION BY symbol ORDER BY timestamp ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
@@ -74,17 +141,25 @@ def listing_age(bars: DataFrame, listings: DataFrame, young: int = 30) -> DataFr
     return out.select("timestamp", "symbol", F.col("_d").alias("ls_days_listed"), F.when(F.col("_d").isNotNull(), (F.col("_d") <= young).cast("double")).alias("ls_is_young"))
 
 
-def event_timing(bars: DataFrame, events: DataFrame, cap_hours: float = 168, near_bars: int = 6, bar_seconds: int = 600) -> DataFrame:
-    """Hours to the next event and since the last, capped, and whether either is within a few bars."""
-    n = neighbours(bars.select("timestamp", "symbol"), events)
+def event_timing(bars: DataFrame, events: DataFrame, cap_hours: float = 168, near_bars: int = 6, bar_seconds: int = 600, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """Hours to the next event and since the last, capped, whether either is within a few bars, and days of ``kinds``.
 
-    def hours(a: str, b: str):
-        return F.least(F.lit(float(cap_hours)), (F.unix_micros(F.col(a).cast("timestamp")) - F.unix_micros(F.col(b).cast("timestamp"))) / 3.6e9)
+    Where no event follows or went before, the hours are the cap; without any event all columns are null. ``kinds``
+    are values of the events' ``event_type``; each gives a column ``ev_<kind>_day``.
+    """
+    n = neighbours(bars.select("timestamp", "symbol"), events.select("event_time"))
 
-    to, since = hours("next_event", "timestamp"), hours("timestamp", "previous_event")
-    near = near_bars * bar_seconds / 3600
-    ahead, behind = F.when(F.col("next_event").isNotNull(), to), F.when(F.col("previous_event").isNotNull(), since)
-    return n.select("timestamp", "symbol", ahead.alias("ev_hours_to_next"), behind.alias("ev_hours_since_last"), (F.coalesce(ahead <= near, F.lit(False)) | F.coalesce(behind <= near, F.lit(False))).cast("double").alias("ev_window"))
+    def hours(a: str, b: str):
+        return (F.unix_micros(F.col(a).cast("timestamp")) - F.unix_micros(F.col(b).cast("timestamp"))) / 3.6e9
+
+    cap, near = F.lit(float(cap_hours)), near_bars * bar_seconds / 3600
+    some = F.col("next_event").isNotNull() | F.col("previous_event").isNotNull()
+    ahead, behind = F.coalesce(hours("next_event", "timestamp"), cap), F.coalesce(hours("timestamp", "previous_event"), cap)
+    out = n.select("timestamp", "symbol", some.alias("_some"), F.to_date("timestamp").alias("_day"), F.when(some, F.least(cap, ahead)).alias("ev_hours_to_event"), F.when(some, F.least(cap, behind)).alias("ev_hours_since_event"), F.when(some, ((ahead <= near) | (behind <= near)).cast("double")).alias("ev_event_window"))
+    if kinds:
+        days = events.where("event_time IS NOT NULL").groupBy(F.to_date("event_time").alias("_day")).agg(*[F.max((F.col("event_type") == kind).cast("double")).alias(f"_{kind}") for kind in kinds])
+        out = out.join(days, "_day", "left")
+    return out.select("timestamp", "symbol", *[F.when(F.col("_some"), F.coalesce(f"_{kind}", F.lit(0.0))).alias(f"ev_{kind}_day") for kind in kinds], "ev_hours_to_event", "ev_hours_since_event", "ev_event_window")
 
 
 def intrabar(fine: DataFrame, seconds: int, bars_per_day: int = DAY, rv: int = 6, ac: tuple[int, int] = (60, 30), long: int = 144) -> DataFrame:

@@ -425,7 +425,60 @@ def with_residual(spark, d):
 
 RESIDUAL = f"{BARS}, {MARKET}, src AS (SELECT r.* EXCLUDE (r0), r.r0 - m.market_factor AS residual_return FROM rets r LEFT JOIN mkt m ON m.timestamp = r.timestamp)"
 formula_query("feat_residual_dynamics", features.residual_dynamics(), with_residual, RESIDUAL, "src")
-formula_query("feat_seasonality", features.same_bucket_seasonality(), with_residual, RESIDUAL, "src")
+
+
+@query(f"""WITH {RESIDUAL}, h AS (SELECT *, hour(timestamp) AS hr, hour(timestamp) % 8 AS ph, abs(residual_return) AS ar, count(residual_return) OVER (PARTITION BY symbol) >= 100 AS ok FROM src),
+m AS (SELECT timestamp, symbol, ok, CASE WHEN count(residual_return) OVER a >= 3 THEN avg(residual_return) OVER a END AS t, CASE WHEN count(ar) OVER a >= 3 THEN avg(ar) OVER a END AS ta, CASE WHEN count(ar) OVER c >= 72 THEN avg(ar) OVER c END AS al, CASE WHEN count(residual_return) OVER b >= 9 THEN avg(residual_return) OVER b END AS p
+  FROM h WINDOW a AS (PARTITION BY symbol, hr ORDER BY timestamp ROWS 9 PRECEDING), b AS (PARTITION BY symbol, ph ORDER BY timestamp ROWS 29 PRECEDING), c AS (PARTITION BY symbol ORDER BY timestamp ROWS 239 PRECEDING)),
+dd AS (SELECT symbol, CAST(timestamp AS DATE) AS day, sum(residual_return) AS s FROM src GROUP BY 1, 2),
+dw AS (SELECT symbol, day, CASE WHEN count(s) OVER w >= 2 THEN avg(s) OVER w END AS s FROM dd WINDOW w AS (PARTITION BY symbol, dayofweek(day) ORDER BY day ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING))
+SELECT timestamp, m.symbol, CASE WHEN ok THEN round(t, 6) END AS sn_tod_res, CASE WHEN ok THEN round(ta / (al + 1e-12), 6) END AS sn_tod_vol_ratio, CASE WHEN ok THEN round(p, 6) END AS sn_fph_res, CASE WHEN ok THEN round(s, 6) END AS sn_dow_res FROM m JOIN dw ON dw.symbol = m.symbol AND dw.day = CAST(m.timestamp AS DATE)""")
+def feat_seasonality(spark, d):
+    return rounded(slow_features.seasonality(with_residual(spark, d), days=10, least_days=3, bars_per_day=24), "sn_tod_res", "sn_tod_vol_ratio", "sn_fph_res", "sn_dow_res")
+
+
+@query(f"""WITH {RESIDUAL}, ev AS (SELECT ts AS event_time FROM events WHERE event_type = 'error' AND value > 200),
+d AS (SELECT symbol, CAST(timestamp AS DATE) AS day, sum(abs(residual_return)) AS a, sum(quote_asset_volume) AS v FROM src GROUP BY 1, 2),
+r AS (SELECT symbol, day, a, v / (CASE WHEN count(v) OVER w >= 2 THEN avg(v) OVER w END + 1e-10) AS q, day IN (SELECT CAST(event_time AS DATE) FROM ev) AS e FROM d WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS 4 PRECEDING)),
+t AS (SELECT *, CASE WHEN e AND a IS NOT NULL AND count(a) OVER ea >= 2 THEN avg(a) OVER ea END AS ta, CASE WHEN e AND q IS NOT NULL AND count(q) OVER eq >= 2 THEN avg(q) OVER eq END AS tq, CASE WHEN count(a) OVER b >= 4 THEN avg(a) OVER b END AS ba, CASE WHEN count(q) OVER b >= 4 THEN avg(q) OVER b END AS bq
+  FROM r WINDOW ea AS (PARTITION BY symbol, e AND a IS NOT NULL ORDER BY day ROWS 3 PRECEDING), eq AS (PARTITION BY symbol, e AND q IS NOT NULL ORDER BY day ROWS 3 PRECEDING), b AS (PARTITION BY symbol ORDER BY day ROWS 9 PRECEDING)),
+f AS (SELECT symbol, day, last_value(ta IGNORE NULLS) OVER o / (ba + 1e-18) AS ra, last_value(tq IGNORE NULLS) OVER o / (bq + 1e-18) AS rq FROM t WINDOW o AS (PARTITION BY symbol ORDER BY day ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT symbol, day, lag(ra) OVER o AS ra, lag(rq) OVER o AS rq FROM f WINDOW o AS (PARTITION BY symbol ORDER BY day)),
+pr AS (SELECT s.symbol, event_time, coalesce(sum(residual_return), 0) AS p FROM ev JOIN src s ON s.timestamp > event_time AND s.timestamp <= event_time + INTERVAL 24 HOUR GROUP BY 1, 2),
+tr AS (SELECT symbol, event_time + INTERVAL 24 HOUR AS avail, CASE WHEN count(*) OVER w >= 2 THEN avg(p) OVER w END AS drift FROM pr WINDOW w AS (PARTITION BY symbol ORDER BY event_time ROWS 3 PRECEDING)),
+k AS (SELECT symbol, timestamp, count(residual_return) OVER (PARTITION BY symbol) >= 50 AS ok FROM src)
+SELECT k.timestamp, k.symbol, CASE WHEN ok THEN round(ra, 6) END AS mb_event_vol_ratio, CASE WHEN ok THEN round(rq, 6) END AS mb_event_volume_ratio, CASE WHEN ok THEN round(drift, 6) END AS mb_event_drift
+FROM k LEFT JOIN g ON g.symbol = k.symbol AND g.day = CAST(k.timestamp AS DATE) ASOF LEFT JOIN tr ON tr.symbol = k.symbol AND k.timestamp >= tr.avail""")
+def feat_event_reactions(spark, d):
+    e = table(spark, d, "events").where("event_type = 'error' AND value > 200").select(F.col("ts").alias("event_time"))
+    r = slow_features.event_reactions(with_residual(spark, d), e, k=4, least=2, base=(10, 4), own=(5, 2), least_rows=50)
+    return rounded(r, "mb_event_vol_ratio", "mb_event_volume_ratio", "mb_event_drift")
+
+
+@query(f"""WITH {DAYS_SQL}, caps AS (SELECT CAST(timestamp AS DATE) AS date, symbol, x AS c FROM days WHERE n > 1 OR CAST(symbol AS INTEGER) % 3 = 0),
+grid AS (SELECT d.date, s.symbol FROM (SELECT DISTINCT CAST(timestamp AS DATE) AS date FROM days) d, (SELECT DISTINCT symbol FROM caps) s),
+held AS (SELECT g.date, g.symbol, arg_max(c, caps.date) AS c FROM grid g JOIN caps ON caps.symbol = g.symbol AND caps.date BETWEEN g.date - 4 AND g.date - 1 GROUP BY 1, 2),
+rk AS (SELECT date, symbol, (rank() OVER (PARTITION BY date ORDER BY c) + (count(*) OVER (PARTITION BY date, c) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY date) AS r FROM held)
+SELECT timestamp, days.symbol, round(r, 6) AS cs_mcap_rank FROM days LEFT JOIN rk ON rk.symbol = days.symbol AND rk.date = CAST(timestamp AS DATE)""")
+def feat_cap_rank(spark, d):
+    u = user_days(spark, d)
+    caps = u.where("n > 1 OR CAST(symbol AS INT) % 3 = 0").select(F.to_date("timestamp").alias("date"), "symbol", F.col("x").alias("market_cap"))
+    return rounded(slow_features.cap_rank(u, caps, limit=3), "cs_mcap_rank")
+
+
+@query(f"WITH {BARS}, m AS (SELECT timestamp, avg(close - open) AS a, stddev_samp(close - open) AS s FROM bars GROUP BY 1) SELECT b.timestamp, symbol, round((close - open - a) / nullif(s, 0), 6) AS cs_funding_z FROM bars b JOIN m ON m.timestamp = b.timestamp")
+def feat_across_funding(spark, d):
+    return features.across_funding().result(event_bars(spark, d).withColumn("funding_rate", F.col("close") - F.col("open")))
+
+
+@query(f"""WITH {BARS}, c AS (SELECT timestamp, symbol, (close - open) / 9973 AS f, quote_asset_volume + 1 AS o FROM bars),
+z AS (SELECT timestamp, symbol, CASE WHEN count(f) OVER w >= 20 THEN (f - avg(f) OVER w) / (stddev_samp(f) OVER w + 1e-10) END AS fz, CASE WHEN count(o) OVER w >= 20 THEN (o - avg(o) OVER w) / (stddev_samp(o) OVER w + 1e-10) END AS oz FROM c WINDOW w AS (PARTITION BY symbol ORDER BY timestamp ROWS 99 PRECEDING))
+SELECT timestamp, symbol, round(fz * oz, 6) AS fr_oi_crowding FROM z""")
+def feat_crowding(spark, d):
+    bars = event_bars(spark, d).withColumns({"funding_rate": (F.col("close") - F.col("open")) / 9973, "open_interest": F.col("quote_asset_volume") + 1})
+    return features.crowding(100, 20).result(bars)
+
+
 formula_query("feat_ou_process", features.mean_reversion_process(), with_residual, RESIDUAL, "src")
 formula_query("signal_spaces", Formula(({"spread": features.space("spread", "close", "open"), "ratio": features.space("ratio", "close", "volume"), "diff": features.space("diff", "close", k=6), "direct": features.space("direct", "high")},), ("spread", "ratio", "diff", "direct")), event_bars, BARS, "bars")
 
@@ -502,10 +555,16 @@ def feat_listing_age(spark, d):
     return slow_features.listing_age(u, u.groupBy("symbol").agg((F.min("timestamp") + F.expr("INTERVAL 2 DAYS")).alias("first_trade")), 10)
 
 
-@query(f"WITH {BARS}, errs AS (SELECT ts AS event_time FROM events WHERE event_type = 'error' AND value > 150), n AS (SELECT timestamp, symbol, (SELECT max(event_time) FROM errs WHERE event_time < timestamp) AS p, (SELECT min(event_time) FROM errs WHERE event_time >= timestamp) AS q FROM bars), h AS (SELECT timestamp, symbol, CASE WHEN q IS NOT NULL THEN least(168.0::DOUBLE, (epoch_us(q) - epoch_us(timestamp)) / 3.6e9::DOUBLE) END AS a, CASE WHEN p IS NOT NULL THEN least(168.0::DOUBLE, (epoch_us(timestamp) - epoch_us(p)) / 3.6e9::DOUBLE) END AS b FROM n) SELECT timestamp, symbol, round(a, 6) AS ev_hours_to_next, round(b, 6) AS ev_hours_since_last, CASE WHEN coalesce(a <= 6, false) OR coalesce(b <= 6, false) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ev_window FROM h")
+EV_HOURS = "(epoch_us({0}) - epoch_us({1})) / 3.6e9::DOUBLE"
+
+
+@query(f"""WITH {BARS}, ev AS (SELECT ts AS event_time, event_type FROM events WHERE value > 200), n AS (SELECT timestamp, symbol, (SELECT max(event_time) FROM ev WHERE event_time < timestamp) AS p, (SELECT min(event_time) FROM ev WHERE event_time >= timestamp) AS q FROM bars),
+h AS (SELECT timestamp, symbol, coalesce({EV_HOURS.format("q", "timestamp")}, 168) AS a, coalesce({EV_HOURS.format("timestamp", "p")}, 168) AS b FROM n)
+SELECT timestamp, symbol, {", ".join(f"CASE WHEN CAST(timestamp AS DATE) IN (SELECT CAST(event_time AS DATE) FROM ev WHERE event_type = '{k}') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ev_{k}_day" for k in ("error", "signup", "view"))},
+round(least(168.0::DOUBLE, a), 6) AS ev_hours_to_event, round(least(168.0::DOUBLE, b), 6) AS ev_hours_since_event, CASE WHEN a <= 6 OR b <= 6 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ev_event_window FROM h""")
 def feat_event_timing(spark, d):
-    e = table(spark, d, "events").where("event_type = 'error' AND value > 150").select(F.col("ts").alias("event_time"))
-    return rounded(slow_features.event_timing(event_bars(spark, d), e, bar_seconds=3600), "ev_hours_to_next", "ev_hours_since_last")
+    e = table(spark, d, "events").where("value > 200").select(F.col("ts").alias("event_time"), "event_type")
+    return rounded(slow_features.event_timing(event_bars(spark, d), e, bar_seconds=3600, kinds=("error", "signup", "view")), "ev_hours_to_event", "ev_hours_since_event")
 
 
 FINE = bars_sql(600)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.functions import scalars
-from panelspark.operators import reports, slow_features
+from panelspark.operators import features, reports, slow_features
 from panelspark.operators.joins import clip_spells
 from panelspark.sources.tables import normalise_klines
 
@@ -68,9 +68,17 @@ def test_event_hours(spark):
     bars = spark.createDataFrame(pd.DataFrame({"timestamp": pd.date_range("2024-01-01", periods=5, freq="h"), "symbol": "A"}))
     events = spark.createDataFrame(pd.DataFrame({"event_time": [pd.Timestamp("2024-01-01 02:00")]}))
     got = slow_features.event_timing(bars, events, near_bars=1, bar_seconds=3600).orderBy("timestamp").toPandas()
-    assert got.ev_hours_to_next.tolist()[:3] == [2, 1, 0] and got.ev_hours_to_next[3:].isna().all()
-    assert got.ev_hours_since_last[:3].isna().all() and got.ev_hours_since_last.tolist()[3:] == [1, 2]
-    assert got.ev_window.tolist() == [0, 1, 1, 1, 0]
+    assert got.ev_hours_to_event.tolist() == [2, 1, 0, 168, 168]
+    assert got.ev_hours_since_event.tolist() == [168, 168, 168, 1, 2]
+    assert got.ev_event_window.tolist() == [0, 1, 1, 1, 0]
+    none = slow_features.event_timing(bars, events.where("false")).toPandas()
+    assert none[["ev_hours_to_event", "ev_hours_since_event", "ev_event_window"]].isna().all().all()
+
+
+def test_funding_side_and_flip_age(spark):
+    rate = [0.0, 0.1, 0.0, 0.2, -0.1, 0.0, -0.2, 0.3, 0.0]
+    got = features.funding(z=3, low=1, day=2).result(daily(spark, funding_rate=rate)).orderBy("timestamp").toPandas()
+    assert got.fr_flip_age[:4].isna().all() and got.fr_flip_age.tolist()[4:] == [0, 1, 2, 0, 1]
 
 
 def test_scalars(spark):
