@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from panelspark.llm.common import materialize, only, text_partitions
 
-#: Words after which a mapper's batch is dealt out; a batch holds at most this many and one document more.
-BATCH_WORDS = 1 << 21
+#: Words after which a mapper's batch is dealt out; a batch holds at most this many and one document more, eight bytes a word.
+BATCH_WORDS = 1 << 20
 #: Buckets for each partition of a text shuffle.
 BUCKETS_PER_PARTITION = 4
 STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
@@ -80,19 +80,19 @@ FOUND = "uid long, kind int, data binary"
 PLACES = "doc_id long, th long, places binary"
 
 
-def _aside(uid: int, kind: int, data: bytes, n_buckets: int) -> tuple[int, bytes]:
-    """What a batch tells its own documents; it passes through the buckets untouched."""
-    return -1 - uid % n_buckets, struct.pack("<qB", uid, kind) + data
+def _aside(uid: int, kind: int, data: bytes) -> tuple[int, bytes]:
+    """What a batch tells its own documents; it has a bucket of its own, which passes it on untouched."""
+    return -1 - uid, struct.pack("<qB", uid, kind) + data
 
 
-def _directory(uid: int, ids: list[int], ths: list[int], sizes: list[int], n_buckets: int) -> tuple[int, bytes]:
+def _directory(uid: int, ids: list[int], ths: list[int], sizes: list[int]) -> tuple[int, bytes]:
     data = struct.pack("<I", len(ids)) + np.array(ids, "<i8").tobytes() + np.array(ths, "<i8").tobytes() + np.array(sizes, "<u4").tobytes()
-    return _aside(uid, DIRECTORY, data, n_buckets)
+    return _aside(uid, DIRECTORY, data)
 
 
 def _batches(batches: Iterator[pa.RecordBatch], flush: Callable[[int, list], Iterator[tuple[int, bytes]]]) -> Iterator[pa.RecordBatch]:
-    """Gather documents (doc_id, th, words, rest) up to BATCH_WORDS and give each batch a number of its own."""
-    only("substrings")
+    """Gather documents (doc_id, th, word hashes, rest) up to BATCH_WORDS and give each batch a number of its own."""
+    only("substrings dealt")
     base, seq, held, words = TaskContext.get().partitionId() << 24, 0, [], 0
 
     def emit() -> pa.RecordBatch:
@@ -101,9 +101,9 @@ def _batches(batches: Iterator[pa.RecordBatch], flush: Callable[[int, list], Ite
 
     for batch in batches:
         for row in zip(*batch.columns):
-            split = (row[2].as_py() or b"").split()
-            held.append((row[0].as_py(), row[1].as_py(), split, *(x.as_py() for x in row[3:])))
-            words += len(split)
+            hashes = word_hashes((row[2].as_py() or b"").split())
+            held.append((row[0].as_py(), row[1].as_py(), hashes, *(x.as_py() for x in row[3:])))
+            words += len(hashes)
             if words >= BATCH_WORDS:
                 yield emit()
                 held, words, seq = [], 0, seq + 1
@@ -115,7 +115,7 @@ def _by_place(found: DataFrame) -> DataFrame:
     """Places of the batches turned into places of documents: one row per (doc_id, th)."""
 
     def expand(table: pa.Table) -> pa.Table:
-        only("substrings")
+        only("substrings placed")
         rows = list(zip(table["kind"].to_pylist(), table["data"].to_pylist()))
         head = next((d for kind, d in rows if kind == DIRECTORY), None)
         hits = [np.frombuffer(d, "<u4") for kind, d in rows if kind == HITS]
@@ -141,7 +141,7 @@ def _meet(dealt: DataFrame, settle: Callable[[list[bytes]], Iterator[tuple[int,
     """Bring each bucket together, keep the places that ``settle`` reports, and pass directories through."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        only("substrings")
+        only("substrings met")
         payloads = table["payload"].to_pylist()
         if key[0].as_py() < 0:
             rows = [(*struct.unpack_from("<qB", p), p[9:]) for p in payloads]
@@ -164,28 +164,27 @@ def _report(uids: list[int], counts: list[int], places: np.ndarray, hit: np.ndar
 def _anchor_hits(docs: DataFrame, block: int, n_buckets: int) -> DataFrame:
     def flush(uid: int, held: list) -> Iterator[tuple[int, bytes]]:
         sizes = [len(d[2]) for d in held]
-        yield _directory(uid, [d[0] for d in held], [d[1] for d in held], sizes, n_buckets)
-        h = np.concatenate([word_hashes(d[2]) for d in held])
-        r = rolling(h, block, int(STEP[0]))
-        ends = np.cumsum(sizes)
-        start = np.repeat(ends - sizes, sizes)[: len(r)]
-        inside = np.arange(len(r)) + block <= np.repeat(ends, sizes)[: len(r)]
+        yield _directory(uid, [d[0] for d in held], [d[1] for d in held], sizes)
+        r = rolling(np.concatenate([d[2] for d in held]), block, int(STEP[0]))
+        place = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])[: len(r)]
+        inside = place + block <= np.repeat(np.array(sizes, np.int32), sizes)[: len(r)]
         g = np.flatnonzero(inside).astype(np.uint32)
-        r, anchor = r[inside], ((np.arange(len(r)) - start) % block == 0)[inside]
+        r, anchor = r[inside], (place % block == 0)[inside]
+        del place, inside
         # One of each block travels. Where the batch has it twice and once as an anchor, all its places are
         # met; where it has it twice and never so, the others follow the one that travels.
-        order = np.argsort(r, kind="stable")
-        new = np.concatenate([[True], r[order][1:] != r[order][:-1]])[: len(r)]
-        group = np.cumsum(new) - 1
+        order = np.argsort(r, kind="stable").astype(np.uint32)
+        new = np.concatenate([[True], np.diff(r[order]) != 0])[: len(r)]
+        group = np.cumsum(new, dtype=np.int32) - 1
         many = np.bincount(group) > 1
-        anchored = np.bincount(group, weights=anchor[order]) > 0
+        anchored = np.logical_or.reduceat(anchor[order], np.flatnonzero(new)) if len(r) else np.zeros(0, bool)
         lead = order[new]
         met = (many & anchored)[group]
         if met.any():
-            yield _aside(uid, HITS, g[order[met]].astype("<u4").tobytes(), n_buckets)
+            yield _aside(uid, HITS, g[order[met]].astype("<u4").tobytes())
         led = (many & ~anchored)[group] & ~new
         if led.any():
-            yield _aside(uid, FOLLOW, np.concatenate([g[lead[group[led]]], g[order[led]]]).astype("<u4").tobytes(), n_buckets)
+            yield _aside(uid, FOLLOW, np.concatenate([g[lead[group[led]]], g[order[led]]]).astype("<u4").tobytes())
         back = np.argsort(lead)
         r, g, anchor = r[lead[back]], g[lead[back]], anchored[back]
         low = r.astype(np.uint32)
@@ -223,22 +222,21 @@ def _repeats(marked: DataFrame, window: int, block: int, n_buckets: int) -> Data
     reach = window - block
 
     def flush(uid: int, held: list) -> Iterator[tuple[int, bytes]]:
-        yield _directory(uid, [d[0] for d in held], [d[1] for d in held], [len(d[2]) for d in held], n_buckets)
+        yield _directory(uid, [d[0] for d in held], [d[1] for d in held], [len(d[2]) for d in held])
         ids, a, b, g, base = [], [], [], [], 0
-        for doc_id, _, words, places in held:
-            n = len(words) - window + 1
+        for doc_id, _, h, places in held:
+            n = len(h) - window + 1
             if n > 0:
                 ends = np.frombuffer(places, "<u4").astype(np.int64)
-                cover = np.zeros(len(words) + 2, np.int64)
+                cover = np.zeros(len(h) + 2, np.int64)
                 np.add.at(cover, np.maximum(ends - reach, 0), 1)
                 np.add.at(cover, ends + 1, -1)
                 starts = np.flatnonzero(np.cumsum(cover)[:n] > 0)
-                h = word_hashes(words)
                 a.append(rolling(h, window, int(STEP[0]))[starts])
                 b.append(rolling(h, window, int(STEP[1]))[starts])
                 g.append((starts + base).astype(np.uint32))
                 ids.append(np.full(len(starts), doc_id, np.int64))
-            base += len(words)
+            base += len(h)
         if not g:
             return
         ids, a, b, g = map(np.concatenate, (ids, a, b, g))
@@ -250,11 +248,11 @@ def _repeats(marked: DataFrame, window: int, block: int, n_buckets: int) -> Data
         least = ids[order[new]][np.cumsum(new) - 1]
         again = ids[order] > least
         if again.any():
-            yield _aside(uid, HITS, g[order[again]].astype("<u4").tobytes(), n_buckets)
+            yield _aside(uid, HITS, g[order[again]].astype("<u4").tobytes())
         # Of those, the first place stands for the others, which follow it.
         led = ~again & ~new
         if led.any():
-            yield _aside(uid, FOLLOW, np.concatenate([g[order[new]][(np.cumsum(new) - 1)[led]], g[order[led]]]).astype("<u4").tobytes(), n_buckets)
+            yield _aside(uid, FOLLOW, np.concatenate([g[order[new]][(np.cumsum(new) - 1)[led]], g[order[led]]]).astype("<u4").tobytes())
         keep = np.sort(order[new])
         ids, a, b, g = ids[keep], a[keep], b[keep], g[keep]
 
@@ -308,7 +306,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", t
     gone = _repeats(known.join(hits, ["doc_id", "th"]).select("doc_id", "th", "t", "places"), window, block, n_buckets)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only("substrings")
+        only("substrings cut")
         for batch in batches:
             n_words, n_removed, digests, kept = [], [], [], []
             for t, places in zip(batch.column(1), batch.column(2)):
