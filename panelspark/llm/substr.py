@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import materialize, only, text_partitions
+from panelspark.llm.common import key_map, materialize, may_be_in, only, text_partitions
 
 #: Words after which a mapper's batch is dealt out; a batch holds at most this many and one document more, eight bytes a word.
 BATCH_WORDS = 1 << 20
@@ -295,15 +295,15 @@ def substring_dedup(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", t
 
     A null text has no words. Rows of one id never make each other smaller, so repeated rows keep or lose
     the same words. A row without an id loses nothing and makes no other row lose a word. Texts shorter
-    than a window keep all; an empty table gives no rows; other columns are ignored. ``docs`` is read three
-    times.
+    than a window keep all; an empty table gives no rows; other columns are ignored. ``docs`` is read
+    five times; its texts are shuffled where they hold a met block, and once more where they may lose words.
     """
     block = (window + 1) // 2
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).cast("binary").alias("t"))
     known = rows.where("doc_id is not null")
     n_buckets = BUCKETS_PER_PARTITION * text_partitions(rows, "t")
     hits = _anchor_hits(known, block, n_buckets)
-    gone = _repeats(known.join(hits, ["doc_id", "th"]).select("doc_id", "th", "t", "places"), window, block, n_buckets)
+    gone = materialize(_repeats(known.join(hits, ["doc_id", "th"]).select("doc_id", "th", "t", "places"), window, block, n_buckets), "repeat-places")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("substrings cut")
@@ -325,5 +325,9 @@ def substring_dedup(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", t
             columns = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary()).cast(pa.string())] * keep_text, ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * keep_text)
 
-    joined = rows.join(gone, ["doc_id", "th"], "left").select("doc_id", "t", "places")
+    # Texts that surely lose nothing stay where they are; only the others are shuffled to their places.
+    key = F.xxhash64("doc_id", "th")
+    tagged = may_be_in(rows.withColumn("_key", key), "_key", key_map(gone.select(key.alias("_key")), "_key", gone.count()))
+    whole = tagged.where("not _may").select("doc_id", "t", F.lit(None).cast("binary").alias("places"))
+    joined = tagged.where("_may").join(gone, ["doc_id", "th"], "left").select("doc_id", "t", "places").unionByName(whole)
     return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
