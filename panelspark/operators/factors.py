@@ -68,6 +68,31 @@ def weighted_ols(y: np.ndarray, x: np.ndarray, w: np.ndarray) -> tuple[np.ndarra
     return b, float(np.clip(r2, 0, 1))
 
 
+def characteristics(bars: DataFrame, anchors: list[str], x: str = "r", momentum: tuple[int, int, int] = (30, 15, 2), vol: tuple[int, int] = (30, 15), theme: tuple[int, int] = (60, 30)) -> DataFrame:
+    """Per (date, symbol), from days strictly before it: momentum, volatility, and likeness to a group of anchor names.
+
+    Momentum sums log returns over a span of days (days, least days with values, days left out before the date);
+    volatility is the root of summed squares; likeness correlates market-adjusted daily returns with the anchors' mean.
+    Frames count calendar days, so a symbol's gaps hold their place. Without anchors likeness is null.
+    """
+    c = F.col(x)
+    daily = bars.groupBy(F.to_date("timestamp").alias("date"), "symbol").agg(F.sum(F.when(c > -1, F.log1p(c))).alias("_lr"), F.sum(c * c).alias("_sq"))
+    across = Window.partitionBy("date")
+    daily = daily.withColumns({"_adj": F.col("_lr") - F.avg("_lr").over(across), "_no": F.datediff("date", F.lit("1970-01-01"))})
+    daily = daily.withColumn("_anchor", F.avg(F.when(F.col("symbol").isin(anchors), F.col("_adj"))).over(across))
+
+    def before(days: int, skip: int):
+        return Window.partitionBy("symbol").orderBy("_no").rangeBetween(-(days + skip - 1), -skip)
+
+    m, v, a = before(momentum[0], max(momentum[2], 1)), before(vol[0], 1), before(theme[0], 1)
+    both = F.col("_adj").isNotNull() & F.col("_anchor").isNotNull()
+    like = F.corr("_adj", "_anchor").over(a)
+    return daily.select(
+        "date", "symbol", F.when(F.count("_lr").over(m) >= momentum[1], F.sum("_lr").over(m)).alias("momentum"), F.when(F.count("_sq").over(v) >= vol[1], F.sqrt(F.sum("_sq").over(v))).alias("vol"),
+        F.when((F.count(F.when(both, 1)).over(a) >= theme[1]) & ~F.isnan(like), like).alias("likeness"),
+    )
+
+
 def daily_betas(panel: DataFrame, factors: list[str], window: int = 4320, half_life: float = 1440, least: int = 1008, x: str = "r") -> DataFrame:
     """Loadings per (date, symbol) from the ``window`` bars strictly before the date.
 

@@ -58,6 +58,21 @@ def weights_audit(weights: DataFrame) -> DataFrame:
     return s.groupBy("symbol").agg(F.avg(F.abs("weight")).alias("mean_abs"), F.max(F.abs("weight")).alias("max_abs"), F.sum((F.abs("weight") > 1e-9).cast("long")).alias("bars_held"), F.avg(F.coalesce("_flip", F.lit(0.0))).alias("flip_rate"))
 
 
+def execution_stats(returns: DataFrame, periods: float) -> DataFrame:
+    """One row on how a book was run, from gross and net return, gross exposure, turnover and positions per bar."""
+    cost, g, moved, n = F.col("gross_return") - F.col("net_return"), "gross_exposure", F.avg("turnover"), "n_positions"
+    return returns.agg(
+        F.avg(g).alias("avg_gross"), F.percentile(g, 0.95).alias("p95_gross"), F.max(g).alias("max_gross"), moved.alias("avg_turnover_bar"), (moved * periods).alias("ann_turnover_x_gross"), (F.avg(cost) * 1e4).alias("avg_cost_bps_bar"),
+        (F.avg(cost) * periods * 100).alias("ann_cost_pct"), F.avg(n).alias("avg_n_positions"), F.min(n).alias("min_n_positions"), F.max(n).alias("max_n_positions"),
+    )
+
+
+def metrics_by(metrics: DataFrame, key: str) -> DataFrame:
+    """Signals by ``key`` (horizon, family): how many, mean, median and best absolute IC, mean absolute ICIR, mean turnover."""
+    ic = F.abs("ic")
+    return metrics.groupBy(key).agg(F.countDistinct("signal_name").alias("n_signals"), F.avg(ic).alias("ic_abs_mean"), F.percentile(ic, 0.5).alias("ic_abs_med"), F.max(ic).alias("best_ic"), F.avg(F.abs("icir")).alias("icir_abs_mean"), F.avg("turnover").alias("turnover_mean"))
+
+
 def window_returns(returns: DataFrame, window: str, x: str = "r") -> DataFrame:
     """Per window: compounded return, worst bar, and the mean of its worst hundredth (one bar at least)."""
     w = Window.partitionBy(window)

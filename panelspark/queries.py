@@ -628,6 +628,18 @@ def acceptance_checks(spark, d):
     return rounded(factors.acceptance(p), "variance_ratio", "factor_corr")
 
 
+@query(f"""WITH {BARS}, rets AS (SELECT timestamp, symbol, close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY timestamp), 0) - 1 AS r0 FROM bars),
+d AS (SELECT CAST(timestamp AS DATE) AS date, symbol, sum(CASE WHEN r0 > -1 THEN ln(1 + r0) END) AS lr, sum(r0 * r0) AS sq FROM rets GROUP BY 1, 2), a AS (SELECT *, lr - avg(lr) OVER (PARTITION BY date) AS adj FROM d),
+b AS (SELECT *, avg(CASE WHEN symbol IN ('click', 'view') THEN adj END) OVER (PARTITION BY date) AS anc FROM a)
+SELECT date, symbol, CASE WHEN count(lr) OVER m >= 5 THEN round(sum(lr) OVER m, 6) END AS momentum, CASE WHEN count(sq) OVER v >= 5 THEN round(sqrt(sum(sq) OVER v), 4) END AS vol,
+CASE WHEN count(CASE WHEN adj IS NOT NULL AND anc IS NOT NULL THEN 1 END) OVER c >= 8 THEN round(corr(adj, anc) OVER c, 6) END AS likeness
+FROM b WINDOW m AS (PARTITION BY symbol ORDER BY date RANGE BETWEEN INTERVAL 11 DAY PRECEDING AND INTERVAL 2 DAY PRECEDING), v AS (PARTITION BY symbol ORDER BY date RANGE BETWEEN INTERVAL 10 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING), c AS (PARTITION BY symbol ORDER BY date RANGE BETWEEN INTERVAL 15 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)""")
+def factor_characteristics(spark, d):
+    bars = Formula((RET,), ("r",)).apply(event_bars(spark, d))
+    c = factors.characteristics(bars, ["click", "view"], momentum=(10, 5, 2), vol=(10, 5), theme=(15, 8))
+    return rounded(rounded(c, "momentum", "likeness"), "vol", digits=4)
+
+
 @query()
 def beta_wls(spark, d):
     p = Formula((RET,), ("r",)).apply(with_market(spark, d))
@@ -1021,3 +1033,19 @@ def window_returns(spark, d):
 @query(f"WITH {LEDGER} SELECT roll_id, count(*) AS evaluated, count(*) FILTER (net_rate > 0) AS net_positive, count(*) FILTER (net_rate > 0 AND capture >= 0.5) AS captured, count(*) FILTER (net_rate > 0 AND capture >= 0.5 AND test_days >= 20) AS eligible FROM ledger GROUP BY 1")
 def discovery_funnel(spark, d):
     return reports.funnel(ledger_of(spark, d))
+
+
+@query("""WITH b AS (SELECT o_orderdate, sum(o_totalprice) / 1e6 AS g, avg(o_totalprice) / 1e6 AS t, sum(o_totalprice) / 1e8 AS r, sum(o_totalprice) / 1e8 - count(*) / 1e4 AS net, count(*) AS n FROM orders GROUP BY 1)
+SELECT round(avg(g), 6) AS avg_gross, round(quantile_cont(g, 0.95), 6) AS p95_gross, round(max(g), 6) AS max_gross, round(avg(t), 6) AS avg_turnover_bar, round(avg(t) * 252, 6) AS ann_turnover_x_gross, round(avg(r - net) * 1e4, 6) AS avg_cost_bps_bar, round(avg(r - net) * 252 * 100, 6) AS ann_cost_pct, round(avg(n), 6) AS avg_n_positions, min(n) AS min_n_positions, max(n) AS max_n_positions FROM b""")
+def execution_stats(spark, d):
+    p, n = F.sum("o_totalprice"), F.count(F.lit(1))
+    b = table(spark, d, "orders").groupBy("o_orderdate").agg((p / 1e6).alias("gross_exposure"), (F.avg("o_totalprice") / 1e6).alias("turnover"), (p / 1e8).alias("gross_return"), (p / 1e8 - n / 1e4).alias("net_return"), n.alias("n_positions"))
+    s = reports.execution_stats(b, 252)
+    return rounded(s, *[c for c in s.columns if not c.startswith(("min_", "max_n"))])
+
+
+@query("SELECT o_custkey % 5 AS horizon, count(DISTINCT o_orderkey % 97) AS n_signals, round(avg(abs(o_totalprice / 1e5 - 2)), 6) AS ic_abs_mean, round(quantile_cont(abs(o_totalprice / 1e5 - 2), 0.5), 6) AS ic_abs_med, round(max(abs(o_totalprice / 1e5 - 2)), 6) AS best_ic, round(avg(abs(o_totalprice / 2e5 - 1)), 6) AS icir_abs_mean, round(avg(o_orderkey % 7), 6) AS turnover_mean FROM orders GROUP BY 1")
+def metrics_by_horizon(spark, d):
+    p, k = F.col("o_totalprice"), F.col("o_orderkey")
+    m = table(spark, d, "orders").select((F.col("o_custkey") % 5).alias("horizon"), (k % 97).alias("signal_name"), (p / 1e5 - 2).alias("ic"), (p / 2e5 - 1).alias("icir"), (k % 7).alias("turnover"))
+    return rounded(reports.metrics_by(m, "horizon"), "ic_abs_mean", "ic_abs_med", "best_ic", "icir_abs_mean", "turnover_mean")
