@@ -31,6 +31,12 @@ def ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0.0))
 
 
+def ieee_div(a: Column, b: Column) -> Column:
+    """a / b of doubles as SQL engines without ANSI errors have it: infinite, or NaN for 0 / 0, where b is zero."""
+    unit = F.when(b.cast("string") == "-0.0", float("-inf")).otherwise(float("inf"))
+    return F.when(b == 0, a * unit).otherwise(F.try_divide(a, b))
+
+
 def signed_sqrt(x: Column) -> Column:
     return F.signum(x) * F.sqrt(F.abs(x))
 
