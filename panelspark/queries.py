@@ -519,7 +519,7 @@ def resolved_ids(spark, d):
 
 formula_query("feat_funding", features.funding(), lambda s, d: event_bars(s, d).withColumn("funding_rate", (F.col("close") - F.col("open")) / 9973), f"{BARS}, src AS (SELECT *, (close - open) / 9973 AS funding_rate FROM bars)", "src")
 formula_query("feat_open_interest", features.open_interest(), lambda s, d: event_bars(s, d).withColumn("open_interest", F.col("quote_asset_volume") + 1), f"{BARS}, src AS (SELECT *, quote_asset_volume + 1 AS open_interest FROM bars)", "src")
-formula_query("feat_positioning", features.positioning(), lambda s, d: event_bars(s, d).withColumns({"retail_ls_ratio": F.col("high") / F.col("low"), "toptrader_ls_positions": F.col("open") / F.col("close"), "taker_buy_sell_ratio": F.col("taker_buy_base_asset_volume") / F.col("volume")}), f"{BARS}, src AS (SELECT *, high / low AS retail_ls_ratio, open / close AS toptrader_ls_positions, taker_buy_base_asset_volume / volume AS taker_buy_sell_ratio FROM bars)", "src")
+formula_query("feat_positioning", features.positioning(), lambda s, d: event_bars(s, d).withColumns({"retail_ls_ratio": ieee_div(F.col("high"), F.col("low")), "toptrader_ls_positions": ieee_div(F.col("open"), F.col("close")), "taker_buy_sell_ratio": F.col("taker_buy_base_asset_volume") / F.col("volume")}), f"{BARS}, src AS (SELECT *, high / low AS retail_ls_ratio, open / close AS toptrader_ls_positions, taker_buy_base_asset_volume / volume AS taker_buy_sell_ratio FROM bars)", "src")
 
 
 @query(f"WITH {BARS}, f AS ({features.price().sql('bars')}) SELECT round(avg(CASE WHEN px_ret_1d IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS px_ret_1d, round(avg(CASE WHEN px_ret_3d IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS px_ret_3d FROM f")
