@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from panelspark.functions.scalars import ieee_div
 from panelspark.operators import discovery, evaluation, events, factors, features, joins, portfolio, reports, slow_features
-from panelspark.operators.panels import DAYS_SQL, bars_sql, calendar, carried, densify, event_bars, event_trades, last_in_bucket, ohlcv, strided, table, user_days
+from panelspark.operators.panels import DAYS_SQL, bars_sql, calendar, carried, densify, event_bars, event_trades, last_in_bucket, ohlcv, strided, table, user_days, user_days_in_order
 from panelspark.plans import dsl
 from panelspark.plans.formula import Formula, across, average_rank, beta, change, corr, cross_z, forward_sum, lag, mean, most, percent_rank, running, std, total
 from panelspark.sources.tables import apply_filters, complete_days, complete_months, duplicate_keys
@@ -596,9 +596,9 @@ def feat_cluster_relative(spark, d):
 PANEL = f"{DAYS_SQL}, p AS (SELECT timestamp, symbol, y AS signal, x AS char, lead(y, 1) OVER (PARTITION BY symbol ORDER BY timestamp) - y AS tgt FROM days)"
 
 
-def cross_panel(spark, d):
+def cross_panel(spark, d, days=user_days):
     w = Window.partitionBy("symbol").orderBy("timestamp")
-    return user_days(spark, d).select("timestamp", "symbol", F.col("y").alias("signal"), F.col("x").alias("char"), (F.lead("y").over(w) - F.col("y")).alias("tgt"))
+    return days(spark, d).select("timestamp", "symbol", F.col("y").alias("signal"), F.col("x").alias("char"), (F.lead("y").over(w) - F.col("y")).alias("tgt"))
 
 
 @query(f"WITH {PANEL} SELECT timestamp, round(CASE WHEN count(tgt) >= 10 THEN avg(tgt) END, 6) AS market_factor, count(tgt) AS n_members FROM p WHERE tgt IS NOT NULL GROUP BY 1")
@@ -879,7 +879,7 @@ def perf_stats(spark, d):
 
 @query(f"WITH {BOOK} SELECT symbol, round(sum(weight * tgt), 6) AS pnl, round(avg(CASE WHEN weight * tgt > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS hit_rate, round(avg(abs(weight)), 6) AS mean_abs_weight, count(*) AS n FROM bk GROUP BY 1")
 def factor_attribution(spark, d):
-    w = evaluation.book_weights(cross_panel(spark, d).where("tgt IS NOT NULL"))
+    w = evaluation.book_weights(cross_panel(spark, d, user_days_in_order).where("tgt IS NOT NULL"))
     return rounded(reports.attribution(w, "weight", "tgt", "symbol"), "pnl", "hit_rate", "mean_abs_weight")
 
 
