@@ -545,7 +545,7 @@ def macro_days(spark, d):
 formula_query("feat_macro_state", slow_features.macro_state(20, 5), macro_days, MACRO_SQL, "daily")
 formula_query("feat_macro_betas", slow_features.macro_betas(w=15, least=8), macro_days, MACRO_SQL, "daily")
 formula_query("feat_stablecoins", slow_features.stablecoins(), lambda s, d: macro_days(s, d).select("timestamp", "symbol", *[F.col(a).alias(b) for a, b in (("fed_bs", "usdt"), ("rates2y", "usdc"), ("vix", "dai"), ("dollar", "eth"), ("breakeven10", "sol"), ("rates10y", "tron"))]), f"{MACRO_SQL}, src AS (SELECT timestamp, symbol, fed_bs AS usdt, rates2y AS usdc, vix AS dai, dollar AS eth, breakeven10 AS sol, rates10y AS tron FROM daily)", "src")
-formula_query("feat_unlocks", slow_features.unlocks(0.02), lambda s, d: user_days(s, d).select("timestamp", "symbol", (F.col("x") / 10007).alias("daily_pct")), f"{DAYS_SQL}, src AS (SELECT timestamp, symbol, x / 10007 AS daily_pct FROM days)", "src")
+formula_query("feat_unlocks", slow_features.unlocks(0.02), lambda s, d: user_days_in_order(s, d).select("timestamp", "symbol", (F.col("x") / 10007).alias("daily_pct")), f"{DAYS_SQL}, src AS (SELECT timestamp, symbol, x / 10007 AS daily_pct FROM days)", "src")
 formula_query("feat_developers", slow_features.developers(3, 5), lambda s, d: user_days(s, d).select("timestamp", "symbol", F.col("x").alias("all_devs"), F.col("y").alias("full_time_devs"), F.col("n").cast("double").alias("exclusive_devs")), f"{DAYS_SQL}, src AS (SELECT timestamp, symbol, x AS all_devs, y AS full_time_devs, CAST(n AS DOUBLE) AS exclusive_devs FROM days)", "src")
 formula_query("feat_factor_loadings", slow_features.loadings(24, 48), lambda s, d: event_bars(s, d).select("timestamp", "symbol", ieee_div(F.col("high"), F.col("low")).alias("beta_market"), ieee_div(F.col("low"), F.col("high")).alias("r_squared")), f"{BARS}, src AS (SELECT timestamp, symbol, high / low AS beta_market, low / high AS r_squared FROM bars)", "src")
 
