@@ -998,7 +998,7 @@ def targets_panel(spark, d):
 
 @query(f"WITH {PANEL}, ok AS (SELECT tgt, (rank() OVER (PARTITION BY timestamp ORDER BY signal) + (count(*) OVER (PARTITION BY timestamp, signal) - 1) / 2.0) / count(*) OVER (PARTITION BY timestamp) AS pct FROM p WHERE tgt IS NOT NULL) SELECT CAST(least(9, floor(pct * 10)) AS INTEGER) AS bin, round(avg(tgt), 6) AS mean, count(tgt) AS n FROM ok GROUP BY 1")
 def feature_decile_curve(spark, d):
-    return rounded(evaluation.binned_response(cross_panel(spark, d), "signal", "tgt"), "mean")
+    return rounded(evaluation.binned_response(cross_panel(spark, d, user_days_in_order), "signal", "tgt"), "mean")
 
 
 @query(f"WITH {BARS}, wt AS (SELECT timestamp + INTERVAL 1 HOUR AS timestamp, symbol, open / 1000 AS weight FROM bars) SELECT w.timestamp, round(-sum(w.weight * (b.close - b.open) / 9973), 9) AS funding_pnl FROM wt w JOIN bars b ON b.timestamp = w.timestamp AND b.symbol = w.symbol GROUP BY 1")
