@@ -348,7 +348,7 @@ def range_days_sum(spark, d):
 
 @query(f"WITH {DAYS_SQL} SELECT timestamp, symbol, CAST(greatest(1, least(10, ceil((rank() OVER (PARTITION BY timestamp ORDER BY y) + (count(*) OVER (PARTITION BY timestamp, y) - 1) / 2.0) / count(*) OVER (PARTITION BY timestamp) * 10))) AS INTEGER) AS decile FROM days")
 def cs_decile(spark, d):
-    return user_days(spark, d).select("timestamp", "symbol", evaluation.decile(F.col("y"), "timestamp").alias("decile"))
+    return user_days_in_order(spark, d).select("timestamp", "symbol", evaluation.decile(F.col("y"), "timestamp").alias("decile"))
 
 
 @query("WITH w AS (SELECT CAST(ts AS DATE) AS date, sum(value) AS x FROM events GROUP BY 1) SELECT date, ntile(3) OVER (ORDER BY date) AS third, round(x, 4) AS x FROM w")
