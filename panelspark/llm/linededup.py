@@ -10,8 +10,9 @@ shingles, so a line is held against those that it shares such a shingle with; li
 bucket's pool and search in turn, so a group of copies costs its size and not its square. Large buckets are
 dealt out as pairs of blocks.
 
-Lines are known by 64-bit hashes of their text. Texts travel twice: the lines of buckets, to be compared, and
-the documents, to be cut. Signatures and comparisons are numpy over Arrow batches, the rest is DataFrame
+Lines are known by 64-bit hashes of their text. Lines in no bucket, places of lines that are neither repeated nor
+linked, and documents that lose no line are told by bitmaps and not shuffled, but for the few that a bitmap does
+not clear; what is shuffled is joined exactly. Signatures and comparisons are numpy over Arrow batches, the rest is DataFrame
 operations.
 """
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import materialize, only
+from panelspark.llm.common import key_map, materialize, may_be_in, only
 from panelspark.llm.components import connected_components
 from panelspark.llm.setjoin import similar, tiled
 
@@ -119,14 +120,28 @@ def sign(lines: DataFrame, every: bool) -> DataFrame:
     return lines.select("h", F.lower("line").alias("line")).mapInArrow(run, "h long, chars long, values binary")
 
 
+def in_map(df: DataFrame, hashed: str, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose integer hash may be in the stored ``keys``: all that are, few others."""
+    return may_be_in(df, hashed, key_map(keys, hashed, keys.count())).where("_may").drop("_may")
+
+
+def shared_buckets(signed: DataFrame) -> DataFrame:
+    """(h, chars, bucket) of the lines whose bucket holds another line, and of few others."""
+    span = 4 * ROWS
+    bands = F.array(*[F.xxhash64(F.lit(b), F.substring("values", b * span + 1, span)) for b in range(BANDS)])
+    filed = signed.select("h", "chars", F.explode(bands).alias("bucket"))
+    shared = materialize(filed.groupBy("bucket").count().where("count > 1").select("bucket"), "line-buckets")
+    return in_map(filed, "bucket", shared)
+
+
 def tiles(signed: DataFrame) -> DataFrame:
     """(h, tile): lines by what they are compared in, such that any two of a bucket meet in a tile.
 
-    A tile is a bucket, or two blocks of a bucket that is larger than a block.
+    A tile is a bucket, or two blocks of a bucket that is larger than a block. Of tiles of the same lines there is one.
     """
-    span = 4 * ROWS
-    bands = F.array(*[F.xxhash64(F.lit(b), F.substring("values", b * span + 1, span)) for b in range(BANDS)])
-    return tiled(signed.select("h", "chars", F.explode(bands).alias("bucket")), "h", "bucket", "chars", BLOCK_LINES, BLOCK_CHARS)
+    met = tiled(materialize(shared_buckets(signed), "line-filed"), "h", "bucket", "chars", BLOCK_LINES, BLOCK_CHARS)
+    groups = met.groupBy("tile").agg(F.array_sort(F.collect_list("h")).alias("hs")).select("hs").distinct()
+    return groups.select(F.explode("hs").alias("h"), F.xxhash64("hs").alias("tile"))
 
 
 def tile_links(filed: DataFrame, similarity: float, every: bool) -> DataFrame:
@@ -163,7 +178,8 @@ def line_components(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc
     lines = lines_of(docs, doc_id, text).select(F.xxhash64("line").alias("h"), "line")
     signed = materialize(sign(lines, every).groupBy("h").agg(F.min("chars").alias("chars"), F.min("values").alias("values")), "line-signatures")
     filed = materialize(tiles(signed), "line-tiles")
-    held = lines.join(filed.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
+    wanted = materialize(filed.select("h").distinct(), "line-wanted")
+    held = in_map(lines, "h", wanted).join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
     dealt = filed.join(held, "h").select("tile", "h", "line").repartition("tile").sortWithinPartitions("tile")
     links = materialize(tile_links(dealt, similarity, every), "line-links")
     return connected_components(links).toDF("h", "root")
@@ -179,18 +195,22 @@ def line_dedup(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id",
     rows; other columns are ignored. Kept lines are joined by newlines.
     """
     occurrences = materialize(lines_of(docs, doc_id, text).select("id", "th", "at", F.xxhash64("line").alias("h")), "lines")
-    first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "th", "at")).alias("f")
-    seen = occurrences.groupBy("h").agg(first)
-    roots = materialize(line_components(docs, similarity, doc_id, text, every), "line-components")
-    rooted = seen.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
-    stays = rooted.groupBy("root").agg(F.min("f").alias("f"))
-    stays_of = rooted.select("h", "root").join(stays, "root").select("h", "f")
+    roots = line_components(docs, similarity, doc_id, text, every)
+    again = occurrences.groupBy("h").count().where("count > 1").select("h")
+    several = materialize(again.join(roots, "h", "full").select("h", F.coalesce("root", "h").alias("root")), "line-components")
+    rooted = materialize(in_map(occurrences, "h", several).join(several, "h").select("root", "id", "th", "at"), "line-places")
+    stays = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "th", "at")).alias("f"))
     same = F.col("id").eqNullSafe(F.col("f.id")) & (F.col("th") == F.col("f.th")) & (F.col("at") == F.col("f.at"))
-    gone = occurrences.join(stays_of, "h").where(~same).select("id", "th", "at").distinct()
-    removed = gone.groupBy(F.coalesce("id", F.lit(0)).alias("_k"), F.col("id").isNull().alias("_n"), "th").agg(F.collect_list("at").alias("gone"))
+    gone = rooted.join(stays, "root").where(~same).select("id", "th", "at").distinct()
+    removed = materialize(gone.groupBy(F.coalesce("id", F.lit(0)).alias("_k"), F.col("id").isNull().alias("_n"), "th").agg(F.collect_list("at").alias("gone")), "line-removed")
     own = F.col(doc_id).cast("long")
     rows = docs.select(own.alias("doc_id"), F.col(text).alias("t"), F.coalesce(own, F.lit(0)).alias("_k"), own.isNull().alias("_n"), F.xxhash64(text).alias("th"))
-    cut = rows.join(removed, ["_k", "_n", "th"], "left").select("doc_id", F.coalesce(F.split("t", "\n"), F.array().cast("array<string>")).alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    key = F.xxhash64("_k", "_n", "th")
+    keys = removed.select(key.alias("key"))
+    told = may_be_in(rows.withColumn("key", key), "key", key_map(keys, "key", keys.count()))
+    joined = told.where("_may").join(removed, ["_k", "_n", "th"], "left").select("doc_id", "t", "gone")
+    every_row = joined.union(told.where("NOT _may").select("doc_id", "t", F.lit(None).cast("array<int>")))
+    cut = every_row.select("doc_id", F.coalesce(F.split("t", "\n"), F.array().cast("array<string>")).alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     stay = F.when(F.size("gone") == 0, F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)))
     out = cut.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), F.array_join(stay, "\n").alias("kept"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), *["kept"] * keep_text)
