@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_in_order(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """``table`` with each row's file and number in it (``_file``, ``_row``): the order in which SQL in one thread meets the rows."""
+    return table(spark, sf_dir, name).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
 def bucket_end(ts: Column, seconds: int) -> Column:
     """End of the right-closed bucket that holds ``ts``: a stamp on the edge stays in the bucket it ends."""
     micros = F.unix_micros(ts.cast("timestamp"))

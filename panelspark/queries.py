@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from panelspark.functions.scalars import ieee_div
 from panelspark.operators import discovery, evaluation, events, factors, features, joins, portfolio, reports, slow_features
-from panelspark.operators.panels import DAYS_SQL, bars_sql, calendar, carried, densify, event_bars, event_trades, last_in_bucket, ohlcv, strided, table, user_days, user_days_in_order
+from panelspark.operators.panels import DAYS_SQL, bars_sql, calendar, carried, densify, event_bars, event_trades, last_in_bucket, ohlcv, strided, table, table_in_order, user_days, user_days_in_order
 from panelspark.plans import dsl
 from panelspark.plans.formula import Formula, across, average_rank, beta, change, corr, cross_z, forward_sum, lag, mean, most, percent_rank, running, std, total
 from panelspark.sources.tables import apply_filters, complete_days, complete_months, duplicate_keys
@@ -944,9 +944,11 @@ def counts_as_text(spark, d):
 
 @query("SELECT symbol, date, round(market_cap, 4) AS market_cap FROM (WITH px AS (SELECT CAST(user_id AS VARCHAR) AS symbol, CAST(ts AS DATE) AS date, arg_max(value, ts) AS close FROM events GROUP BY 1, 2), an AS (SELECT symbol, arg_min(1e6 / close, date) AS supply FROM px GROUP BY 1) SELECT p.symbol, p.date, p.close * a.supply AS market_cap FROM px p JOIN an a ON a.symbol = p.symbol)")
 def constant_supply_mcap(spark, d):
-    known = lambda x, at: F.when(F.col(x).isNotNull(), F.col(at))
-    px = table(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("symbol"), F.to_date("ts").alias("date")).agg(F.max_by("value", known("value", "ts")).alias("close"))
-    supply = px.groupBy("symbol").agg(F.min_by(ieee_div(F.lit(1e6), F.col("close")), known("close", "date")).alias("supply"))
+    at = F.when(F.col("value").isNotNull(), F.col("ts")).alias("_at")
+    rows = table_in_order(spark, d, "events").select(F.col("user_id").cast("string").alias("symbol"), F.to_date("ts").alias("date"), "value", at, "_file", "_row")
+    last = Window.partitionBy("symbol", "date").orderBy(F.col("_at").desc_nulls_last(), "_file", "_row")  # of equal stamps the first row counts, as in its SQL
+    px = rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").select("symbol", "date", F.when(F.col("_at").isNotNull(), F.col("value")).alias("close"))
+    supply = px.groupBy("symbol").agg(F.min_by(ieee_div(F.lit(1e6), F.col("close")), F.when(F.col("close").isNotNull(), F.col("date"))).alias("supply"))
     return px.join(supply, "symbol").select("symbol", "date", F.round(F.col("close") * F.col("supply"), 4).alias("market_cap"))
 
 
