@@ -59,15 +59,15 @@ def user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_days_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``user_days`` whose sums add the values by event number, one after another.
+    """``user_days`` whose sums add the values row by row, as the table's files hold them.
 
     Sums of doubles depend on their order in the last bit, and partial sums meet in any order. What compares such
     sums for equality or with a threshold (ties of ranks, cliffs, signs of changes) needs one order: the rows' own,
     as SQL in one thread has it. Costs a sort by day and user in place of partial sums; one user's day is one task's.
     """
     day = F.date_trunc("day", F.col("ts").cast("timestamp")).cast("timestamp_ntz")
-    rows = table(spark, sf_dir, "events").select(day.alias("timestamp"), F.col("user_id").cast("string").alias("symbol"), "event_id", "ts", "value")
-    w = Window.partitionBy("timestamp", "symbol").orderBy("event_id", "ts", "value")
+    rows = table_in_order(spark, sf_dir, "events").select(day.alias("timestamp"), F.col("user_id").cast("string").alias("symbol"), "value", "_file", "_row")
+    w = Window.partitionBy("timestamp", "symbol").orderBy("_file", "_row")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     run = rows.select("timestamp", "symbol", F.sum("value").over(upto).alias("x"), F.avg("value").over(upto).alias("y"), F.count("value").over(upto).alias("n"), F.lead(F.lit(1)).over(w).alias("_more"))
     return run.where("_more IS NULL").drop("_more")

@@ -40,3 +40,15 @@ def test_supply_takes_the_first_of_rows_with_one_stamp(same, files):
     rows = [(len(days) + len(odd) - i, *e) for i, e in enumerate(days + odd)]
     got = same("constant_supply_mcap", rows, files)
     assert len(got) == 20 and [r[2] for r in got].count("None") == 2
+
+
+@pytest.mark.parametrize("files", [1, 3])
+@pytest.mark.parametrize("name", ["factor_attribution"])
+def test_sums_follow_the_rows_not_the_numbers_of_events(same, name, files):
+    """Forty users on three days, six values of 200.14 in all each day; numbers of events run against the rows."""
+    rng = np.random.default_rng(7)
+    cuts = np.sort(rng.integers(1, 20014, size=(3, 40, 5)), axis=-1)
+    cents = np.diff(np.concatenate([np.zeros((3, 40, 1), int), cuts, np.full((3, 40, 1), 20014)], axis=-1))
+    rest = [(f"2024-01-0{day + 1} 08:00", 40 + user, 7.0 * user + day * day) for day in range(3) for user in range(6)]
+    rows = [(f"2024-01-0{day + 1} 0{part}:00", user, cents[day, user, part] / 100) for part in range(6) for day in range(3) for user in range(40)] + rest
+    same(name, [(len(rows) - i, *e) for i, e in enumerate(rows)], files)
