@@ -43,7 +43,7 @@ def test_supply_takes_the_first_of_rows_with_one_stamp(same, files):
 
 
 @pytest.mark.parametrize("files", [1, 3])
-@pytest.mark.parametrize("name", ["factor_attribution", "feature_decile_curve", "cs_decile"])
+@pytest.mark.parametrize("name", ["factor_attribution", "feature_decile_curve", "cs_decile", "feat_unlocks"])
 def test_sums_follow_the_rows_not_the_numbers_of_events(same, name, files):
     """Forty users on three days, six values of 200.14 in all each day; numbers of events run against the rows."""
     rng = np.random.default_rng(7)
